@@ -138,7 +138,7 @@ def shingles(texts: Texts, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]
     total = np.zeros(n + size, np.uint64)
     for j in range(size):
         turned = h * (_ODD + np.uint64(2 * j * 0x632BE5AB)) + np.uint64(j + 1)
-        total[: n - j if j else n] += turned[j:] if j else turned
+        total[: max(0, n - j)] += turned[j:]
     short = np.flatnonzero((counts > 0) & (counts < size))
     for d in short:
         a, b = bounds[d], bounds[d + 1]

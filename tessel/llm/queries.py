@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, fingerprints, secrets, sharding
+from . import bpe, chat, decontamination, fingerprints, secrets, sharding
+
+
+#: The tokenizer file of op4; any byte-level BPE file of the tokenizers library can be given to bpe.encode().
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +26,10 @@ def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.op3(_table(spark, sf_dir, "documents"))
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.op4(_table(spark, sf_dir, "documents"), VOCABULARY)
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.op7(_table(spark, sf_dir, "documents"))
 
@@ -38,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_chat_formatting,
         op3_document_fingerprints,
+        op4_bpe,
         op7_secret_scan,
         op8_benchmark_decontamination,
         op9_sharding,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType, StructField, StructType
 
@@ -34,3 +34,10 @@ def add_columns(df: DataFrame, text_col: str, fields: list[tuple[str, DataType]]
 
     schema = StructType([*kept, *[StructField(n, t) for n, t in fields]])
     return source.mapInArrow(run, schema)
+
+
+def keep_where(docs: DataFrame, run: Callable[[DataFrame], DataFrame], made: list[str], condition: Column) -> DataFrame:
+    """Rows of docs for which condition holds on run(docs), with the columns of docs as they were, even those named as one that run makes."""
+    clash = {c: f"__own_{i}" for i, c in enumerate(docs.columns) if c.lower() in made}
+    out = run(docs.withColumnsRenamed(clash)).where(condition)
+    return out.select(*[out[clash.get(c, c)].alias(c) for c in docs.columns])

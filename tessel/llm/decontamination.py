@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType
 
-from .arrow import add_columns
+from .arrow import add_columns, keep_where
 from .words import _ODD, Texts, blocks, mix
 
 WINDOW = 10
@@ -189,4 +189,4 @@ def op8(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without those that contain a window of the benchmark."""
-    return contamination(docs, benchmark).where(F.size("hit_words") == 0).select(*docs.columns)
+    return keep_where(docs, lambda df: contamination(df, benchmark), ["n_words", "hit_words", "items"], F.size("hit_words") == 0)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontamination, fingerprints, secrets, sharding
+from . import bpe, chat, decontamination, fingerprints, language, secrets, sharding
 
 
 #: The tokenizer file of op4; any byte-level BPE file of the tokenizers library can be given to bpe.encode().
@@ -30,6 +30,14 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op4(_table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.op5(_table(spark, sf_dir, "documents"))
+
+
+def language_id_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.op5_pages(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.op7(_table(spark, sf_dir, "documents"))
 
@@ -48,6 +56,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_chat_formatting,
         op3_document_fingerprints,
         op4_bpe,
+        op5_language_id,
+        language_id_of_pages,
         op7_secret_scan,
         op8_benchmark_decontamination,
         op9_sharding,

@@ -64,3 +64,5 @@ def test_clashing_columns(spark):
     a = spark.createDataFrame([(1, "a b", "x", 7)], "doc_id long, text string, items string, n_words int")
     b = spark.createDataFrame([(1, "a b")], "item_id long, text string")
     assert d.contamination(a, b).select("doc_id", "n_words", "items").first() == (1, 2, ["1"])
+    left = d.decontaminated(a.union(spark.createDataFrame([(2, "c", "y", 8)], a.schema)), b)
+    assert left.schema == a.schema and left.collect() == [(2, "c", "y", 8)]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontamination, fingerprints, language, secrets, sharding
+from . import bpe, chat, decontamination, fingerprints, language, licences, secrets, sharding
 
 
 #: The tokenizer file of op4; any byte-level BPE file of the tokenizers library can be given to bpe.encode().
@@ -38,6 +38,10 @@ def language_id_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.op5_pages(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
 
 
+def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.op6(_table(spark, sf_dir, "documents"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.op7(_table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_bpe,
         op5_language_id,
         language_id_of_pages,
+        op6_licence_scan,
         op7_secret_scan,
         op8_benchmark_decontamination,
         op9_sharding,

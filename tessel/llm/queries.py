@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontamination, fingerprints, language, licences, secrets, sharding
+from . import bpe, chat, decontamination, fingerprints, language, licences, lm, secrets, sharding
 
 
 #: The tokenizer file of op4; any byte-level BPE file of the tokenizers library can be given to bpe.encode().
@@ -54,6 +54,10 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op9(_table(spark, sf_dir, "documents"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.op10(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_secret_scan,
         op8_benchmark_decontamination,
         op9_sharding,
+        op10_lm_scoring,
     )
 }
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontamination, fingerprints, language, licences, lm, secrets, sharding
+from . import bpe, chat, decontamination, fingerprints, language, licences, lm, near_duplicates, secrets, sharding
 
 
 #: The tokenizer file of op4; any byte-level BPE file of the tokenizers library can be given to bpe.encode().
@@ -22,6 +22,10 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.op1(_table(spark, sf_dir, "conversations"))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.op2(_table(spark, sf_dir, "documents"))
+
+
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.op3(_table(spark, sf_dir, "documents"))
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_chat_formatting,
+        op2_near_duplicates,
         op3_document_fingerprints,
         op4_bpe,
         op5_language_id,

@@ -12,6 +12,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessel.sources.shared import keep
+
 from .mutate import upsert, with_ids
 from .scope import Scope, scoped
 
@@ -129,13 +131,15 @@ def refresh(graph: Graph, doc_ids: DataFrame, entities: DataFrame, relations: Da
     graph = purge(graph, doc_ids)
     here = {"tenant_id": F.lit(scope.tenant_id), "project_id": F.lit(scope.primary)}
     named = entities.withColumns({k: v.cast(graph.entities.schema[k].dataType) for k, v in here.items()}).withColumnRenamed("ord", "n").withColumn("ord", F.struct("doc_id", "n"))
-    all_entities = get_or_create(graph.entities, named.select(*ENTITY_KEY, "description", "ord"))
+    # new ids are read more than once: they are written, so that each is given once and the next batch starts from a table
+    all_entities = keep(get_or_create(graph.entities, named.select(*ENTITY_KEY, "description", "ord")))
     ids = named.join(scoped(all_entities, replace(scope, project_ids=(scope.primary,))).select(*ENTITY_KEY, F.col("id").alias("entity_id")), ENTITY_KEY)
     first = ids.groupBy("doc_id", "name").agg(F.min_by("entity_id", "n").alias("entity_id"))
     end = lambda c: first.select("doc_id", F.col("name").alias(c), F.col("entity_id").alias(f"{c}_entity_id"))
     found = relations.join(end("source"), ["doc_id", "source"]).join(end("target"), ["doc_id", "target"])
     found = found.withColumns({k: v.cast(graph.edges.schema[k].dataType) for k, v in here.items()}).withColumnRenamed("ord", "n").withColumn("ord", F.struct("doc_id", "n"))
-    edges = upsert_edges(graph.edges, found.select(*EDGE_KEY, "description", "ord"))
+    found = keep(found.select("doc_id", *EDGE_KEY, "description", "ord"))
+    edges = keep(upsert_edges(graph.edges, found.drop("doc_id")))
     written = provenance(found).join(edges.select("id", *EDGE_KEY), EDGE_KEY)
     rows = written.select(F.col("id").alias("relationship_id"), F.lit(PROVENANCE).alias("key"), "value")
-    return Graph(all_entities, edges, upsert(graph.metadata, rows, ["relationship_id", "key"]))
+    return Graph(all_entities, edges, keep(upsert(graph.metadata, rows, ["relationship_id", "key"])))

@@ -10,6 +10,7 @@ from tessel.operators import knowledge, models, summaries
 from tessel.operators.chunking import chunk_documents
 from tessel.operators.mutate import delete_documents, update_where, upsert, with_ids
 from tessel.operators.scope import Scope
+from tessel.sources.shared import keep
 
 DIM = 64
 
@@ -27,12 +28,12 @@ def process(documents: DataFrame, state: dict[str, DataFrame], scope: Scope, con
     made = chunk_documents(documents).drop("headers")
     made = contextualize(made, documents, context_model)
     scoped = documents.select(F.col("id").alias("doc_id"), "tenant_id", "project_id")
-    made = with_ids(state["chunks"], made.join(scoped, "doc_id"), ["doc_id", "chunk_order"])
+    made = keep(with_ids(state["chunks"], made.join(scoped, "doc_id"), ["doc_id", "chunk_order"]))
     out = dict(state)
     out["chunks"] = state["chunks"].unionByName(made.select(*state["chunks"].columns))
     vectors = models.embed(made.select(F.col("id").alias("chunk_id"), "context", "content", "tenant_id", "project_id"), join_nonempty("context", "content"), DIM, embedder)
     out["vectors"] = upsert(state["vectors"], vectors.select(*state["vectors"].columns), ["chunk_id"])
-    found = documents.where(strip("content") != "").select(F.col("id").alias("doc_id"), models.apply_model(extractor, F.col("content"), models.EXTRACTION).alias("x"))
+    found = keep(documents.where(strip("content") != "").select(F.col("id").alias("doc_id"), models.apply_model(extractor, F.col("content"), models.EXTRACTION).alias("x")))
     entities = found.select("doc_id", F.posexplode("x.entities").alias("ord", "e")).select("doc_id", "ord", "e.*")
     relations = found.select("doc_id", F.posexplode("x.relations").alias("ord", "r")).select("doc_id", "ord", "r.*")
     graph = knowledge.Graph(state["entities"], state["edges"], state["metadata"])
@@ -46,7 +47,7 @@ def process(documents: DataFrame, state: dict[str, DataFrame], scope: Scope, con
 def upload(documents: DataFrame, state: dict[str, DataFrame], scope: Scope, **models_) -> dict[str, DataFrame]:
     """documents (doc_name, content) as new rows of the scope's primary project, processed."""
     here = documents.withColumns({"tenant_id": F.lit(scope.tenant_id), "project_id": F.lit(scope.primary), "context": F.col("content"), "doc_size": F.length("content").cast("long")})
-    rows = with_ids(state["documents"], here, ["doc_name", "content"]).select(*state["documents"].columns)
+    rows = keep(with_ids(state["documents"], here, ["doc_name", "content"]).select(*state["documents"].columns))
     out = process(rows, state, scope, **models_)
     out["documents"] = state["documents"].unionByName(rows)
     return out

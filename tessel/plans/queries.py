@@ -12,6 +12,7 @@ from tessel.functions.vector import hash_vector, norm
 from tessel.operators import answers, chunking, knowledge, models, mutate, resolve, search, summaries
 from tessel.operators import scope as sc
 from tessel.plans import ingest
+from tessel.sources.shared import keep
 from tessel.sources.tables import Tables, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -475,7 +476,7 @@ def _empty(x: Tables) -> dict[str, DataFrame]:
 @query()
 def knowledge_refresh(x: Tables) -> DataFrame:
     """Edges of the terms of all documents, with the document that wrote each last."""
-    found = x.documents().select(F.col("id").alias("doc_id"), models.apply_model(models.capitalised_words, F.col("content"), models.EXTRACTION).alias("x"))
+    found = keep(x.documents().select(F.col("id").alias("doc_id"), models.apply_model(models.capitalised_words, F.col("content"), models.EXTRACTION).alias("x")))
     entities = found.select("doc_id", F.posexplode("x.entities").alias("ord", "e")).select("doc_id", "ord", "e.*")
     relations = found.select("doc_id", F.posexplode("x.relations").alias("ord", "r")).select("doc_id", "ord", "r.*")
     s = _empty(x)

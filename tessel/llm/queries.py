@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontamination, fingerprints, language, licences, lm, near_duplicates, secrets, sharding
+from . import bpe, chat, decontamination, fingerprints, language, licences, lm, near_duplicates, oracle, secrets, sharding
 
 
 #: The tokenizer file of op4; any byte-level BPE file of the tokenizers library can be given to bpe.encode().
@@ -79,4 +79,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_chat_formatting": oracle.CHAT,
+    "op7_secret_scan": oracle.SECRETS,
+    "op8_benchmark_decontamination": oracle.DECONTAMINATION,
+}

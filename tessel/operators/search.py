@@ -33,10 +33,11 @@ def _hydrate(hits: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFr
 
 def search_cosine(chunks: DataFrame, vectors: DataFrame, documents: DataFrame, query: list[float], scope: Scope, k: int = DEFAULT_K) -> DataFrame:
     """The k chunks in scope nearest by cosine; the scope is that of the chunk. Ties: the lesser chunk id."""
-    own = scoped(chunks, scope).select(F.col("id").alias("chunk_id"), "context", "content", "doc_id")
+    own = scoped(chunks, scope).select(F.col("id").alias("chunk_id"), "doc_id")
+    own = own.join(documents.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
     scored = vectors.where(F.col("embedding").isNotNull()).select("chunk_id", v.cosine(F.col("embedding"), v.literal(query)).alias("similarity"))
-    joined = own.join(scored, "chunk_id").join(documents.select(F.col("id").alias("doc_id"), "doc_name"), "doc_id")
-    return joined.select(*RESULT).orderBy(F.desc_nulls_last("similarity"), "chunk_id").limit(_limit(k))
+    hits = own.join(scored, "chunk_id").select("chunk_id", "similarity").orderBy(F.desc_nulls_last("similarity"), "chunk_id").limit(_limit(k))
+    return _hydrate(hits, chunks, documents).select(*RESULT).orderBy(F.desc_nulls_last("similarity"), "chunk_id")
 
 
 def search_inner_product(chunks: DataFrame, vectors: DataFrame, documents: DataFrame, query: list[float], scope: Scope, k: int = 10) -> DataFrame:

@@ -9,12 +9,12 @@
 3. Equal texts, told by their md5, become one node.
 4. Bands of ROWS samples give buckets. In a small bucket all pairs are candidates; in a larger one
    each node is paired with the bucket's pivot. Where nodes are left that links don't connect with the
-   pivot, these and those that may be similar to them go to a further round, where the key has DEEPER
-   samples more. Two nodes of a high similarity share the longer key of some band nearly as surely,
-   and buckets of texts that only share a passage fall apart.
+   pivot, these and those that may be similar to them are paired with the pivots of longer keys (DEEPER
+   samples more), so that groups of copies get one label, and then joined exactly: by their rarest
+   shingles (a prefix filter), in salted blocks, for all pairs of different labels.
 5. Candidates are verified by the exact weighted Jaccard similarity; pairs of one node are dealt in
    salted groups, so that a node of many copies is not one task.
-6. After each round links become labels by alternating large and small stars, so work on what is
+6. After each step links become labels by alternating large and small stars, so work on what is
    connected already ends early. The class id is the least document id of a label.
 
 Idf counts for IDF_SHARE of a weight. In a group of n near copies the common shingles have a
@@ -47,8 +47,10 @@ SIMILARITY = 0.8
 BANDS, ROWS, DEEPER = 14, 3, 2
 SAMPLES = BANDS * ROWS
 IDF_SHARE = 0.1
-#: Buckets of so many nodes at most give all their pairs: in the first round, and in later ones, which have what is left.
-SMALL, SMALL_LATER = 10, 100
+#: Buckets of so many nodes at most give all their pairs.
+SMALL = 10
+#: Nodes of one rare term in one block of the exact join, on average.
+BLOCK = 1024
 #: Pairs of one node in one group at most.
 GROUP = 128
 #: Bytes of text in a chunk, and in a hash range of shingles.
@@ -239,30 +241,95 @@ def _verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, documents: int
 def linked_nodes(nodes: DataFrame, texts: DataFrame, documents: int, similarity: float = SIMILARITY, repeats: bool = True) -> DataFrame:
     """node, label of the nodes that have a link of at least this similarity: the least node that links connect it with.
 
-    After each round a bucket whose nodes all have the pivot's label is done. In the others, a node
+    A bucket whose nodes all have the pivot's label is done. In the others, a node
     goes on if it may be similar to one of another label: distances of weighted Jaccard obey the triangle
     inequality, so it must not be nearer to the pivot than such a node by more than the threshold allows.
+    What goes on is joined exactly, after one round of longer keys has given its groups their labels.
     """
     bands = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")
     some = nodes.where("n_terms > 0")
     members = some.select("node", "sig", bands).select("node", F.col("node").alias("label"), "band", _key(0).alias("bucket"))
-    labels, depth = None, 0
-    while True:
-        pairs, large = _pairs(members, SMALL_LATER if depth else SMALL)
-        checked = keep(_verify(keep(pairs), nodes, texts, documents, repeats))
-        labels = _relabel(labels, checked.where(F.col("similarity") >= similarity).select("a", "b"))
-        depth += DEEPER
-        if depth + ROWS > SAMPLES:
-            return labels
-        of = lambda c, to: labels.select(F.col("node").alias(c), F.col("label").alias(to))
-        by_pivot = large.where(F.col("node") != F.col("pivot")).join(checked.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "similarity"), ["pivot", "node"])
-        named = by_pivot.join(of("node", "x"), "node", "left").join(of("pivot", "y"), "pivot", "left")
-        named = keep(named.select("bucket", "band", "node", F.coalesce("x", "node").alias("label"), "similarity", (F.coalesce("x", "node") != F.coalesce("y", "pivot")).alias("other")))
-        bound = named.where("other").groupBy("bucket").agg((F.max("similarity") + 1 - similarity).alias("bound"))
-        left = keep(named.join(bound, "bucket").where(F.col("similarity") <= F.col("bound")).select("bucket", "band", "node", "label"))
-        if left.isEmpty():
-            return labels
-        members = left.join(some.select("node", "sig"), "node").select("node", "label", "band", F.xxhash64("bucket", _key(depth)).alias("bucket"))
+    pairs, large = _pairs(members, SMALL)
+    checked = keep(_verify(keep(pairs), nodes, texts, documents, repeats))
+    link = F.col("similarity") >= similarity
+    labels = _relabel(None, checked.where(link).select("a", "b"))
+    left = _unsettled(large, checked, labels, similarity)
+    if left.isEmpty():
+        return labels
+    # groups that longer keys part from the rest become one label at the cost of one pair for each node
+    members = left.join(some.select("node", "sig"), "node").select("node", "label", "band", F.xxhash64("bucket", _key(DEEPER)).alias("bucket"))
+    checked = keep(_verify(keep(_to_pivots(members)), nodes, texts, documents, repeats))
+    labels = _relabel(labels, checked.where(link).select("a", "b"))
+    now = left.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    open_nodes = keep(now.join(now.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket"), "bucket", "left_semi").select("node", "label").distinct())
+    pairs = keep(_prefix_pairs(open_nodes, nodes, texts, documents, similarity, repeats))
+    checked = keep(_verify(pairs, nodes, texts, documents, repeats))
+    return _relabel(labels, checked.where(link).select("a", "b"))
+
+
+def _unsettled(large: DataFrame, checked: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """bucket, band, node, label of the members of large buckets that may be similar to one of another label."""
+    of = lambda c, to: labels.select(F.col("node").alias(c), F.col("label").alias(to))
+    by_pivot = large.where(F.col("node") != F.col("pivot")).join(checked.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "similarity"), ["pivot", "node"])
+    named = by_pivot.join(of("node", "x"), "node", "left").join(of("pivot", "y"), "pivot", "left")
+    named = keep(named.select("bucket", "band", "node", F.coalesce("x", "node").alias("label"), "similarity", (F.coalesce("x", "node") != F.coalesce("y", "pivot")).alias("other")))
+    bound = named.where("other").groupBy("bucket").agg((F.max("similarity") + 1 - similarity).alias("bound"))
+    return keep(named.join(bound, "bucket").where(F.col("similarity") <= F.col("bound")).select("bucket", "band", "node", "label"))
+
+
+def _to_pivots(members: DataFrame) -> DataFrame:
+    """a, b, salt: each member with the pivot of its bucket where their labels differ."""
+    first = F.min(F.struct(F.xxhash64("node").alias("h"), "node", "label"))
+    pivots = members.groupBy("bucket").agg(F.count("*").alias("n"), first.alias("p")).where("n > 1").select("bucket", "n", F.col("p.node").alias("a"), F.col("p.label").alias("of"))
+    pairs = members.join(pivots, "bucket").where(F.col("label") != F.col("of")).select("a", F.col("node").alias("b"), F.ceil(F.col("n") / GROUP).cast("int").alias("salts"))
+    pairs = pairs.groupBy("a", "b").agg(F.max("salts").alias("salts"))
+    return pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
+
+
+def _prefix_pairs(some: DataFrame, nodes: DataFrame, texts: DataFrame, documents: int, similarity: float, repeats: bool) -> DataFrame:
+    """a, b, salt of all pairs of some (node, label) of different labels that can be similar: none that is similar is left out.
+
+    Terms are in one order for all texts, rare ones first. Two similar texts have a term in common
+    before either has used up more than 1 - similarity of its weight; what is left from the first
+    such term on bounds their overlap. Terms of one document only are counted but not joined.
+    """
+    need = some.join(nodes.select("node", "k", "codes"), "node")
+    wanted = texts.join(need.select("k").distinct(), "k", "left_semi").withColumnRenamed("digest", "node")
+    if repeats:
+        wanted = wanted.dropDuplicates(["k", "node"])
+    rows = need.join(wanted, ["k", "node"]).select("node", "label", "codes", "text")
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(3)
+            packed = [np.frombuffer(zlib.decompress(c), np.uint8) for c in batch.column(2).to_pylist()]
+            for first, h, tf, offsets in _terms(column):
+                row, token, total, before = [], [], [], []
+                for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
+                    code = packed[first + i]
+                    weight = np.exp(log_weights(code, tf[a:b], documents), dtype=np.float64)
+                    order = np.lexsort((h[a:b], code))
+                    used = np.cumsum(weight[order]) - weight[order]
+                    own = (used <= (1 - similarity + 1e-6) * weight.sum()) & (code[order] > 0)
+                    row.append(np.full(own.sum(), first + i))
+                    token.append(h[a:b][order][own])
+                    total.append(np.full(own.sum(), weight.sum()))
+                    before.append(used[own])
+                row = pa.array(np.concatenate(row))
+                columns = [pa.array(np.concatenate(token).view(np.int64)), batch.column(0).take(row), batch.column(1).take(row), pa.array(np.concatenate(total)), pa.array(np.concatenate(before))]
+                yield pa.RecordBatch.from_arrays(columns, names=["token", "node", "label", "w", "used"])
+
+    entries = keep(rows.mapInArrow(prefixes, "token long, node binary, label binary, w double, used double"))
+    sizes = entries.groupBy("token").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
+    shared = keep(entries.join(sizes.select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "token"))
+    x = shared.select("token", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), *[F.col(c).alias(f"x_{c}") for c in ("node", "label", "w", "used")])
+    y = shared.select("token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *[F.col(c).alias(f"y_{c}") for c in ("node", "label", "w", "used")])
+    overlap = F.least(F.col("x_w") - F.col("x_used"), F.col("y_w") - F.col("y_used"))
+    needed = (F.col("x_w") + F.col("y_w")) * (similarity / (1 + similarity) - 1e-6)
+    able = (x["token"] == y["token"]) & (x["part"] == y["part"]) & (F.col("x_node") < F.col("y_node")) & (F.col("x_label") != F.col("y_label")) & (overlap >= needed)
+    pairs = keep(x.join(y, able).select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct())
+    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("salts"))
+    return pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
 
 
 # ---- 6: classes -------------------------------------------------------------------------------

@@ -121,3 +121,25 @@ def test_frequent_copies_stay_similar(n):
 
     shared, own = np.exp(nd.log_weights(nd.code_of(np.array([n, 1])), np.array([1, 1]), 2000))
     assert 0.85 * shared / (0.85 * shared + 0.15 * own) >= nd.SIMILARITY
+
+
+def test_pairs_of_a_large_bucket_are_all_found(spark):
+    """Planted pairs of about 0.85 among thousands that mostly consist of one common passage."""
+    rng = random.Random(11)
+    text = lambda n: " ".join(f"w{rng.randrange(10**7)}" for _ in range(n))
+    passage = text(200)
+    # two texts with only the passage in common have 0.78; planted ones share a part of their own
+    docs = [f"{passage} {text(25)}" for _ in range(2000)]
+    for _ in range(60):
+        own = text(8)
+        docs += [f"{passage} {own} {text(17)}", f"{passage} {own} {text(17)}"]
+    rng.shuffle(docs)
+    docs = list(enumerate(docs))
+    grams_of = {i: grams(t) for i, t in docs}
+    own = {}
+    for i, t in docs:
+        own.setdefault(" ".join(t.split()[200:208]), []).append(i)
+    pairs = [x for x in own.values() if len(x) == 2]
+    assert len(pairs) == 60 and all(0.84 < sum((grams_of[a] & grams_of[b]).values()) / sum((grams_of[a] | grams_of[b]).values()) < 0.86 for a, b in pairs)
+    got = got_of(spark, docs)
+    assert {i: min(next((p for p in pairs if i in p), [i])) for i, _ in docs} == got

@@ -37,10 +37,19 @@ ADDED = [
     ("url", r"://[^/\s:@]{1,256}:([^/\s:@]{1,256})@", 1, 1),
 ]
 KINDS = [k for k, *_ in (*BASE, *ADDED)]
+#: A private key from its head to its END line; where that is missing, to the end of the base64 lines. ADDED has its head only, as the SQL does.
+_HEAD, _BREAK = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", r"(?:\\[rn]|[\s\"'+,>#*|])"
+PEM = (
+    rf"{_HEAD}(?:(?:[^-]++|-(?!----))*+-----END [A-Z ]{{0,40}}PRIVATE KEY-----"
+    rf"|(?:\s++[A-Z][A-Za-z]{{1,20}}-[A-Z][A-Za-z]{{1,20}}: [^\r\n]*+)*+(?:{_BREAK}*+[A-Za-z0-9+/=]{{16,}}+)++(?:{_BREAK}++[A-Za-z0-9+/]{{1,15}}={{0,2}}(?![^\s\"'\\]))?"
+    r"|)"
+)
+FOUND = [*BASE, *[(k, PEM if k == "pem" else p, g, n) for k, p, g, n in ADDED]]
 #: A value that so many distinct owners hold is a copied example.
 COPIED_BY = 3
-#: A live-looking value has so many different characters at least.
+#: A live-looking value has so many different characters at least; a password, which need not be random, is dull only if it is one character again and again.
 VARIETY = 8
+PASSWORDS, PASSWORD_VARIETY = ("assign", "url"), 2
 _RUN = 256
 
 
@@ -86,11 +95,11 @@ def _matches(text: Column, order: int, kind: str, pattern: str, group: int, leas
 def candidates(text: Column) -> Column:
     """All matches of all kinds by start, then kind as listed."""
     text = F.coalesce(text, F.lit(""))
-    return F.array_sort(F.concat(*[_matches(text, i, *row) for i, row in enumerate([*BASE, *ADDED])]))
+    return F.array_sort(F.concat(*[_matches(text, i, *row) for i, row in enumerate(FOUND)]))
 
 
 def _has_any(text: Column) -> Column:
-    return reduce(lambda a, b: a | b, [F.coalesce(text, F.lit("")).rlike(p) for _, p, _, _ in [*BASE, *ADDED]])
+    return reduce(lambda a, b: a | b, [F.coalesce(text, F.lit("")).rlike(p) for _, p, _, _ in FOUND])
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -103,9 +112,12 @@ def ownership(found: DataFrame) -> DataFrame:
 def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", owner_col: str = "source", repo_col: str = "doc_id") -> DataFrame:
     """For each row its id, row_key, spans (start, order, kind, end, verdict): live, copied or dull."""
     text = F.col(text_col)
+    least = lambda kind: F.when(kind.isin(*PASSWORDS), PASSWORD_VARIETY).otherwise(VARIETY)
+    # one key is one value however its lines are broken
+    value = lambda x: F.when(x["kind"] == "pem", F.regexp_replace(x["value"], rf"{_BREAK}", "")).otherwise(x["value"])
     spans = F.transform(
         candidates(text),
-        lambda x: F.struct(x["start"], x["order"], x["kind"], x["end"], F.sha2(x["value"], 256).alias("value_hash"), (F.size(F.array_distinct(F.split(x["value"], ""))) >= VARIETY).alias("varied")),
+        lambda x: F.struct(x["start"], x["order"], x["kind"], x["end"], F.sha2(value(x), 256).alias("value_hash"), (F.size(F.array_distinct(F.split(x["value"], ""))) >= least(x["kind"])).alias("varied")),
     )
     rows = keep(docs.select(F.col(id_col).alias("doc_id"), F.col(owner_col).alias("owner"), F.col(repo_col).alias("repo"), spans.alias("spans"), row_key(id_col, text_col).alias("row_key")))
     found = rows.where(F.size("spans") > 0)

@@ -57,3 +57,17 @@ def test_ownership_tells_examples_from_live(spark):
     out = {r["doc_id"]: r for r in s.redact(df).collect()}
     assert len(out) == len(docs) and out[100]["text"] == f"mine [secret] 🙂 end {copied}" and out[100]["n_chars"] == len(out[100]["text"])
     assert all(out[i]["text"] == t for i, t, _ in docs if i != 100)
+
+
+def test_private_keys_are_taken_whole(spark):
+    key = lambda i, end="\n": "-----BEGIN RSA PRIVATE KEY-----" + end + end.join(hashlib.sha512(f"{i} {j}".encode()).hexdigest().upper() for j in range(200)) + end
+    close = "-----END RSA PRIVATE KEY-----"
+    docs = [(i, f"é {key(i)}{close} after", f"s{i}") for i in range(5)] + [(10 + i, f"{key(99)}{close} x", f"s{i}") for i in range(4)]
+    docs += [(20, f"cut {key(20)}QUJD==\nand more words", "s0"), (21, 'k = "' + key(21, "\\n") + close + '" end', "s1"), (22, f"{key(99, chr(13) + chr(10))}{close} y", "s9")]
+    docs += [(30, "password: letmein11 ok", "s0"), (31, "db://u:hunter22@h", "s1"), (32, "password: xxxxxxxx", "s2")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    out = {r["doc_id"]: r["text"] for r in s.redact(df).collect()}
+    assert all(out[i] == "é [secret] after" for i in range(5))
+    assert all(out[i] == t for i, t, _ in docs if 10 <= i < 20 or i in (22, 32))
+    assert out[20] == "cut [secret]\nand more words" and out[21] == 'k = "[secret]" end'
+    assert out[30] == "[secret] ok" and out[31] == "db[secret]h"

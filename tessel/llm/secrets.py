@@ -2,8 +2,8 @@
 
 Candidates are the matches of a few patterns. Each candidate's value is hashed, and the hashes are
 counted over the whole corpus by distinct repositories and distinct owners. A value that many
-owners hold is an example that was copied (out of a manual, say); one that a single owner or two
-hold, and that looks random, is taken for a live credential.
+owners hold is an example that was copied (out of a manual, say), as is one that fills the repositories of
+a few; else one that a single owner or two hold, and that looks random, is taken for a live credential.
 
 Matches are found where a text has them, in its own row: the pieces between matches and the
 matches themselves give the places by running sums. Texts are not shuffled, only candidates are;
@@ -45,8 +45,8 @@ PEM = (
     r"|)"
 )
 FOUND = [*BASE, *[(k, PEM if k == "pem" else p, g, n) for k, p, g, n in ADDED]]
-#: A value that so many distinct owners hold is a copied example.
-COPIED_BY = 3
+#: A value that so many distinct owners hold is a copied example, and one in so many repositories for each of its owners.
+COPIED_BY, COPIED_IN = 3, 50
 #: A live-looking value has so many different characters at least; a password, which need not be random, is dull only if it is one character again and again.
 VARIETY = 8
 PASSWORDS, PASSWORD_VARIETY = ("assign", "url"), 2
@@ -110,7 +110,7 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", owner_col: str = "source", repo_col: str = "doc_id") -> DataFrame:
-    """For each row its id, row_key, spans (start, order, kind, end, verdict): live, copied or dull."""
+    """For each row its id, row_key, spans (start, order, kind, end, verdict, n_repos, n_owners): live, copied or dull."""
     text = F.col(text_col)
     least = lambda kind: F.when(kind.isin(*PASSWORDS), PASSWORD_VARIETY).otherwise(VARIETY)
     # one key is one value however its lines are broken
@@ -123,10 +123,10 @@ def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", owner_
     found = rows.where(F.size("spans") > 0)
     each = found.select("row_key", "owner", "repo", F.explode("spans").alias("s")).select("row_key", "owner", "repo", "s.*")
     counts = ownership(each)
-    live = F.when(F.col("n_owners") >= COPIED_BY, "copied").when(F.col("varied"), "live").otherwise("dull")
+    live = F.when((F.col("n_owners") >= COPIED_BY) | (F.col("n_repos") >= COPIED_IN * F.col("n_owners")), "copied").when(F.col("varied"), "live").otherwise("dull")
     judged = each.drop("owner", "repo").distinct().join(counts, "value_hash").withColumn("verdict", live)
-    by_row = judged.groupBy("row_key").agg(F.array_sort(F.collect_list(F.struct("start", "order", "kind", "end", "verdict"))).alias("spans"))
-    none = F.array().cast("array<struct<start:int,order:int,kind:string,end:int,verdict:string>>")
+    by_row = judged.groupBy("row_key").agg(F.array_sort(F.collect_list(F.struct("start", "order", "kind", "end", "verdict", "n_repos", "n_owners"))).alias("spans"))
+    none = F.array().cast("array<struct<start:int,order:int,kind:string,end:int,verdict:string,n_repos:long,n_owners:long>>")
     with_spans = found.select("doc_id", "row_key").join(by_row, "row_key").select("doc_id", "row_key", "spans")
     return rows.where(F.size("spans") == 0).select("doc_id", "row_key", none.alias("spans")).unionByName(with_spans)
 

@@ -71,3 +71,13 @@ def test_private_keys_are_taken_whole(spark):
     assert all(out[i] == t for i, t, _ in docs if 10 <= i < 20 or i in (22, 32))
     assert out[20] == "cut [secret]\nand more words" and out[21] == 'k = "[secret]" end'
     assert out[30] == "[secret] ok" and out[31] == "db[secret]h"
+
+
+def test_an_example_that_fills_one_source_is_copied(spark):
+    example, own = "0123456789abcdef" * 2, "fedcba9876543210" * 2
+    docs = [(i, f"see {example} here", "hot") for i in range(200)] + [(300 + i, f"mine {own}", "hot") for i in range(5)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    spans = {r["doc_id"]: r["spans"][0] for r in s.scan(df).collect()}
+    assert (spans[0]["verdict"], spans[0]["n_repos"], spans[0]["n_owners"]) == ("copied", 200, 1)
+    assert (spans[300]["verdict"], spans[300]["n_repos"], spans[300]["n_owners"]) == ("live", 5, 1)
+    assert {r["doc_id"]: r["text"] for r in s.redact(df).collect()} == {i: t if i < 300 else "mine [secret]" for i, t, _ in docs}

@@ -31,14 +31,14 @@ def embed(df: DataFrame, text: Column, dim: int, model: Model | None = None, nam
 
 def first_sentence(texts: pd.Series) -> pd.Series:
     """Stands for a summary."""
-    return texts.map(lambda t: re.split(r"(?<=[.!?])\s", (t or "").strip(), maxsplit=1)[0][:200])
+    return texts.map(lambda t: re.split(r"(?<=[.!?])\s", (t or "").strip(), maxsplit=1)[0])
 
 
 def split_questions(queries: pd.Series) -> pd.Series:
-    """Stands for a decomposition: the sentences of a query, six at most, as JSON."""
+    """Stands for a decomposition: all sentences of a query as JSON."""
     import json
 
-    cut = lambda q: [s.strip() for s in re.split(r"(?<=[.!?])\s+", q or "") if len(s.split()) > 1][:6] or [q or ""]
+    cut = lambda q: [s.strip() for s in re.split(r"(?<=[.!?])\s+", q or "") if s.strip()] or [q or ""]
     return queries.map(lambda q: json.dumps({"subquestions": cut(q)}))
 
 

@@ -308,3 +308,16 @@ def test_models_are_called_with_batches(spark):
     assert len(df.where("x = 'a'").first()["embedding"]) == 4
     own = models.embed(spark.createDataFrame([("ab",)], "x string"), F.col("x"), 1, lambda s: s.map(lambda t: [float(len(t))]))
     assert own.first()["embedding"] == [2.0]
+
+
+def test_stand_ins_keep_whole_texts():
+    import json
+
+    import pandas as pd
+
+    questions = [f"What is item {i} of the list?" for i in range(9)] + ["Why?"]
+    made = models.split_questions(pd.Series([" ".join(questions)]))
+    assert [udfs.parse_subquestions(r, "q") for r in made] == [questions]
+    assert json.loads(made[0]) == {"subquestions": questions}
+    long = "word " * 100 + "end."
+    assert models.first_sentence(pd.Series([long + " Next one.", None])).tolist() == [long, ""]

@@ -4,16 +4,18 @@ The units of a text that are compared are its lines, its paragraphs (lines up to
 the whole. A unit of n bigrams can only reach the threshold t with a template of m bigrams if
 t / (2 - t) <= n / m <= (2 - t) / t, which prunes most; of the rest, the number of bigrams that are
 in the template at all bounds the coefficient; what is left is compared exactly, with bigrams
-counted as often as they are there.
+counted as often as they are there. Beside the units, runs of words anywhere in the text are compared
+(notices inside a line, headers in paragraphs, whole licences), with blank lines of no meaning.
 
 Cases: null and empty texts, and units of fewer than two words, match nothing; units with the same
 words (a line that is the whole text) are reported once; templates that tie are all reported; repeated
-rows give a row each; an empty table gives an empty result; a column named licences is replaced.
+rows give a row each; an empty table gives an empty result; columns named licences or passages are replaced.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,9 @@ TEMPLATES = {
     "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
 }
 
+#: Whole licence texts, in the folder beside this file.
+TEXTS = {p.stem: p.read_text() for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))}
+
 
 def _bigrams(h: np.ndarray) -> np.ndarray:
     return mix(h[:-1] * _ODD + h[1:])
@@ -55,7 +60,8 @@ class Templates:
             self.counts.append(Counter(_bigrams(Texts(data, np.array([0, len(data)])).hashes()).tolist()))
         self.sizes = np.array([sum(c.values()) for c in self.counts])
         self.known = np.array(sorted({g for c in self.counts for g in c}), np.uint64)
-        self.member = np.array([[g in c for g in self.known.tolist()] for c in self.counts])
+        self.times = np.array([[c[g] for g in self.known.tolist()] for c in self.counts])
+        self.member = self.times > 0
 
     def matches(self, texts: Texts) -> list[list[tuple]]:
         """For each text (template, dice, first word, words) of its units that reach the threshold."""
@@ -92,6 +98,64 @@ class Templates:
                     out[key[0]].append((self.names[t], dice, int(a - texts.word_offsets[key[0]]), int(size + 1)))
         return [sorted(x, key=lambda m: (m[2], m[3], m[0])) for x in out]
 
+    def passages(self, texts: Texts) -> list[list[tuple]]:
+        """For each text (template, dice, first word, words) of runs of words that reach the threshold, best first where runs overlap.
+
+        A run begins where template bigrams begin. A bigram counts in it if it is there no more often
+        than in the template, so it must not be the (count + 1)th since the run's start.
+        """
+        out: list[list[tuple]] = [[] for _ in range(len(texts))]
+        h = texts.hashes()
+        if len(h) < 2:
+            return out
+        grams = _bigrams(h)
+        at = np.searchsorted(self.known, grams)
+        at[at == len(self.known)] = 0
+        hit = self.known[at] == grams
+        for d in np.flatnonzero(np.diff(texts.word_offsets) > 1):
+            first, last = texts.word_offsets[d], texts.word_offsets[d + 1] - 1
+            places = np.flatnonzero(hit[first:last])
+            if not len(places):
+                continue
+            ids = at[first:last][places]
+            one, there = np.unique(ids, return_counts=True)
+            for t in np.flatnonzero(2 * np.minimum(self.times[:, one], there).sum(axis=1) >= self.threshold * self.sizes):
+                m, often = int(self.sizes[t]), np.minimum(self.times[t, one], there).sum()
+                # n >= overlap in 2 * overlap >= threshold * (n + m)
+                if often * (2 - self.threshold) < self.threshold * m:
+                    continue
+                own = self.times[t, ids] > 0
+                found = self._runs(places[own], ids[own], t, last - first)
+                out[d] += [(self.names[t], dice, int(a), int(b - a + 1)) for dice, a, b in found]
+        return [sorted(x, key=lambda m: (m[2], m[3], m[0])) for x in out]
+
+    def _runs(self, places: np.ndarray, ids: np.ndarray, t: int, n: int) -> list[tuple]:
+        """(dice, first bigram, bigram after the last) of the best runs that don't overlap."""
+        m = int(self.sizes[t])
+        longest = int((2 - self.threshold) / self.threshold * m)
+        # the bigram that a run must begin after if place i is to count in it
+        before = np.full(len(places), -1)
+        order = np.argsort(ids, kind="stable")
+        back = self.times[t, ids[order]]
+        k = np.arange(len(order)) - back
+        same = (k >= 0) & (ids[order][np.maximum(k, 0)] == ids[order])
+        before[order[same]] = order[k[same]]
+        stops = np.searchsorted(places, places + longest)
+        best = []
+        for i, e in enumerate(stops):
+            if (e - i) * (2 - self.threshold) < self.threshold * m:
+                continue
+            overlap = np.cumsum(before[i:e] < i)
+            dice = 2 * overlap / (places[i:e] - places[i] + 1 + m)
+            j = int(dice.argmax())
+            if dice[j] >= self.threshold:
+                best.append((float(dice[j]), int(places[i]), int(places[i + j]) + 1))
+        taken = []
+        for dice, a, b in sorted(best, key=lambda x: (-x[0], x[1])):
+            if all(b <= c or a >= e for _, c, e in taken):
+                taken.append((dice, a, b))
+        return taken
+
     @staticmethod
     def _units(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First word, word after the last, and text of each line, paragraph and whole text."""
@@ -106,23 +170,35 @@ class Templates:
 
 
 _FOUND = StructType([StructField("licence", StringType()), StructField("dice", DoubleType()), StructField("first_word", LongType()), StructField("n_words", LongType())])
+_NAMES = ("licence", "dice", "first_word", "n_words")
 
 
 def scan(docs: DataFrame, text_col: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with licences: licence, dice, first_word, n_words of each unit that matches a template."""
-    templates = templates or TEMPLATES
+    """docs with licences: licence, dice, first_word, n_words of each unit that matches a template; and passages: the same of runs of words
+    anywhere in the text that match a template or a whole text, where they overlap none of the licence's licences."""
+    short = templates or TEMPLATES
+    every = templates or {**TEMPLATES, **TEXTS}
 
     def make():
-        t = Templates(templates, threshold)
+        units, runs = Templates(short, threshold), Templates(every, threshold)
         kind = pa.list_(pa.struct([("licence", pa.string()), ("dice", pa.float64()), ("first_word", pa.int64()), ("n_words", pa.int64())]))
-        names = ("licence", "dice", "first_word", "n_words")
-        return lambda column: [pa.array([[dict(zip(names, m, strict=True)) for m in row] for _, _, texts in blocks(column) for row in t.matches(texts)], kind)]
+        array = lambda rows: pa.array([[dict(zip(_NAMES, m, strict=True)) for m in row] for row in rows], kind)
+
+        def work(column):
+            found, more = [], []
+            for _, _, texts in blocks(column):
+                found += units.matches(texts)
+                more += runs.passages(texts)
+            apart = lambda p, row: all(p[0] != u[0] or p[2] + p[3] <= u[2] or p[2] >= u[2] + u[3] for u in row)
+            return [array(found), array([[p for p in row if apart(p, own)] for row, own in zip(more, found, strict=True)])]
+
+        return work
 
-    return add_columns(docs, text_col, [("licences", ArrayType(_FOUND))], make)
+    return add_columns(docs, text_col, [("licences", ArrayType(_FOUND)), ("passages", ArrayType(_FOUND))], make)
 
 
 def op6(docs: DataFrame) -> DataFrame:
-    found = scan(docs.select("doc_id", "text"))
+    found = scan(docs.select("doc_id", "text")).withColumn("licences", F.concat("licences", "passages"))
     names = F.array_sort(F.array_distinct(F.transform("licences", lambda x: x["licence"])))
     best = F.array_max(F.transform("licences", lambda x: x["dice"]))
     return found.select("doc_id", F.size("licences").cast("long").alias("n_matches"), F.array_join(names, ",").alias("licences"), F.round(best, 6).alias("best_dice"))

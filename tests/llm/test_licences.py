@@ -54,3 +54,19 @@ def test_whole_table(spark, sf):
     assert sum(bool(x) for x in got.values()) > 5
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert lic.op6(df).count() == len(docs)
+
+
+def test_passages_are_found_anywhere(spark):
+    t = lic.TEMPLATES
+    half = t["Apache-2.0-header"].replace("in compliance with the License. You", "in compliance with the License.\r\n \r\nYou").replace("limitations", "\r\n\r\nlimitations")
+    docs = [(1, "Copyright 2020 Foo. Released under the MIT License. See the file."), (2, f"some words before it\n{half}\nand many words after it " * 1), (3, "no licence here at all, under the sun"), (4, None)]
+    docs += [(10 + i, f"{'word ' * 300}{x}{' other' * 300}") for i, x in enumerate(lic.TEXTS.values())] + [(5, "the of " * 50_000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: set(r["licences"].split(",")) for r in lic.op6(df).collect()}
+    assert "MIT" in got[1] and "Apache-2.0-header" in got[2] and got[3] == got[4] == got[5] == {""}
+    assert len(lic.TEXTS) > 8 and all(name in got[10 + i] for i, name in enumerate(lic.TEXTS))
+    for r in lic.scan(df).collect():
+        for m in [*r["licences"], *r["passages"]]:
+            w = words(r["text"])[m["first_word"] : m["first_word"] + m["n_words"]]
+            a, b = (Counter(zip(x, x[1:], strict=False)) for x in (w, words({**t, **lic.TEXTS}[m["licence"]])))
+            assert abs(2 * sum((a & b).values()) / (sum(a.values()) + sum(b.values())) - m["dice"]) < 1e-9

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType
 
 from .arrow import add_columns
-from .words import _ODD, BLOCK_BYTES, as_bytes, mix
+from .words import BLOCK_BYTES, as_bytes, mix, run_hashes, same_runs
 
 #: The lexicon has this many of the most frequent words; a word counts where it is seen so often in a block at least.
 LEXICON, IN_BLOCK = 60_000, 3
@@ -448,10 +448,15 @@ class Codec:
 
     @staticmethod
     def _distinct(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Words to stand for equal ones, and which one stands for each. Words are told apart by 64 bits and compared with the one that stands for them."""
-        h = word_hashes(data, starts, lengths)
+        """Words to stand for equal ones, and which one stands for each. Words of one hash are compared by their bytes; those that differ stand for themselves."""
+        h = run_hashes(data, starts, lengths)
         _, one, of = np.unique(h, return_index=True, return_inverse=True)
-        return one, of
+        first = one[of]
+        odd = lengths != lengths[first]
+        odd[~odd] = ~same_runs(data, starts[~odd], starts[first[~odd]], lengths[~odd])
+        odd = np.flatnonzero(odd)
+        of[odd] = len(one) + np.arange(len(odd))
+        return np.concatenate([one, odd]), of
 
     def decode(self, ids: np.ndarray) -> str:
         v = self.vocabulary
@@ -465,25 +470,6 @@ class Codec:
         return v.digits[np.repeat(v.digits_at[ids], n) + within(n)].tobytes()[:-1]
 
 
-_BASE = 0x5851F42D4C957F2D
-_tables: list[np.ndarray] = []
-
-
-def word_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte runs."""
-    if not _tables or len(_tables[0]) <= len(data):
-        size = max(BLOCK_BYTES * 2, len(data) + 1)
-        _tables[:] = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            steps = np.full(size, np.uint64(base))
-            steps[0] = 1
-            _tables.append(np.multiply.accumulate(steps))
-    value = mix((np.arange(256, dtype=np.uint64) + np.uint64(77)) * _ODD)
-    running = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(value[data] * _tables[0][: len(data)], out=running[1:])
-    return mix((running[starts + lengths] - running[starts]) * _tables[1][starts] + lengths.astype(np.uint64) * _ODD)
-
-
 def _blocks(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     data, offsets = as_bytes(column)
     first, rows = 0, len(offsets) - 1
@@ -505,7 +491,7 @@ def frequent_words(docs: DataFrame, text_col: str = "text", number: int = LEXICO
                 lengths = ends - starts
                 short = lengths <= LONG
                 starts, lengths = starts[short], lengths[short]
-                _, one, n = np.unique(word_hashes(data, starts, lengths), return_index=True, return_counts=True)
+                _, one, n = np.unique(run_hashes(data, starts, lengths), return_index=True, return_counts=True)
                 often = np.flatnonzero(n >= IN_BLOCK)
                 words = [data[starts[i] : starts[i] + lengths[i]].tobytes() for i in one[often]]
                 yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n[often], pa.int64())], names=["word", "n"])

@@ -8,6 +8,7 @@ single text larger than that makes a larger block.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,10 +32,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _byte_table(seed: int) -> np.ndarray:
-    return mix((np.arange(256, dtype=np.uint64) + np.uint64(seed)) * _ODD)
-
-
 def _word_bytes() -> tuple[np.ndarray, np.ndarray]:
     """Which bytes are part of words, and the lower case of each byte (A-Z only)."""
     b = np.arange(256)
@@ -44,20 +41,58 @@ def _word_bytes() -> tuple[np.ndarray, np.ndarray]:
 
 
 IS_WORD, LOWER = _word_bytes()
-_VALUE = _byte_table(1)[LOWER]
-_BASE = 0x5851F42D4C957F2D
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Runs of more bytes are hashed one by one.
+LONG_RUN = 256
+_ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of data on, as one number; zeros follow data."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2**64 and of its inverse, at least n of each."""
-    if len(_powers[0]) < n:
-        size = max(n, BLOCK_BYTES + 1)
-        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, np.uint64(base))
-            steps[0] = 1
-            _powers[i] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
+def _lane(all_lanes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, k: int) -> np.ndarray:
+    """Lane k of runs that have more than 8 * k bytes, without the bytes after each run."""
+    left = np.minimum(lengths - 8 * k, 8).astype(np.uint64)
+    return all_lanes[starts + 8 * k] & (_ALL >> (np.uint64(64) - np.uint64(8) * left))
+
+
+def run_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte runs, none of them empty.
+
+    A run is taken in lanes of eight bytes; each lane goes through a mixer that isn't linear, so unlike with
+    a polynomial no texts made of two alternating halves meet. Long runs take a digest.
+    """
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    every = lanes(data)
+    h = mix(_lane(every, starts, lengths, 0) ^ (lengths.astype(np.uint64) * _ODD))
+    some = np.flatnonzero((lengths > 8) & (lengths <= LONG_RUN))
+    k = 1
+    while len(some):
+        h[some] = mix(h[some] * _ODD ^ _lane(every, starts[some], lengths[some], k))
+        k += 1
+        some = some[lengths[some] > 8 * k]
+    for i in np.flatnonzero(lengths > LONG_RUN).tolist():
+        h[i] = np.frombuffer(hashlib.blake2b(data[starts[i] : starts[i] + lengths[i]].tobytes(), digest_size=8).digest(), np.uint64)[0]
+    return h
+
+
+def same_runs(data: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether the runs of these lengths from a and from b on have the same bytes."""
+    same = np.ones(len(a), bool)
+    every = lanes(data)
+    some = np.flatnonzero((a != b) & (lengths <= LONG_RUN))
+    k = 0
+    while len(some):
+        same[some] &= _lane(every, a[some], lengths[some], k) == _lane(every, b[some], lengths[some], k)
+        k += 1
+        some = some[lengths[some] > 8 * k]
+    for i in np.flatnonzero((a != b) & (lengths > LONG_RUN)).tolist():
+        same[i] = np.array_equal(data[a[i] : a[i] + lengths[i]], data[b[i] : b[i] + lengths[i]])
+    return same
 
 
 class Texts:
@@ -86,13 +121,7 @@ class Texts:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word in lower case (A-Z only)."""
-        power, inverse = _power_tables(len(self.data) + 1)
-        running = np.empty(len(self.data) + 1, np.uint64)
-        running[0] = 0
-        np.multiply(_VALUE[self.data], power[: len(self.data)], out=running[1:])
-        np.cumsum(running[1:], out=running[1:])
-        h = (running[self.ends] - running[self.starts]) * inverse[self.starts]
-        return mix(h + (self.ends - self.starts).astype(np.uint64) * _ODD)
+        return run_hashes(LOWER[self.data], self.starts, self.ends - self.starts)
 
     def word(self, i: int) -> bytes:
         """The bytes of word i, in lower case."""

@@ -7,15 +7,12 @@
 2. Signatures. A chunk meets its answers, weights each text's shingles by tf * idf and takes
    SAMPLES consistent weighted samples.
 3. Equal texts, told by their md5, become one node.
-4. Bands of ROWS samples give buckets. In a small bucket all pairs are candidates; in a larger one
-   each node is paired with the bucket's pivot. Where nodes are left that links don't connect with the
-   pivot, these and those that may be similar to them are paired with the pivots of longer keys (DEEPER
-   samples more), so that groups of copies get one label, and then joined exactly: by their rarest
-   shingles (a prefix filter), in salted blocks, for all pairs of different labels.
-5. Candidates are verified by the exact weighted Jaccard similarity; pairs of one node are dealt in
-   salted groups, so that a node of many copies is not one task.
-6. After each step links become labels by alternating large and small stars, so work on what is
-   connected already ends early. The class id is the least document id of a label.
+4. Bands of ROWS samples give buckets. In a small bucket all pairs are candidates. In a larger one
+   each node is paired with a pivot; what that leaves with more than one label is joined exactly, by
+   the rarest shingles of each text (a prefix filter), in salted blocks, for all pairs of different labels.
+5. Candidates whose samples agree often enough are verified by the exact weighted Jaccard similarity; pairs of
+   one node are dealt in salted groups, so that a node of many copies is not one task.
+6. Links become labels by alternating large and small stars. The class id is the least document id of a label.
 
 Idf counts for IDF_SHARE of a weight. In a group of n near copies the common shingles have a
 document frequency of n and the edited ones of 1, so a full idf would take large groups of copies
@@ -38,23 +35,28 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessel.sources.shared import keep
 
 from .words import blocks, consistent_samples, shingles, term_counts
 
 SIMILARITY = 0.8
-BANDS, ROWS, DEEPER = 14, 3, 2
+BANDS, ROWS = 14, 3
 SAMPLES = BANDS * ROWS
 IDF_SHARE = 0.1
-#: Buckets of so many nodes at most give all their pairs.
-SMALL = 10
+#: Buckets of so many nodes at most give all their pairs; nodes of larger ones meet so many pivots, and what that leaves apart is joined exactly.
+SMALL, STARS = 10, 2
+#: Samples that a pair agrees in at least if its texts are compared.
+LEAST = 22
 #: Nodes of one rare term in one block of the exact join, on average.
 BLOCK = 1024
 #: Pairs of one node in one group at most.
 GROUP = 128
 #: Bytes of text in a chunk, and in a hash range of shingles.
-CHUNK, RANGE = 8 << 20, 2 << 20
+CHUNK, RANGE = 8 << 20, 8 << 20
+#: Edges that one task contracts at most.
+PART_EDGES = 1 << 18
 #: Ids that are broadcast at most; more take a shuffled join.
 BROADCAST_IDS = 2_000_000
 NO_ID = -(1 << 63)
@@ -174,28 +176,46 @@ def signatures(texts: DataFrame, documents: int, size: int) -> DataFrame:
 # ---- 4 and 5: candidates and their verification -----------------------------------------------
 
 
-def _key(depth: int) -> Column:
-    """The bucket of band b: the band's samples and as many of the next ones as depth says."""
-    own = [F.element_at("sig", ((F.col("band") * ROWS + i) % SAMPLES + 1).cast("int")) for i in range(ROWS + depth)]
-    return F.xxhash64("band", *own)
+def _key() -> Column:
+    """The bucket of a band: its number and samples."""
+    return F.xxhash64("band", *[F.element_at("sig", F.col("band") * ROWS + i + 1) for i in range(ROWS)])
 
 
-def _pairs(members: DataFrame, small_size: int) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (a, b, salt) and the members of buckets that have a pivot; members: bucket, band, node, label.
+def _buckets(nodes: DataFrame) -> DataFrame:
+    """bucket, node, band, n, sig of the members of all buckets with two nodes or more."""
+    bands = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")
+    members = nodes.where("n_terms > 0").select("node", "sig", bands).select("node", "band", _key().alias("bucket"))
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    return keep(members.join(sizes, "bucket").join(nodes.select("node", "sig"), "node"))
+
+
+def _agreement(x: Column, y: Column) -> Column:
+    return F.size(F.filter(F.zip_with(x, y, lambda p, q: p == q), lambda same: same))
+
 
-    In a small bucket nodes of one label are connected already, so only pairs of different labels are candidates.
+def _candidates(in_bucket: DataFrame) -> DataFrame:
+    """Pairs (a, b, salt) that are worth a comparison of their texts.
+
+    All pairs of small buckets; in large ones each node with the bucket's pivot, a node that is in
+    many large buckets and so is near the middle of its group. Another pivot leads each band, and a node takes the
+    STARS pivots that its samples agree with best. Pairs that agree in less than LEAST samples go: one of similarity 0.8
+    does that with a probability under 10**-5.
     """
-    first = F.min(F.struct(F.xxhash64("node").alias("h"), "node"))["node"]
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), first.alias("pivot")).where("n > 1")
-    in_bucket = keep(members.join(sizes, "bucket"))
-    small = in_bucket.where(F.col("n") <= small_size).groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("node", "label"))).alias("nodes"))
-    left = small.select("nodes", F.posexplode("nodes").alias("i", "own"))
-    others = F.filter(F.slice("nodes", F.col("i") + 2, F.size("nodes")), lambda x: x["label"] != F.col("own.label"))
-    every = left.select(F.col("own.node").alias("a"), F.explode(F.transform(others, lambda x: x["node"])).alias("b"), F.lit(1).alias("salts"))
-    large = in_bucket.where(F.col("n") > small_size)
-    to_pivot = large.where(F.col("node") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("node").alias("b"), F.ceil(F.col("n") / GROUP).cast("int").alias("salts"))
-    pairs = every.unionByName(to_pivot).groupBy("a", "b").agg(F.max("salts").alias("salts"))
-    return pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt")), large
+    small = in_bucket.where(F.col("n") <= SMALL).groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("node", "sig"))).alias("nodes"))
+    left = small.select("nodes", F.posexplode("nodes").alias("i", "x"))
+    every = left.select("x", F.explode(F.slice("nodes", F.col("i") + 2, F.size("nodes"))).alias("y"))
+    every = every.where(_agreement(F.col("x.sig"), F.col("y.sig")) >= LEAST).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.lit(1).alias("salts"))
+    large = in_bucket.where(F.col("n") > SMALL)
+    reach = large.groupBy("node").agg(F.count("*").alias("reach"))
+    first = F.min(F.struct((-F.col("reach")).alias("r"), F.xxhash64("node", "band").alias("h"), "node", "sig"))
+    pivots = large.join(reach, "node").groupBy("bucket").agg(first.alias("p")).select("bucket", F.col("p.node").alias("a"), F.col("p.sig").alias("to"))
+    agree = _agreement(F.col("sig"), F.col("to"))
+    stars = large.join(pivots, "bucket").where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b"), agree.alias("agree"), F.ceil(F.col("n") / GROUP).cast("int").alias("salts"))
+    stars = stars.where(F.col("agree") >= LEAST).groupBy("a", "b").agg(F.max("agree").alias("agree"), F.max("salts").alias("salts"))
+    best = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("agree"), "a"))
+    stars = stars.withColumn("place", best).where(F.col("place") <= STARS).select("a", "b", "salts")
+    pairs = every.unionByName(stars).groupBy("a", "b").agg(F.max("salts").alias("salts"))
+    return keep(pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt")))
 
 
 def _vectors(texts: list[str], codes: list[bytes], documents: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -241,49 +261,19 @@ def _verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, documents: int
 def linked_nodes(nodes: DataFrame, texts: DataFrame, documents: int, similarity: float = SIMILARITY, repeats: bool = True) -> DataFrame:
     """node, label of the nodes that have a link of at least this similarity: the least node that links connect it with.
 
-    A bucket whose nodes all have the pivot's label is done. In the others, a node
-    goes on if it may be similar to one of another label: distances of weighted Jaccard obey the triangle
-    inequality, so it must not be nearer to the pivot than such a node by more than the threshold allows.
-    What goes on is joined exactly, after one round of longer keys has given its groups their labels.
+    A large bucket whose nodes all have one label is done. The nodes of the others are joined exactly.
     """
-    bands = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")
-    some = nodes.where("n_terms > 0")
-    members = some.select("node", "sig", bands).select("node", F.col("node").alias("label"), "band", _key(0).alias("bucket"))
-    pairs, large = _pairs(members, SMALL)
-    checked = keep(_verify(keep(pairs), nodes, texts, documents, repeats))
+    in_bucket = _buckets(nodes)
     link = F.col("similarity") >= similarity
-    labels = _relabel(None, checked.where(link).select("a", "b"))
-    left = _unsettled(large, checked, labels, similarity)
-    if left.isEmpty():
+    labels = _relabel(None, _verify(_candidates(in_bucket), nodes, texts, documents, repeats).where(link).select("a", "b"))
+    large = in_bucket.where(F.col("n") > SMALL).select("bucket", "node")
+    named = keep(large.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label")))
+    mixed = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
+    open_nodes = keep(named.join(mixed, "bucket", "left_semi").select("node", "label").distinct())
+    if open_nodes.isEmpty():
         return labels
-    # groups that longer keys part from the rest become one label at the cost of one pair for each node
-    members = left.join(some.select("node", "sig"), "node").select("node", "label", "band", F.xxhash64("bucket", _key(DEEPER)).alias("bucket"))
-    checked = keep(_verify(keep(_to_pivots(members)), nodes, texts, documents, repeats))
-    labels = _relabel(labels, checked.where(link).select("a", "b"))
-    now = left.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_nodes = keep(now.join(now.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket"), "bucket", "left_semi").select("node", "label").distinct())
-    pairs = keep(_prefix_pairs(open_nodes, nodes, texts, documents, similarity, repeats))
-    checked = keep(_verify(pairs, nodes, texts, documents, repeats))
-    return _relabel(labels, checked.where(link).select("a", "b"))
-
-
-def _unsettled(large: DataFrame, checked: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
-    """bucket, band, node, label of the members of large buckets that may be similar to one of another label."""
-    of = lambda c, to: labels.select(F.col("node").alias(c), F.col("label").alias(to))
-    by_pivot = large.where(F.col("node") != F.col("pivot")).join(checked.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "similarity"), ["pivot", "node"])
-    named = by_pivot.join(of("node", "x"), "node", "left").join(of("pivot", "y"), "pivot", "left")
-    named = keep(named.select("bucket", "band", "node", F.coalesce("x", "node").alias("label"), "similarity", (F.coalesce("x", "node") != F.coalesce("y", "pivot")).alias("other")))
-    bound = named.where("other").groupBy("bucket").agg((F.max("similarity") + 1 - similarity).alias("bound"))
-    return keep(named.join(bound, "bucket").where(F.col("similarity") <= F.col("bound")).select("bucket", "band", "node", "label"))
-
-
-def _to_pivots(members: DataFrame) -> DataFrame:
-    """a, b, salt: each member with the pivot of its bucket where their labels differ."""
-    first = F.min(F.struct(F.xxhash64("node").alias("h"), "node", "label"))
-    pivots = members.groupBy("bucket").agg(F.count("*").alias("n"), first.alias("p")).where("n > 1").select("bucket", "n", F.col("p.node").alias("a"), F.col("p.label").alias("of"))
-    pairs = members.join(pivots, "bucket").where(F.col("label") != F.col("of")).select("a", F.col("node").alias("b"), F.ceil(F.col("n") / GROUP).cast("int").alias("salts"))
-    pairs = pairs.groupBy("a", "b").agg(F.max("salts").alias("salts"))
-    return pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
+    pairs = _prefix_pairs(open_nodes, nodes, texts, documents, similarity, repeats)
+    return _relabel(labels, _verify(pairs, nodes, texts, documents, repeats).where(link).select("a", "b"))
 
 
 def _prefix_pairs(some: DataFrame, nodes: DataFrame, texts: DataFrame, documents: int, similarity: float, repeats: bool) -> DataFrame:
@@ -293,7 +283,7 @@ def _prefix_pairs(some: DataFrame, nodes: DataFrame, texts: DataFrame, documents
     before either has used up more than 1 - similarity of its weight; what is left from the first
     such term on bounds their overlap. Terms of one document only are counted but not joined.
     """
-    need = some.join(nodes.select("node", "k", "codes"), "node")
+    need = keep(some.join(nodes.select("node", "k", "codes"), "node"))
     wanted = texts.join(need.select("k").distinct(), "k", "left_semi").withColumnRenamed("digest", "node")
     if repeats:
         wanted = wanted.dropDuplicates(["k", "node"])
@@ -321,12 +311,14 @@ def _prefix_pairs(some: DataFrame, nodes: DataFrame, texts: DataFrame, documents
 
     entries = keep(rows.mapInArrow(prefixes, "token long, node binary, label binary, w double, used double"))
     sizes = entries.groupBy("token").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
-    shared = keep(entries.join(sizes.select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "token"))
-    x = shared.select("token", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), *[F.col(c).alias(f"x_{c}") for c in ("node", "label", "w", "used")])
-    y = shared.select("token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *[F.col(c).alias(f"y_{c}") for c in ("node", "label", "w", "used")])
+    shared = entries.join(sizes.select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "token")
+    shared = keep(shared.join(nodes.select("node", "sig"), "node"))
+    own = ("node", "label", "w", "used", "sig")
+    x = shared.select("token", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), *[F.col(c).alias(f"x_{c}") for c in own])
+    y = shared.select("token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *[F.col(c).alias(f"y_{c}") for c in own])
     overlap = F.least(F.col("x_w") - F.col("x_used"), F.col("y_w") - F.col("y_used"))
     needed = (F.col("x_w") + F.col("y_w")) * (similarity / (1 + similarity) - 1e-6)
-    able = (x["token"] == y["token"]) & (x["part"] == y["part"]) & (F.col("x_node") < F.col("y_node")) & (F.col("x_label") != F.col("y_label")) & (overlap >= needed)
+    able = (x["token"] == y["token"]) & (x["part"] == y["part"]) & (F.col("x_node") < F.col("y_node")) & (F.col("x_label") != F.col("y_label")) & (overlap >= needed) & (_agreement(F.col("x_sig"), F.col("y_sig")) >= LEAST)
     pairs = keep(x.join(y, able).select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct())
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("salts"))
     return pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
@@ -335,11 +327,42 @@ def _prefix_pairs(some: DataFrame, nodes: DataFrame, texts: DataFrame, documents
 # ---- 6: classes -------------------------------------------------------------------------------
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, label for all nodes of edges (a, b): the least node of its component."""
+def _contracted(edges: DataFrame, parts: int) -> DataFrame:
+    """u, v: each node of edges (u, v) but the least of its component within a part, with that least one."""
+
+    def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict = {}
+
+        def find(x):
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent[up]
+            return x
+
+        for batch in batches:
+            for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = find(u), find(v)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+        schema = pa.schema([("u", kind), ("v", kind)])
+        moved = [(x, root) for x in parent if (root := find(x)) != x]
+        for i in range(0, len(moved), 1 << 15):
+            some = moved[i : i + (1 << 15)]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in some], kind), pa.array([r for _, r in some], kind)], schema=schema)
+
+    kind = to_arrow_type(edges.schema["u"].dataType)
+    return (edges.coalesce(1) if parts == 1 else edges.repartition(parts)).mapInArrow(contract, edges.schema)
+
+
+def components(edges: DataFrame, part_edges: int = PART_EDGES) -> DataFrame:
+    """node, label for all nodes of edges (a, b): the least node of its component.
+
+    Parts of at most part_edges edges are contracted to stars; stars of several parts are joined by
+    alternating large and small stars until nothing changes.
+    """
     state = keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    mark = None
-    while True:
+    parts = max(1, math.ceil(state.count() / part_edges))
+    state, mark = keep(_contracted(state, parts)), None
+    while parts > 1:
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = keep(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"))
@@ -348,21 +371,22 @@ def components(edges: DataFrame) -> DataFrame:
         state = keep(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         now = state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
-            labels = state.select(F.col("u").alias("node"), F.col("v").alias("label"))
-            return labels.unionByName(labels.select(F.col("label").alias("node"), "label").distinct())
+            break
         mark = now
+    labels = state.select(F.col("u").alias("node"), F.col("v").alias("label"))
+    return labels.unionByName(labels.select(F.col("label").alias("node"), "label").distinct())
 
 
 def _relabel(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     """labels (node, label) after further links (a, b): only links between different labels are worked on."""
     if labels is None:
-        return keep(components(links))
+        return components(links)
     of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
     named = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
     named = keep(named.select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b")).where("a <> b").distinct())
     if named.isEmpty():
         return labels
-    joined = keep(components(named))
+    joined = components(named)
     old = labels.join(joined.select(F.col("node").alias("label"), F.col("label").alias("new")), "label", "left").select("node", F.coalesce("new", "label").alias("label"))
     return keep(old.unionByName(joined.join(labels, "node", "left_anti").select("node", "label")))
 

@@ -2,14 +2,41 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType, StructField, StructType
 
 Work = Callable[[pa.Array], list]
+#: Bytes of an Arrow batch on its way to Python, and of text whose results are held at once.
+BATCH_BYTES, SLICE_BYTES = 8 << 20, 4 << 20
+_UNBOUNDED = str(2**31 - 1)
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Limits Arrow batches by bytes, where the session leaves that open: rows may hold long texts."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, _UNBOUNDED) == _UNBOUNDED:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def release() -> None:
+    """Gives freed memory back to the system, as a Python worker outlives its task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of batch with about SLICE_BYTES of its column text."""
+    column = batch.column(text)
+    rows = max(1, int(batch.num_rows * SLICE_BYTES / max(1, column.nbytes)))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
 
 
 def add_columns(df: DataFrame, text_col: str, fields: list[tuple[str, DataType]], make: Callable[[], Work]) -> DataFrame:
@@ -27,11 +54,12 @@ def add_columns(df: DataFrame, text_col: str, fields: list[tuple[str, DataType]]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            if batch.num_rows:
-                text = batch.column(len(names))
-                made = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(work(text), types, strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *made], names=[*names, *[n for n, _ in fields]])
+            for some in slices(batch, len(names)):
+                made = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(work(some.column(len(names))), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*some.columns[: len(names)], *made], names=[*names, *[n for n, _ in fields]])
+        release()
 
+    bound_batches(df.sparkSession)
     schema = StructType([*kept, *[StructField(n, t) for n, t in fields]])
     return source.mapInArrow(run, schema)
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType
 
-from .arrow import add_columns
+from .arrow import add_columns, bound_batches, release
 from .words import BLOCK_BYTES, as_bytes, mix, run_hashes, same_runs
 
 #: The lexicon has this many of the most frequent words; a word counts where it is seen so often in a block at least.
@@ -495,7 +495,9 @@ def frequent_words(docs: DataFrame, text_col: str = "text", number: int = LEXICO
                 often = np.flatnonzero(n >= IN_BLOCK)
                 words = [data[starts[i] : starts[i] + lengths[i]].tobytes() for i in one[often]]
                 yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n[often], pa.int64())], names=["word", "n"])
+        release()
 
+    bound_batches(docs.sparkSession)
     counted = docs.select(text_col).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return [bytes(r["word"]) for r in counted.orderBy(F.col("n").desc(), "word").limit(number).collect()]
 

@@ -32,7 +32,7 @@ from .words import _ODD, Texts, blocks, mix
 WINDOW = 10
 SEGMENT = 64
 #: Bytes of benchmark text in one set of tables; a larger benchmark takes more passes over the documents.
-BLOCK_OF_ITEMS = 16 << 20
+BLOCK_OF_ITEMS = 2 << 20
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:

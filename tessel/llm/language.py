@@ -31,7 +31,7 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType
 
 from tessel.sources.shared import keep
 
-from .arrow import add_columns, keep_where
+from .arrow import add_columns, bound_batches, keep_where, release
 from .words import LOWER, blocks
 
 SAMPLE_ROWS = 20_000
@@ -113,7 +113,9 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", id
         for label, n in sums.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([label] * len(at)), pa.array(at, pa.int32()), pa.array(n[at])], names=["label", "feature", "n"])
+        release()
 
+    bound_batches(labelled.sparkSession)
     counts = rows.select("label", "text").mapInArrow(count, "label string, feature int, n long").groupBy("label", "feature").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(counts["label"].unique())
     table = np.zeros((len(languages), FEATURES + 1), np.float32)

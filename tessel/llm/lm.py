@@ -32,7 +32,7 @@ from pyspark.sql.types import DoubleType, LongType
 
 from tessel.sources.shared import keep
 
-from .arrow import add_columns
+from .arrow import add_columns, bound_batches, release
 from .words import Texts, blocks, mix
 
 FREQUENT, RARE, GROUP = 3072, 1024, 64
@@ -178,7 +178,9 @@ def count_words(docs: DataFrame, text_col: str = "text") -> Vocabulary:
             for _, _, texts in blocks(batch.column(0)):
                 h, n = np.unique(texts.hashes(), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
+        release()
 
+    bound_batches(docs.sparkSession)
     counted = docs.select(text_col).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     top = counted.orderBy(F.col("n").desc(), "word").limit(FREQUENT).select("word").toPandas()["word"]
     return Vocabulary(top.to_numpy(np.int64).view(np.uint64))

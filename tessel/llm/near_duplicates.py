@@ -39,6 +39,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from tessel.sources.shared import keep
 
+from .arrow import bound_batches, release
 from .words import blocks, consistent_samples, shingles, term_counts
 
 SIMILARITY = 0.8
@@ -100,6 +101,7 @@ def _ask(ranges: int):
         for p, a, b in zip(one.tolist(), at.tolist(), [*at[1:].tolist(), len(part)], strict=True):
             single = n[a:b] == 1
             rows.append((p, keys[0].as_py(), low[a:b][single].tobytes(), low[a:b][~single].tobytes(), n[a:b][~single].tobytes()))
+        release()
         return pa.Table.from_pylist([dict(zip(_ASKED.names, r, strict=True)) for r in rows], _ASKED)
 
     return ask
@@ -158,6 +160,7 @@ def _sign(documents: int, ranges: int):
                 n_terms.append(int(b - a))
                 sigs.append(s[i])
                 packed.append(zlib.compress(code[a:b].tobytes(), 1))
+        release()
         digests = [hashlib.md5(t.encode()).digest() for t in docs["text"].to_pylist()]
         return pa.table([docs["k"].combine_chunks(), pa.array(digests, pa.binary()), pa.array(n_terms, pa.int32()), pa.array(sigs, pa.list_(pa.int32())), pa.array(packed, pa.binary())], schema=schema)
 
@@ -393,6 +396,7 @@ def _relabel(labels: DataFrame | None, links: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """k (the id), digest (md5 of the text), label (the least digest) and class_id (the least id) of each row's class."""
+    bound_batches(docs.sparkSession)
     texts = _texts(docs, id_col, text_col)
     total = texts.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     signed = keep(signatures(texts, total[0], total[1] or 0))

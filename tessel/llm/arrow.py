@@ -31,10 +31,10 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
-    """Runs of rows of batch with about SLICE_BYTES of its column text."""
+def slices(batch: pa.RecordBatch, text: int, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of batch with about size bytes of its column text."""
     column = batch.column(text)
-    rows = max(1, int(batch.num_rows * SLICE_BYTES / max(1, column.nbytes)))
+    rows = max(1, int(batch.num_rows * size / max(1, column.nbytes)))
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)
 

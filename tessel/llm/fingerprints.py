@@ -7,13 +7,14 @@ Jaccard similarity of their weighted terms. A fingerprint has 16 bits of each sa
 the likeness of two fingerprints is the part of samples that agree.
 
 with_neighbours() compares each document with the next by descending id. The table is
-range-partitioned by id once and streamed in that order; only the first and the last row of each
-partition are joined across partitions afterwards.
+range-partitioned by id once, in partitions of about PARTITION_BYTES, and streamed in that order; the last
+row of each partition is joined with the first of the next one afterwards.
 
 Cases: null is the empty text; all empty texts have one fingerprint; a text without words has one
 term, the text itself; a text of fewer than five words has one shingle; equal texts have equal
 fingerprints whatever their rows; rows of one id follow each other by text; an empty table gives an
-empty result; a single row is its own next.
+empty result; a single row is its own next; long texts are taken whole, one by one; other columns are
+ignored here and kept by fingerprints(), which replaces one of its result's name.
 """
 
 from __future__ import annotations
@@ -31,11 +32,12 @@ from pyspark.sql.types import StringType
 
 from tessel.sources.shared import keep
 
-from .arrow import add_columns
+from .arrow import add_columns, bound_batches, release, slices
 from .words import blocks, consistent_samples, shingles, term_counts
 
 SAMPLES = 64
-ROWS_OF_PARTITION = 4000
+#: Bytes of text in a range of ids.
+PARTITION_BYTES = 16 << 20
 
 
 def signatures(column: pa.Array, samples: int = SAMPLES) -> np.ndarray:
@@ -93,8 +95,7 @@ def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), *[(n, pa.string()) for n in ("edited_sha256", "fingerprint", "edited_fingerprint")], ("near_edited", pa.float64()), ("near_next", pa.float64()), ("part", pa.int32()), ("place", pa.int64()), ("text", pa.large_string())])
     ends = lambda rows: pa.RecordBatch.from_pylist([{"doc_id": i, "part": part, "place": p, "text": t} for i, t, p in rows], schema).cast(pa.schema([*list(schema)[:-1], ("text", pa.string())]))
     for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            some = batch.slice(at, 500)
+        for some in slices(batch, 1, 1 << 20):
             ids, texts = some.column(0).to_pylist(), [t or "" for t in some.column(1).to_pylist()]
             if last is None:
                 yield ends([(ids[0], texts[0], 0)])
@@ -109,23 +110,25 @@ def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([*columns, pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string())], names=schema.names)
     if last is not None:
         yield ends([(last[0], last[1], place)])
+    release()
 
 
 def with_neighbours(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of all (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    parts = max(1, math.ceil(docs.select("doc_id").count() / ROWS_OF_PARTITION))
+    bound_batches(docs.sparkSession)
+    parts = max(1, math.ceil((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / PARTITION_BYTES))
     order = [F.col("doc_id").desc_nulls_last(), F.col("text").asc()]
     ordered = docs.repartitionByRange(parts, order[0]).sortWithinPartitions(*order)
     rows = keep(ordered.mapInArrow(_in_order, _SCHEMA))
     results = rows.columns[:7]
-    # one first and one last row for each partition: as many as partitions, not as rows
+    # each partition has a first and a last row; which partitions follow each other is told without texts
     ends = rows.where(F.col("part").isNotNull())
-    line = Window.orderBy("part", "place")
-    firsts = ends.where("place = 0").withColumn("line", F.row_number().over(line))
-    lasts = ends.where("place > 0").withColumn("line", F.row_number().over(line))
-    n = F.count("*").over(Window.partitionBy())
-    after = firsts.select(((F.col("line") + n - 2) % n + 1).alias("line"), F.col("text").alias("after"))
+    line = F.row_number().over(Window.orderBy("part"))
+    lines = ends.where("place = 0").select("part").withColumn("line", line)
+    n = lines.count()
+    firsts = ends.where("place = 0").select("part", F.col("text").alias("after")).join(lines.select("part", ((F.col("line") + n - 2) % n + 1).alias("line")), "part").drop("part")
+    lasts = ends.where("place > 0").select("part", "doc_id", "text").join(lines, "part")
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,7 +136,7 @@ def with_neighbours(docs: DataFrame) -> DataFrame:
                 made = _compare([i, i], [text, following])
                 yield pa.RecordBatch.from_pydict({k: pa.array(v) if k != "doc_id" else pa.array(v, pa.int64()) for k, v in made.items()})
 
-    joined = lasts.join(after, "line").select("doc_id", "text", "after").mapInArrow(across, _SCHEMA.split(", part")[0])
+    joined = lasts.join(firsts, "line").select("doc_id", "text", "after").mapInArrow(across, _SCHEMA.split(", part")[0])
     return rows.where(F.col("part").isNull()).select(*results).unionByName(joined)
 
 

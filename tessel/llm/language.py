@@ -9,14 +9,14 @@ Four kinds of evidence are combined as log-probabilities:
   then the suffix, then the host. Their counts are grouped sums over all rows.
 
 The text model is fitted on a sample of labelled rows, at most SAMPLE_ROWS in expectation, chosen
-by a hash of the id; everything else covers all rows.
+by a hash of the id, and one row at least of each label; everything else covers all rows.
 
 A row is rejected if its text has no letters or no language gets LEAST_POSTERIOR.
 
 Cases: null and empty texts, and texts without letters, have no text evidence; their language is
 null and they are rejected; a null or unknown declaration, host or suffix is a value of its own;
 repeated rows count as often as they are there; with an empty table, or without any labelled row,
-the result is empty or all rejected; columns that have the name of a result are replaced.
+the result is empty or all rejected; of languages that are equally likely the first by name is taken; columns that have the name of a result are replaced.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ from .arrow import add_columns, bound_batches, keep_where, release
 from .words import LOWER, blocks
 
 SAMPLE_ROWS = 20_000
+#: More labels than this are an error: the column has no languages.
+MOST_LABELS = 4096
 FEATURES = 1 << 16
 LEAST_POSTERIOR = 0.5
 #: Trigrams overlap, so their evidence counts for a part.
@@ -94,11 +96,19 @@ class TextModel:
         return np.concatenate(lls), np.concatenate(letters)
 
 
+def hash_bound(total: int, sample_rows: int) -> int:
+    """The 64-bit hash up to which sample_rows of total rows are expected."""
+    return min(2**63 - 1, -(2**63) + max(0, int(2**64 * sample_rows / max(1, total)) - 1))
+
+
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> TextModel:
     """Naive Bayes from a hash sample of rows with labels; counts are summed by Spark."""
     rows = labelled.where(F.col(label_col).isNotNull()).select(F.col(id_col).cast("string").alias("i"), F.col(label_col).alias("label"), F.col(text_col).alias("text"))
-    total = rows.count()
-    rows = rows.where(F.pmod(F.xxhash64("i"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample_rows / max(1, total))))
+    rows = rows.withColumn("h", F.xxhash64("i"))
+    labels = rows.groupBy("label").agg(F.count("*").alias("n"), F.min("h").alias("first")).limit(MOST_LABELS + 1).collect()
+    if len(labels) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels are no languages")
+    rows = rows.where((F.col("h") <= hash_bound(sum(r["n"] for r in labels), sample_rows)) | F.col("h").isin([r["first"] for r in labels]))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}

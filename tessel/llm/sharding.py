@@ -4,14 +4,19 @@ Rows of equal text form a group; the groups are placed on the shards so that byt
 rows are balanced jointly: each is placed where the dot product of its vector with the shard's
 residual capacity is highest, large ones first.
 
-What the driver places is bounded: groups that are a notable part of a shard stand alone (at most
-three dimensions * shards * LARGE of them), all others are dealt by the hash of their text into
-PARCELS parcels a shard. Equal texts stay together, except that a group larger than half a
+Groups that are a notable part of a shard come first; there are at most three dimensions * shards * LARGE
+of them, so one place can put them. All other groups are dealt by hash into parts of about PART_ROWS
+rows, and each part puts its groups, one by one and by the same rule, into its share of the capacity that
+the large ones leave. Equal texts stay together, except that a group larger than half a
 shard is dealt by doc_id into pieces of about that size, so that one text that is a third of all
 rows does not fill a shard. Texts themselves are read once and never shuffled.
 
+Tokens are counted as the words that an encoder splits a text into before it merges bytes; a column with
+other counts, as bpe.encode() gives them, can be named.
+
 Cases: a null text counts as empty and has only the fixed size of a row; repeated rows are rows of
-their own; an empty table gives an empty result; other columns are ignored.
+their own; a null id is an id like others; ties go to the first shard; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,42 +24,58 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tessel.sources.shared import keep
 
-#: Parcels of small groups for each shard, and the part of a shard from which a group stands alone.
-PARCELS, LARGE, PIECES = 256, 64, 2
+#: The part of a shard from which a group comes first, pieces in a shard of a larger group, and rows of a part.
+LARGE, PIECES, PART_ROWS = 64, 2, 20_000
+#: Letters, digits or other signs in a row: what is merged on its own.
+WORD = r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+"
 ROW_BYTES = 16
-#: How bytes, tokens and rows count in the dot product.
-WEIGHTS = (1.0, 0.2, 0.2)
+#: How bytes, tokens and rows count in the dot product: bytes are to be near equal, whatever the others allow.
+WEIGHTS = (1.0, 0.05, 0.05)
 
 
-def pack(vectors: np.ndarray, shards: int, weights: tuple[float, ...] = WEIGHTS) -> np.ndarray:
-    """The shard of each vector (rows: groups; columns: bytes, tokens, rows)."""
-    share = vectors / np.maximum(vectors.sum(axis=0), 1) * shards
-    residual = np.ones((shards, vectors.shape[1]))
-    w = np.asarray(weights)
+def pack(vectors: np.ndarray, residual: np.ndarray, weights: tuple[float, ...] = WEIGHTS) -> np.ndarray:
+    """The shard of each vector (rows: groups; columns: bytes, tokens, rows). residual: what each shard can still take; it is used up."""
+    scale = np.maximum(residual.clip(0).sum(axis=0) / len(residual), 1e-9)
+    w = np.asarray(weights) / scale**2
     out = np.zeros(len(vectors), np.int32)
-    for i in np.lexsort((np.arange(len(vectors)), -share[:, 0])):
-        s = int(np.argmax(residual @ (share[i] * w)))
+    for i in np.lexsort((np.arange(len(vectors)), -vectors[:, 0])):
+        s = int(np.argmax(residual @ (vectors[i] * w)))
         out[i] = s
-        residual[s] -= share[i]
+        residual[s] -= vectors[i]
     return out
 
 
-def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _pack_part(left: np.ndarray):
+    """Places the groups of a part; left: the part of the small groups that each shard takes, by dimension."""
+
+    def place(table: pa.Table) -> pa.Table:
+        _, of = np.unique(table["g"].to_numpy(), return_inverse=True)
+        sums = [np.bincount(of, x) for x in (table["size"].to_numpy(), table["n_tokens"].to_numpy(), np.ones(len(of)))]
+        vectors = np.stack(sums, axis=1)
+        return table.drop_columns(["g", "part"]).append_column("shard", pa.array(pack(vectors, left * vectors.sum(axis=0))[of], pa.int32()))
+
+    return place
+
+
+def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", tokens_col: str | None = None) -> DataFrame:
     """For each row its id, size, text_crc32, n_tokens, shard and slot (gapless from 0 in each shard)."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
+    tokens = F.coalesce(F.col(tokens_col), F.lit(0)) if tokens_col else F.regexp_count(text, F.lit(WORD))
     rows = keep(
         docs.select(
             F.col(id_col).alias("doc_id"),
             (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.xxhash64(text).alias("g"),
-            (F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1).cast("long").alias("n_tokens"),
+            tokens.cast("long").alias("n_tokens"),
         )
     )
     sums = [F.sum("size").alias("b"), F.sum("n_tokens").alias("t"), F.count("*").alias("n")]
@@ -64,18 +85,27 @@ def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
     part_of_shard = F.greatest(*[F.col(c) * (shards / max(1, total[c])) for c in ("b", "t", "n")])
     groups = rows.groupBy("g").agg(*sums).where(part_of_shard > 1 / LARGE)
     large = keep(groups.select("g", F.ceil(part_of_shard * PIECES).cast("int").alias("pieces")))
-    unit = F.when(F.col("pieces").isNull(), F.pmod("g", F.lit(PARCELS * shards))).otherwise(F.xxhash64("g", F.pmod(F.xxhash64("doc_id"), F.col("pieces"))))
-    dealt = rows.join(F.broadcast(large), "g", "left").withColumn("alone", F.col("pieces").isNotNull()).withColumn("unit", unit)
-    units = dealt.groupBy("alone", "unit").agg(*sums).orderBy("alone", "unit").collect()
-    placed = pack(np.array([[u["b"], u["t"], u["n"]] for u in units], float), shards)
-    where = spark.createDataFrame([(u["alone"], u["unit"], int(s)) for u, s in zip(units, placed, strict=True)], "alone boolean, unit long, shard int")
-    parts = max(16, math.ceil(total["n"] / (shards * 100_000)))
-    rows = dealt.join(F.broadcast(where), ["alone", "unit"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
+    alone = rows.join(F.broadcast(large), "g").withColumn("piece", F.pmod(F.xxhash64("doc_id"), F.col("pieces")).cast("int")).drop("pieces")
+    units = alone.groupBy("g", "piece").agg(*sums).orderBy("g", "piece").collect()
+    vector = lambda u: [u["b"], u["t"], u["n"]]
+    residual = np.ones((shards, 3)) * np.array(vector(total), float) / shards
+    placed = pack(np.array([vector(u) for u in units], float).reshape(-1, 3), residual)
+    where = spark.createDataFrame([(u["g"], u["piece"], int(s)) for u, s in zip(units, placed, strict=True)], "g long, piece int, shard int")
+    names = ["doc_id", "size", "text_crc32", "n_tokens", "shard"]
+    first = alone.join(F.broadcast(where), ["g", "piece"]).select(*names)
+    left = residual.clip(1e-9)
+    left /= left.sum(axis=0)
+    left = np.minimum(left, left[:, :1])  # bytes come first: where they leave little room, so do the others
+    parts = max(1, math.ceil(total["n"] / PART_ROWS))
+    rest = rows.join(F.broadcast(large), "g", "left_anti").withColumn("part", F.pmod(F.xxhash64("g"), F.lit(parts)).cast("int"))
+    schema = StructType([*[x for x in rest.schema.fields if x.name not in ("g", "part")], StructField("shard", IntegerType())])
+    rest = rest.groupBy("part").applyInArrow(_pack_part(left / left.sum(axis=0)), schema).select(*names)
+    rows = keep(first.unionByName(rest)).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(max(16, math.ceil(total["n"] / (shards * 100_000))))).cast("int"))
     by_part = rows.groupBy("shard", "part").agg(F.count("*").alias("n"))
     before = by_part.select("shard", "part", (F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).alias("before"))
     number = F.row_number().over(Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "size"))
-    numbered = rows.select("doc_id", "size", "text_crc32", "n_tokens", "shard", "part", number.alias("number"))
-    return numbered.join(F.broadcast(before), ["shard", "part"]).select("doc_id", "size", "text_crc32", "n_tokens", "shard", (F.col("before") + F.col("number") - 1).cast("long").alias("slot"))
+    numbered = rows.select(*names, "part", number.alias("number"))
+    return numbered.join(F.broadcast(before), ["shard", "part"]).select(*names, (F.col("before") + F.col("number") - 1).cast("long").alias("slot"))
 
 
 def op9(docs: DataFrame, shards: int = 40) -> DataFrame:

@@ -26,16 +26,17 @@ def check(spark, docs):
 
 
 def test_small_cases(spark, monkeypatch):
-    monkeypatch.setattr(f, "ROWS_OF_PARTITION", 3)
+    monkeypatch.setattr(f, "PARTITION_BYTES", 3000)
     docs = [(1, None), (2, ""), (3, "!!! ???"), (4, "é😀 two"), (5, "one two three four five six " * 9), (6, "one two three four five six " * 9), (7, "x " * 30_000), (9, "last"), (9, "again"), (11, "one two three four five")]
     got = check(spark, docs)
     assert got[6]["near_next"] == 1 and got[2]["near_next"] == 1
     check(spark, [(5, "alone here")])
+    check(spark, [(1, "again and again " * 4)] * 3 + [(2, "b " * 9)] * 2)
     check(spark, [])
 
 
 def test_whole_table(spark, sf, monkeypatch):
-    monkeypatch.setattr(f, "ROWS_OF_PARTITION", 90)
+    monkeypatch.setattr(f, "PARTITION_BYTES", 300_000)
     check(spark, [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()])
 
 
@@ -49,3 +50,10 @@ def test_likeness_is_weighted_jaccard(spark, kept):
     df = spark.createDataFrame([(" ".join(a),), (" ".join(b),)], "text string")
     p, q = [r["fingerprint"] for r in f.fingerprints(df, samples=2048).collect()]
     assert abs(f.likeness(p, q) - exact) < 0.05
+
+
+def test_columns_of_a_results_name_are_replaced(spark):
+    df = spark.createDataFrame([(1, "a b", 7, "x")], "doc_id long, text string, fingerprint int, part string")
+    row = f.fingerprints(df).first()
+    assert sorted(row.asDict()) == ["doc_id", "fingerprint", "part", "text"] and isinstance(row["fingerprint"], str)
+    assert f.with_neighbours(df).count() == 1

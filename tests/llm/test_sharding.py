@@ -1,6 +1,8 @@
 import zlib
 from collections import Counter
 
+import pytest
+
 from tessel.llm import sharding as s
 
 
@@ -32,6 +34,19 @@ def test_sf(spark, sf):
     assert all(len(x) == 1 for t, x in by_text.items() if size[t] < sum(size.values()) / 40 * 0.3)
 
 
+@pytest.mark.parametrize("big", [0, 40_000])
+def test_bytes_tokens_and_rows_are_balanced_in_parts(spark, monkeypatch, big):
+    monkeypatch.setattr(s, "PART_ROWS", 900)
+    docs = [(i, ("word " if i % 2 else "longerword") * (i % 97 + 1)) for i in range(5000)] + [(9000, "big " * big)]
+    rows = s.shard(spark.createDataFrame(docs, "doc_id long, text string"), 10).collect()
+    assert len(rows) == len(docs)
+    for of, near in ((lambda r: r["size"], 1.12 if big else 1.03), *[(lambda r: r["n_tokens"], 1.1), (lambda r: 1, 1.1)][: 0 if big else 2]):
+        by = Counter()
+        for r in rows:
+            by[r["shard"]] += of(r)
+        assert max(by.values()) <= near * sum(by.values()) / 10, by
+
+
 def test_hot_text_is_dealt_out(spark):
     docs = [(i, "the same text " * 5 if i % 3 == 0 else f"text {i} " * (i % 7 + 5)) for i in range(6000)]
     check(spark, docs)
@@ -39,4 +54,8 @@ def test_hot_text_is_dealt_out(spark):
 
 def test_small_cases(spark):
     check(spark, [], None)
+    check(spark, [(None, "a b"), (None, "a b"), (None, None), (7, "c")], None)
+    df = spark.createDataFrame([(1, "a b", 9, "x", 5)] * 4, "doc_id long, text string, g int, shard string, tokens int")
+    rows = s.shard(df, 2, tokens_col="tokens").collect()
+    assert len(rows) == 4 and {r["n_tokens"] for r in rows} == {5}
     check(spark, [(1, None), (1, None), (1, "a"), (2, ""), (3, "é" * 1000), (3, "é" * 1000)], None)

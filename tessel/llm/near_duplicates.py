@@ -284,7 +284,7 @@ def _prefix_pairs(some: DataFrame, nodes: DataFrame, texts: DataFrame, documents
 
     Terms are in one order for all texts, rare ones first. Two similar texts have a term in common
     before either has used up more than 1 - similarity of its weight; what is left from the first
-    such term on bounds their overlap. Terms of one document only are counted but not joined.
+    such term on bounds their overlap. A pair whose samples agree too seldom goes here too. Terms of one document only are counted but not joined.
     """
     need = keep(some.join(nodes.select("node", "k", "codes"), "node"))
     wanted = texts.join(need.select("k").distinct(), "k", "left_semi").withColumnRenamed("digest", "node")
@@ -297,7 +297,7 @@ def _prefix_pairs(some: DataFrame, nodes: DataFrame, texts: DataFrame, documents
             column = batch.column(3)
             packed = [np.frombuffer(zlib.decompress(c), np.uint8) for c in batch.column(2).to_pylist()]
             for first, h, tf, offsets in _terms(column):
-                row, token, total, before = [], [], [], []
+                row, token, total, before, value = [], [], [], [], []
                 for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
                     code = packed[first + i]
                     weight = np.exp(log_weights(code, tf[a:b], documents), dtype=np.float64)
@@ -308,23 +308,28 @@ def _prefix_pairs(some: DataFrame, nodes: DataFrame, texts: DataFrame, documents
                     token.append(h[a:b][order][own])
                     total.append(np.full(own.sum(), weight.sum()))
                     before.append(used[own])
+                    value.append(weight[order][own])
                 row = pa.array(np.concatenate(row))
-                columns = [pa.array(np.concatenate(token).view(np.int64)), batch.column(0).take(row), batch.column(1).take(row), pa.array(np.concatenate(total)), pa.array(np.concatenate(before))]
-                yield pa.RecordBatch.from_arrays(columns, names=["token", "node", "label", "w", "used"])
+                columns = [pa.array(np.concatenate(token).view(np.int64)), batch.column(0).take(row), batch.column(1).take(row), pa.array(np.concatenate(total)), pa.array(np.concatenate(before)), pa.array(np.concatenate(value))]
+                yield pa.RecordBatch.from_arrays(columns, names=["token", "node", "label", "w", "used", "v"])
 
-    entries = keep(rows.mapInArrow(prefixes, "token long, node binary, label binary, w double, used double"))
+    entries = keep(rows.mapInArrow(prefixes, "token long, node binary, label binary, w double, used double, v double"))
     sizes = entries.groupBy("token").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
     shared = entries.join(sizes.select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "token")
     shared = keep(shared.join(nodes.select("node", "sig"), "node"))
-    own = ("node", "label", "w", "used", "sig")
+    own = ("node", "label", "w", "used", "v", "sig")
     x = shared.select("token", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), *[F.col(c).alias(f"x_{c}") for c in own])
     y = shared.select("token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *[F.col(c).alias(f"y_{c}") for c in own])
     overlap = F.least(F.col("x_w") - F.col("x_used"), F.col("y_w") - F.col("y_used"))
     needed = (F.col("x_w") + F.col("y_w")) * (similarity / (1 + similarity) - 1e-6)
     able = (x["token"] == y["token"]) & (x["part"] == y["part"]) & (F.col("x_node") < F.col("y_node")) & (F.col("x_label") != F.col("y_label")) & (overlap >= needed) & (_agreement(F.col("x_sig"), F.col("y_sig")) >= LEAST)
-    pairs = keep(x.join(y, able).select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct())
+    # the common terms up to a pair's last one here, and what either text has after it, bound their overlap once more
+    common = F.sum(F.least("x_v", "y_v")).alias("common")
+    rest = F.least(F.min(F.col("x_w") - F.col("x_used") - F.col("x_v")), F.min(F.col("y_w") - F.col("y_used") - F.col("y_v"))).alias("rest")
+    pairs = x.join(y, able).groupBy(F.col("x_node").alias("a"), F.col("y_node").alias("b")).agg(common, rest, F.first(needed).alias("needed"))
+    pairs = keep(pairs.where(F.col("common") + F.col("rest") >= F.col("needed")).select("a", "b"))
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("salts"))
-    return pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
+    return keep(pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt")))
 
 
 # ---- 6: classes -------------------------------------------------------------------------------

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessel.functions.text import NAME_MISSING, blank_to_null, compose, strip
 from tessel.functions.udfs import parse_subquestions_udf
+from tessel.sources.shared import keep
 
 from .models import Model, apply_model
 from .search import batch_search
@@ -57,12 +59,65 @@ def compose_responses(clauses: DataFrame) -> DataFrame:
     return clauses.groupBy("query_id").agg(parts.alias("p")).select("query_id", compose(F.transform("p", lambda x: x["s"])).alias("response_text"))
 
 
-def answer(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, documents: DataFrame, embed_text, decomposer: Model, k: int = 3) -> dict[str, DataFrame]:
-    """Tables sources (query_id, position, rank, chunk_id, doc_id, doc_name, content) and responses (query_id, response_text, status).
-
-    queries: id, tenant_id, query_text. All subquestions of all queries are searched at once. A clause
-    says where the subquestion's best sources are; subquestions without sources have none. embed_text
-    maps a text column to a vector column.
+def _say(model: Model):
+    """Statements of all subquestions of each query of a batch, and whether the model failed; the model is called once for each place."""
+
+    def call(prompts: pd.Series) -> list:
+        try:
+            return list(model(prompts))
+        except Exception:  # one prompt that fails must not take the others with it
+            said = []
+            for p in prompts:
+                try:
+                    said.append(model(pd.Series([p])).iloc[0])
+                except Exception as e:
+                    said.append(e)
+            return said
+
+    def run(asked: pd.Series, background: pd.Series) -> pd.DataFrame:
+        said: list[list[str | None]] = [[None] * len(a) for a in asked]
+        failed = [False] * len(said)
+        for place in range(max(map(len, asked), default=0)):
+            rows = [i for i, a in enumerate(asked) if place < len(a) and a[place]["context"] and not failed[i]]
+            prompts = []
+            for i in rows:
+                before = [s for s in said[i] if s][:PRIOR]
+                prior = "\n".join(f"- {s}" for s in before) or "none"
+                about = f"{background.iloc[i]}\n\n" if background.iloc[i] else ""
+                prompts.append(f"{about}Said already:\n{prior}\n\nSources:\n{asked.iloc[i][place]['context']}\n\nQuestion:\n{asked.iloc[i][place]['subquestion']}")
+            for i, reply in zip(rows, call(pd.Series(prompts, dtype=object)) if rows else (), strict=True):
+                failed[i] = failed[i] or isinstance(reply, Exception)
+                said[i][place] = None if failed[i] else reply
+        return pd.DataFrame({"statements": said, "failed": failed})
+
+    return F.pandas_udf(run, "statements array<string>, failed boolean")
+
+
+def form_clauses(asked: DataFrame, sources: DataFrame, model: Model, background: DataFrame | None = None) -> DataFrame:
+    """query_id, position, statement, failed of subquestions (query_id, position, subquestion) with sources (query_id, position, rank, doc_name, content).
+
+    A query's subquestions are put to the model in their order, each with its sources, the first PRIOR statements made before
+    and the query's background (query_id, background). Subquestions without sources make no clause; a query whose model fails is failed.
+    """
+    line = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), "doc_name", F.lit(": "), "content")
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("x")))), lambda r: r["x"]), "\n")
+    context = sources.groupBy("query_id", "position").agg(texts.alias("context"))
+    rows = asked.select("query_id", "position", "subquestion").join(context, ["query_id", "position"], "left")
+    each = F.array_sort(F.collect_list(F.struct("position", "subquestion", "context")))
+    by_query = rows.groupBy("query_id").agg(each.alias("asked"))
+    by_query = by_query.join(background, "query_id", "left") if background is not None else by_query.withColumn("background", F.lit(None).cast("string"))
+    made = by_query.withColumn("said", _say(model)("asked", "background"))
+    pairs = F.arrays_zip(F.transform("asked", lambda x: x["position"]).alias("position"), F.col("said.statements").alias("statement"))
+    return made.select("query_id", F.col("said.failed").alias("failed"), F.explode(pairs).alias("x")).select("query_id", "x.position", "x.statement", "failed")
+
+
+def answer(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, documents: DataFrame, embed_text, decomposer: Model, k: int = 3, clause_model: Model | None = None, background: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Tables sources (query_id, position, rank, chunk_id, doc_id, doc_name, content), clauses and responses (query_id, response_text, status).
+
+    queries: id, tenant_id, query_text. All subquestions of all queries are searched at once. A clause is what
+    clause_model says of a subquestion's sources, or where they are if there is no model; subquestions without sources have
+    none. background (query_id, background), as a project's summary, comes before each prompt. A query is failed where the
+    model fails on it, pending where it has no clause. embed_text maps a text column to a vector column.
     """
     asked = decompose(queries.select(F.col("id").alias("query_id"), "tenant_id", "query_text"), decomposer)
     key = F.concat_ws(":", "query_id", "position")
@@ -72,8 +127,14 @@ def answer(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, documents:
     sources = resolve_citations(cited, chunks, documents)
     split = F.split("query_id", ":")
     sources = sources.select(split[0].cast("long").alias("query_id"), split[1].cast("int").alias("position"), "rank", "chunk_id", "doc_id", "doc_name", "content")
-    names = F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_name"))), lambda x: x["doc_name"])), ", ")
-    clauses = sources.groupBy("query_id", "position").agg(F.concat(F.lit("See "), names, F.lit(".")).alias("statement"))
-    responses = compose_responses(clauses)
-    paired = pair_responses(queries, responses)
-    return {"sources": sources, "clauses": prior_statements(clauses), "responses": paired}
+    if clause_model is None:
+        names = F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_name"))), lambda x: x["doc_name"])), ", ")
+        clauses = sources.groupBy("query_id", "position").agg(F.concat(F.lit("See "), names, F.lit(".")).alias("statement"))
+        return {"sources": sources, "clauses": prior_statements(clauses), "responses": pair_responses(queries, compose_responses(clauses))}
+    made = keep(form_clauses(asked, sources, clause_model, background))
+    lost = made.where("failed").select("query_id").distinct()
+    clauses = made.where("not failed and statement is not null").select("query_id", "position", "statement")
+    paired = pair_responses(queries, compose_responses(clauses)).join(lost.withColumn("__lost", F.lit(True)), "query_id", "left")
+    responses = paired.select("query_id", "response_text", F.when(F.col("__lost"), "failed").otherwise(F.col("status")).alias("status"))
+    cited = sources.join(clauses.select("query_id", "position"), ["query_id", "position"], "left_semi")
+    return {"sources": cited, "clauses": prior_statements(clauses), "responses": responses}

@@ -91,7 +91,7 @@ def metadata_maps(metadata: DataFrame) -> DataFrame:
 
 def purge(graph: Graph, doc_ids: DataFrame) -> Graph:
     """Without the edges of these documents and without the entities that lost their last edge by that."""
-    doomed = edges_of_documents(graph.edges, graph.metadata, doc_ids)
+    doomed = keep(edges_of_documents(graph.edges, graph.metadata, doc_ids).select("id", "source_entity_id", "target_entity_id"))
     edges = graph.edges.join(doomed.select("id"), "id", "left_anti")
     metadata = graph.metadata.join(doomed.select(F.col("id").alias("relationship_id")), "relationship_id", "left_anti").select(*graph.metadata.columns)
     orphans = endpoints(doomed).join(endpoints(edges), "id", "left_anti")

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessel.sources.shared import keep
+
 
 def latest(delta: DataFrame, keys: list[str], order: Column) -> DataFrame:
-    """The last row of each key."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(order.desc()))
-    return delta.withColumn("__place", place).where("__place = 1").drop("__place")
+    """The last row of each key: partial maxima, so a key with many rows is no hot task."""
+    rest = [c for c in delta.columns if c not in keys]
+    last = delta.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("__last"))
+    return last.select(*[F.col(c) if c in keys else F.col("__last")[c].alias(c) for c in delta.columns])
 
 
 def upsert(state: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
@@ -24,9 +27,10 @@ def insert_missing(state: DataFrame, delta: DataFrame, keys: list[str]) -> DataF
 def with_ids(state: DataFrame, rows: DataFrame, order: list[str], id_col: str = "id") -> DataFrame:
     """Rows with ids that follow the largest of state, in the order of their natural key, so that a retry gives the same.
 
-    Numbers are given within ranges of the key and shifted by the sizes of the ranges before.
+    Numbers are given within ranges of the key and shifted by the sizes of the ranges before. The ranges are written
+    with the rows: they are drawn from a sample, so two readings of them could differ.
     """
-    parts = rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    parts = keep(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
     sizes = parts.groupBy("__part").agg(F.count("*").alias("__n"))
     before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
     place = F.row_number().over(Window.partitionBy("__part").orderBy(*order))

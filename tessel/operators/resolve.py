@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessel.functions import text as t
 from tessel.functions.udfs import sequence_score
+from tessel.sources.shared import keep
 
 LIMIT, MIN_CONFIDENCE = 5, 0.55
 #: Parts of the score; and of the overlap with the description, on top. Fixed values.
@@ -26,6 +27,12 @@ def word_score(a: Column, b: Column) -> Column:
     return let(sets(a), lambda x: let(sets(b), lambda y: F.coalesce(best(x, y), F.lit(0.0))))
 
 
+def spelling_bound(a: Column, b: Column) -> Column:
+    """What the spelling of two lists of variants can give at most: matching characters are no more than the shorter text has."""
+    ratio = lambda p, q: F.lit(2.0) * F.least(F.length(p), F.length(q)) / (F.length(p) + F.length(q))
+    return F.coalesce(F.array_max(F.flatten(F.transform(a, lambda p: F.transform(b, lambda q: ratio(p, q))))), F.lit(0.0))
+
+
 def _scorer(min_confidence: float):
     """Adds the spelling to the rest of the score; the confidence is the score to four places as Python rounds."""
 
@@ -33,7 +40,7 @@ def _scorer(min_confidence: float):
         for f in frames:
             f["score"] = [min(1.0, SPELLING * sequence_score(list(a), list(b)) + r) if len(b) else 0.0 for a, b, r in zip(f["mv"], f["nv"], f["rest"], strict=True)]
             f = f[f["score"] >= min_confidence]
-            yield f.assign(confidence=[round(s, 4) for s in f["score"]])[["mention_id", "id", "name", "entity_type", "confidence"]]
+            yield f.assign(confidence=[round(s, 4) for s in f["score"]])[["mention_id", "key", "confidence"]]
 
     return run
 
@@ -41,8 +48,9 @@ def _scorer(min_confidence: float):
 def resolve(entities: DataFrame, mentions: DataFrame, limit: int | None = LIMIT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """mention_id, id, name, entity_type, confidence, rank of the best entities for each mention (mention_id, tenant_id, mention).
 
-    Each mention is compared with all entities of its tenant. The mentions are the stated query set:
-    they are broadcast in blocks; what is the same for each row of the entities is worked out once a row.
+    Each mention is compared once with each different name and description of its tenant. The mentions are the stated
+    query set: they are broadcast in blocks; what is the same for each name is worked out once a name. Words and lengths
+    bound the score, so pairs that can't reach the threshold need no comparison of spellings.
     Blank mentions have no result. The threshold holds before rounding.
     """
     limit = limit or LIMIT
@@ -50,17 +58,18 @@ def resolve(entities: DataFrame, mentions: DataFrame, limit: int | None = LIMIT,
     n = max(1, -(-asked.count() // MENTION_BLOCK))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("mention_id"), F.lit(n)))
     described = F.coalesce(F.col("description"), F.lit("")) if "description" in entities.columns else F.lit("")
-    known = entities.select("tenant_id", "id", "name", "entity_type", t.variants(t.normalize("name")).alias("nv"), t.variants(t.normalize(described)).alias("dv"))
+    named = entities.select("tenant_id", "id", "name", "entity_type", F.struct("tenant_id", F.coalesce("name", F.lit("")).alias("name"), described.alias("about")).alias("key"))
+    known = named.select("key").distinct().select("key", F.col("key.tenant_id").alias("tenant_id"), t.variants(t.normalize("key.name")).alias("nv"), t.variants(t.normalize("key.about")).alias("dv"))
+    known = keep(known.where(F.size("nv") > 0))
     rank = F.row_number().over(Window.partitionBy("mention_id").orderBy(F.desc("confidence"), F.lower("name"), "id"))
-    kind = "mention_id {}, id {}, name string, entity_type string, confidence double".format(dict(mentions.dtypes)["mention_id"], dict(entities.dtypes)["id"])
+    kind = "mention_id {}, key {}, confidence double".format(dict(mentions.dtypes)["mention_id"], known.schema["key"].dataType.simpleString())
     out = None
     for b in range(n):
         pairs = known.join(F.broadcast(asked.where(F.col("block") == b).drop("block")), "tenant_id")
-        # the words are cheap and bound the score: what they rule out needs no comparison of spellings
         pairs = pairs.withColumns({"w": word_score(F.col("mv"), F.col("nv")), "d": word_score(F.col("mv"), F.col("dv"))})
-        pairs = pairs.where(SPELLING + WORDS * F.col("w") + DESCRIPTION * F.col("d") >= min_confidence)
-        pairs = pairs.select("mention_id", "id", "name", "entity_type", "mv", "nv", (F.col("w") * WORDS + F.col("d") * DESCRIPTION).alias("rest"))
-        scored = pairs.mapInPandas(_scorer(min_confidence), kind)
+        pairs = pairs.where(SPELLING * spelling_bound(F.col("mv"), F.col("nv")) + WORDS * F.col("w") + DESCRIPTION * F.col("d") >= min_confidence)
+        pairs = pairs.select("mention_id", "key", "mv", "nv", (F.col("w") * WORDS + F.col("d") * DESCRIPTION).alias("rest"))
+        scored = pairs.mapInPandas(_scorer(min_confidence), kind).join(named, "key").select("mention_id", "id", "name", "entity_type", "confidence")
         best = scored.withColumn("rank", rank).where(F.col("rank") <= limit)
         out = best if out is None else out.unionByName(best)
     return out

@@ -74,6 +74,12 @@ def in_csv(csv: Column, value: Column) -> Column:
     return F.array_contains(F.transform(F.split(csv, ","), lambda x: F.try_to_number(x, F.lit("9999999999")).cast("long")), value.cast("long"))
 
 
+def csv_rows(users: DataFrame, column: str = "project_ids", name: str = "project_id") -> DataFrame:
+    """A row for each integer of a list joined by commas, so that a join on it is one of equal keys."""
+    ids = F.transform(F.split(column, ","), lambda x: F.try_to_number(x, F.lit("9999999999")).cast("long"))
+    return users.withColumn(name, F.explode(F.array_distinct(ids))).where(F.col(name).isNotNull())
+
+
 def requested(scope: Scope, ids: Iterable[int]) -> list[int]:
     """Of the requested projects those in scope, in the order of the request."""
     allowed = set(scope.project_ids)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.functions.text import join_nonempty, locate_span, splice, strip
+from tessel.functions.text import fill, join_nonempty, locate_span, splice, strip
+from tessel.functions.vector import check_dimension
 from tessel.operators import knowledge, models, summaries
 from tessel.operators.chunking import chunk_documents
 from tessel.operators.mutate import delete_documents, update_where, upsert, with_ids
@@ -15,23 +16,33 @@ from tessel.sources.shared import keep
 DIM = 64
 
 
-def contextualize(chunks: DataFrame, documents: DataFrame, model: models.Model) -> DataFrame:
-    """chunks with context: empty if the chunk is all of its document, else the model's text for the chunk, stripped."""
+#: What a model is asked for a chunk, unless another template is given.
+CONTEXT_PROMPT = "Document:\n{content}\n\nPassage:\n{chunk}\n\nSay in one or two sentences where the passage stands in the document."
+
+
+def contextualize(chunks: DataFrame, documents: DataFrame, model: models.Model, prompt: str | None = None) -> DataFrame:
+    """chunks with context: empty if the chunk is all of its document, else the model's text, stripped.
+
+    With a prompt the model gets it filled with the chunk and its whole document, else the chunk alone.
+    """
     whole = documents.select(F.col("id").alias("doc_id"), F.col("content").alias("__whole"))
     joined = chunks.join(whole, "doc_id")
-    context = F.when(F.col("content") == F.col("__whole"), "").otherwise(strip(models.apply_model(model, F.col("content"))))
+    asked = fill(prompt, "content", "__whole") if prompt else F.col("content")
+    said = strip(models.as_text(models.apply_model(model, asked)))
+    context = F.when(F.col("content") == F.col("__whole"), "").otherwise(said)
     return joined.withColumn("context", context).drop("__whole")
 
 
-def process(documents: DataFrame, state: dict[str, DataFrame], scope: Scope, context_model=models.first_sentence, embedder=None, summarizer=models.first_sentence, extractor=models.capitalised_words) -> dict[str, DataFrame]:
+def process(documents: DataFrame, state: dict[str, DataFrame], scope: Scope, context_model=models.first_sentence, embedder=None, summarizer=models.first_sentence, extractor=models.capitalised_words, context_prompt: str | None = None) -> dict[str, DataFrame]:
     """state with documents (id, doc_name, content, tenant_id, project_id) chunked, embedded, extracted and summarised."""
     made = chunk_documents(documents).drop("headers")
-    made = contextualize(made, documents, context_model)
+    made = contextualize(made, documents, context_model, context_prompt)
     scoped = documents.select(F.col("id").alias("doc_id"), "tenant_id", "project_id")
     made = keep(with_ids(state["chunks"], made.join(scoped, "doc_id"), ["doc_id", "chunk_order"]))
     out = dict(state)
     out["chunks"] = state["chunks"].unionByName(made.select(*state["chunks"].columns))
     vectors = models.embed(made.select(F.col("id").alias("chunk_id"), "context", "content", "tenant_id", "project_id"), join_nonempty("context", "content"), DIM, embedder)
+    vectors = vectors.withColumn("embedding", check_dimension(F.col("embedding"), DIM))
     out["vectors"] = upsert(state["vectors"], vectors.select(*state["vectors"].columns), ["chunk_id"])
     found = keep(documents.where(strip("content") != "").select(F.col("id").alias("doc_id"), models.apply_model(extractor, F.col("content"), models.EXTRACTION).alias("x")))
     entities = found.select("doc_id", F.posexplode("x.entities").alias("ord", "e")).select("doc_id", "ord", "e.*")
@@ -47,7 +58,8 @@ def process(documents: DataFrame, state: dict[str, DataFrame], scope: Scope, con
 def upload(documents: DataFrame, state: dict[str, DataFrame], scope: Scope, **models_) -> dict[str, DataFrame]:
     """documents (doc_name, content) as new rows of the scope's primary project, processed."""
     here = documents.withColumns({"tenant_id": F.lit(scope.tenant_id), "project_id": F.lit(scope.primary), "context": F.col("content"), "doc_size": F.length("content").cast("long")})
-    rows = keep(with_ids(state["documents"], here, ["doc_name", "content"]).select(*state["documents"].columns))
+    here = here.withColumn("__hash", F.xxhash64("content"))  # ids follow the names; whole texts are no sort key
+    rows = keep(with_ids(state["documents"], here, ["doc_name", "__hash"]).select(*state["documents"].columns))
     out = process(rows, state, scope, **models_)
     out["documents"] = state["documents"].unionByName(rows)
     return out

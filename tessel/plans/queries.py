@@ -70,7 +70,7 @@ def user_projects_csv(x: Tables) -> DataFrame:
 @query("select d.id, u.user_id from v_documents d join (select user_id, string_agg(cast(project_id as varchar), ',') as csv from v_roles group by user_id) u on list_contains(string_split(u.csv, ','), cast(d.project_id as varchar)) where u.user_id = 'u7'")
 def documents_of_user_csv(x: Tables) -> DataFrame:
     user = sc.projects_csv(x.roles().where("user_id = 'u7'"))
-    return x.documents().join(F.broadcast(user), sc.in_csv(F.col("project_ids"), F.col("project_id"))).select("id", "user_id")
+    return x.documents().join(sc.csv_rows(user), "project_id").select("id", "user_id")
 
 
 # ---- lookups and lists ------------------------------------------------------------------------
@@ -266,9 +266,10 @@ def entities_with_edges(x: Tables) -> DataFrame:
     return knowledge.with_edges(x.entities(), x.relationships()).select("id", "name")
 
 
-@query("with r as (select * from v_relationships where source_document_id not like '%1%') select id, name from v_entities where id not in (select source_entity_id from r union select target_entity_id from r)")
+@query("with r as (select * from v_relationships where source_document_id like '%77') select id, name from v_entities where id not in (select source_entity_id from r union select target_entity_id from r)")
 def orphan_entities(x: Tables) -> DataFrame:
-    return knowledge.without_edges(x.entities(), x.relationships().where(~F.contains("source_document_id", F.lit("1")))).select("id", "name")
+    """Entities without an edge among those of documents that end in 77."""
+    return knowledge.without_edges(x.entities(), x.relationships().where(F.endswith("source_document_id", F.lit("77")))).select("id", "name")
 
 
 @query("select source_entity_id * 10000000 + target_entity_id as relationship_id, source_document_id from v_relationships")
@@ -365,10 +366,10 @@ def document_patch(x: Tables) -> DataFrame:
     return mutate.patch(x.documents(), delta, ["id"]).select("id", "doc_type", "doc_size")
 
 
-@query("select id as document_id, case when doc_type = 'en' then doc_name else substring(content, 1, 20) end as summary_text from v_documents")
+@query("select id as document_id, case when doc_type = 'en' then doc_name else content end as summary_text from v_documents")
 def document_summary_upsert(x: Tables) -> DataFrame:
     d = x.documents()
-    state = d.select(F.col("id").alias("document_id"), F.substring("content", 1, 20).alias("summary_text"))
+    state = d.select(F.col("id").alias("document_id"), F.col("content").alias("summary_text"))
     events = d.where("doc_type = 'en'").select(F.col("id").alias("document_id"), F.explode(F.array(F.struct(F.lit(1).alias("seq"), F.lit("earlier").alias("s")), F.struct(F.lit(2).alias("seq"), F.col("doc_name").alias("s")))).alias("e"))
     delta = mutate.latest(events.select("document_id", "e.seq", F.col("e.s").alias("summary_text")), ["document_id"], F.col("seq"))
     return mutate.upsert(state, delta.select("document_id", "summary_text"), ["document_id"])
@@ -439,7 +440,7 @@ def prior_statements(x: Tables) -> DataFrame:
     return made.select("query_id", "position", F.nullif(F.size("prior"), F.lit(0)).alias("n_prior"), F.get("prior", F.lit(0)).alias("first_prior"))
 
 
-@query()
+@query(r"with s as (select id, unnest(string_split(regexp_replace(query_text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) as x, generate_subscripts(string_split(regexp_replace(query_text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), 1) as i from v_queries), k as (select id, i, regexp_replace(x, '^\s+|\s+$', '', 'g') as x from s) select id, cast(row_number() over (partition by id order by i) - 1 as int) as position, x as subquestion from k where x <> ''")
 def parse_subquestions(x: Tables) -> DataFrame:
     """The sentences of each question, by way of a model's JSON reply."""
     return answers.decompose(x.queries(), models.split_questions).select("id", "position", "subquestion")
@@ -453,7 +454,7 @@ def chunk_documents(x: Tables) -> DataFrame:
 
 @query()
 def entity_resolve(x: Tables) -> DataFrame:
-    """Each part type's last word against all entities of each tenant."""
+    """Each word of part names against all entities of each tenant."""
     words = x["part"].select(F.explode(F.split("p_name", " ")).alias("mention")).distinct()
     tenants = x.tenants().select(F.col("id").cast("int").alias("tenant_id"))
     asked = words.join(F.broadcast(tenants)).select(F.concat_ws(":", "tenant_id", "mention").alias("mention_id"), "tenant_id", "mention")
@@ -494,6 +495,24 @@ def ingest_document(x: Tables) -> DataFrame:
     return chunk.join(s["vectors"].select("chunk_id", F.round(F.col("embedding")[0], 5).alias("first_value")), "chunk_id")
 
 
+@query("select cast(i as bigint) as id, tenant_id, name, entity_type from (select row_number() over (order by l_orderkey, l_linenumber) as i, cast(l_suppkey % 5 as int) as tenant_id, l_comment as name, l_returnflag as entity_type from (select *, cast(l_orderkey as varchar) || '-' || cast(l_linenumber as varchar) as l_comment from lineitem))")
+def insert_with_ids(x: Tables) -> DataFrame:
+    """Every line item as a new row of an empty table: ids are gapless and in the order of the natural key."""
+    empty = x.spark.createDataFrame([], "id long")
+    key = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    rows = x["lineitem"].select("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 5).cast("int").alias("tenant_id"), key.alias("name"), F.col("l_returnflag").alias("entity_type"))
+    return mutate.with_ids(empty, rows, ["l_orderkey", "l_linenumber"]).select("id", "tenant_id", "name", "entity_type")
+
+
+@query()
+def answer_with_model(x: Tables) -> DataFrame:
+    """Answers whose clauses a model words, with statements made before and the project's background; blank ones stay pending."""
+    queries = x.queries().withColumn("tenant_id", (F.col("conv_id") % 5).cast("int"))
+    about = queries.join(x.tenants().select(F.col("id").cast("int").alias("tenant_id"), "name"), "tenant_id").select(F.col("id").alias("query_id"), F.concat(F.lit("About "), "name").alias("background"))
+    made = answers.answer(queries, x.chunks(), x.vectors(), x.documents(), lambda text: hash_vector(text, DIM), models.split_questions, clause_model=models.quote_sources, background=about)
+    return made["responses"]
+
+
 @query()
 def answer_pipeline(x: Tables) -> DataFrame:
     """Sourced answers to all questions, each in the tenant of its conversation."""

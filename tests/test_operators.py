@@ -321,3 +321,75 @@ def test_stand_ins_keep_whole_texts():
     assert json.loads(made[0]) == {"subquestions": questions}
     long = "word " * 100 + "end."
     assert models.first_sentence(pd.Series([long + " Next one.", None])).tolist() == [long, ""]
+
+
+# ---- ids, replies and clauses
+
+
+@pytest.mark.parametrize(("rows", "parts", "adaptive"), [(70_000, 4, "true"), (300_000, 4, "true"), (300_000, 16, "false"), (1_500_000, 16, "true")])
+def test_ids_are_gapless_and_in_order(spark, rows, parts, adaptive):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        wide = spark.range(rows).select(F.lpad(F.pmod(F.col("id") * 7919, F.lit(rows)).cast("string"), 9, "0").alias("k"), F.repeat(F.lit("wide "), F.lit(20)).alias("w"))
+        made = mutate.with_ids(spark.createDataFrame([(5,)], "id long"), wide, ["k"])
+        got = made.agg(F.count("*"), F.count_distinct("id"), F.min("id"), F.max("id"), F.count(F.when(F.col("id") - 6 != F.col("k").cast("long"), 1))).first()
+        assert tuple(got) == (rows, rows, 6, rows + 5, 0)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_replies_become_text_or_values(spark):
+    df = spark.createDataFrame([("hi", [("a",), ("b",)], ("c", 1)), (None, None, None)], "s string, l array<struct<text:string>>, m struct<content:string,n:int>")
+    f = {x.name: x.dataType for x in df.schema.fields}
+    rows = [tuple(r) for r in df.select(*[models.as_text(F.col(c), f[c]) for c in "slm"]).collect()]
+    assert rows == [("hi", "ab", "c"), ("", "", "")]
+    replies = spark.createDataFrame([('Sure: {"a": 1, "b": "x"}',), ('{"a": "no", "b": "x"}',), ('{"a": 2}',), ("none",), (None,)], "x string")
+    same = lambda s: s
+    got = [(r[0]["value"], r[0]["error"]) for r in replies.select(models.structured(same, F.col("x"), "a int, b string")).collect()]
+    assert tuple(got[0][0]) == (1, "x") and got[0][1] is None and all(v is None for v, _ in got[1:])
+    assert [e for _, e in got[1:]] == ["no valid a", "no valid b", "no JSON in the reply", "no JSON in the reply"]
+    assert one(spark, models.covers(lambda s: s.map(lambda p: " Yes." if "tea" in p else "no"), F.col("q"), F.col("a")), q="tea?", a="x") is True
+    assert one(spark, models.commit_text(lambda s: s.map(lambda _: None), F.col("x"), "add", F.lit("note")), x="diff") == "Add note"
+
+
+def test_clauses_know_what_was_said_and_may_fail(spark):
+    asked = spark.createDataFrame([(1, 0, "a?"), (1, 1, "b?"), (1, 2, "none"), (2, 0, "bad"), (3, 0, "c?")], "query_id long, position int, subquestion string")
+    sources = spark.createDataFrame([(1, 0, 1, "d", "One. Two."), (1, 1, 1, "d", "One. Two."), (1, 1, 2, "e", "Three."), (2, 0, 1, "d", "x"), (3, 0, 1, "f", "Four.")], "query_id long, position int, rank int, doc_name string, content string")
+    seen = spark.createDataFrame([(1, "Project P")], "query_id long, background string")
+
+    def model(prompts):
+        if any("bad" in p for p in prompts):
+            raise RuntimeError("no")
+        return models.quote_sources(prompts).map(lambda s: s)
+
+    rows = {(r["query_id"], r["position"]): (r["statement"], r["failed"]) for r in answers.form_clauses(asked, sources, model, seen).collect()}
+    assert rows == {(1, 0): ("One. (d)", False), (1, 1): ("Three. (e)", False), (1, 2): (None, False), (2, 0): (None, True), (3, 0): ("Four. (f)", False)}
+    queries = spark.createDataFrame([(1, 1, "good one."), (2, 1, "bad one."), (3, 9, "elsewhere.")], "id long, tenant_id int, query_text string")
+    chunks = spark.createDataFrame([(7, 4, "Some text. More.")], "id long, doc_id long, content string")
+    vectors = spark.createDataFrame([(7, [1.0, 0.0], 1)], "chunk_id long, embedding array<float>, tenant_id int")
+    docs = spark.createDataFrame([(4, "doc")], "id long, doc_name string")
+    out = answers.answer(queries, chunks, vectors, docs, lambda t_: v.hash_vector(t_, 2), models.split_questions, clause_model=model)
+    assert sorted(tuple(r) for r in out["responses"].collect()) == [(1, "Some text. (doc)", "success"), (2, None, "failed"), (3, None, "pending")]
+    assert [r["query_id"] for r in out["sources"].collect()] == [1]
+
+
+def test_wrong_widths_fail_at_ingestion(spark):
+    docs = spark.createDataFrame([("a.txt", "Some text.")], "doc_name string, content string")
+    with pytest.raises(Exception, match="expected 64 values, got 2"):
+        ingest.upload(docs, _empty(Tables(spark, "")), sc.Scope(1, (4,)), embedder=lambda s: s.map(lambda _: [0.5, 0.5]))["vectors"].collect()
+    said = ingest.upload(docs.withColumn("content", F.repeat(F.lit("Word. "), F.lit(200))), _empty(Tables(spark, "")), sc.Scope(1, (4,)), context_model=lambda s: s.map(lambda p: str("Document:\nWord. Word." in p and "Passage:\n" in p)), context_prompt=ingest.CONTEXT_PROMPT)
+    assert {r["context"] for r in said["chunks"].collect()} == {"True"}
+
+
+def test_ingestion_keeps_all_documents(spark, sf):
+    """Chunks of a whole table against plain Python: none is lost, each has an id of its own and one vector."""
+    from tessel.plans.queries import QUERIES
+
+    rows = QUERIES["ingest_document"](spark, sf).collect()
+    texts = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    want = sorted(p for text in texts for p, _ in chunking.pieces(text))
+    assert sorted(r["content"] for r in rows) == want and sorted(r["chunk_id"] for r in rows) == list(range(1, len(rows) + 1))
+    assert len({r["doc_id"] for r in rows}) == sum(1 for text in texts if list(chunking.pieces(text)))

@@ -495,13 +495,13 @@ def ingest_document(x: Tables) -> DataFrame:
     return chunk.join(s["vectors"].select("chunk_id", F.round(F.col("embedding")[0], 5).alias("first_value")), "chunk_id")
 
 
-@query("select cast(i as bigint) as id, tenant_id, name, entity_type from (select row_number() over (order by l_orderkey, l_linenumber) as i, cast(l_suppkey % 5 as int) as tenant_id, l_comment as name, l_returnflag as entity_type from (select *, cast(l_orderkey as varchar) || '-' || cast(l_linenumber as varchar) as l_comment from lineitem))")
+@query("select cast(i as bigint) as id, tenant_id, name, entity_type from (select row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) as i, cast(l_suppkey % 5 as int) as tenant_id, l_comment as name, l_returnflag as entity_type from (select *, cast(l_orderkey as varchar) || '-' || cast(l_linenumber as varchar) as l_comment from lineitem))")
 def insert_with_ids(x: Tables) -> DataFrame:
     """Every line item as a new row of an empty table: ids are gapless and in the order of the natural key."""
     empty = x.spark.createDataFrame([], "id long")
     key = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
-    rows = x["lineitem"].select("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 5).cast("int").alias("tenant_id"), key.alias("name"), F.col("l_returnflag").alias("entity_type"))
-    return mutate.with_ids(empty, rows, ["l_orderkey", "l_linenumber"]).select("id", "tenant_id", "name", "entity_type")
+    rows = x["lineitem"].select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", (F.col("l_suppkey") % 5).cast("int").alias("tenant_id"), key.alias("name"), F.col("l_returnflag").alias("entity_type"))
+    return mutate.with_ids(empty, rows, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]).select("id", "tenant_id", "name", "entity_type")
 
 
 @query()

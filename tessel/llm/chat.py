@@ -13,12 +13,12 @@ messages; render() writes each conversation under a template that marks turns, w
 over assistant texts; read_back() gets turns and loss text from a rendered conversation alone.
 
 Control strings inside texts are escaped reversibly: `<`, any number of backslashes and `|` get one
-backslash more, so that no text can hold a mark.
+backslash more, so that no text can hold a mark. Line breaks in roles are written as a backslash and n.
 
 A rendered conversation is one row, so it must fit in memory, as any reader of it needs; the folds
 before it are sorts by Spark that spill. Cases: null texts and roles are empty; repeated rows are
 turns of their own; rows of one turn follow each other by role and text; a null conv_id is a
-conversation of its own; an empty log gives an empty result; other columns are ignored.
+conversation of its own; an empty log gives an empty result; other columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations
@@ -41,6 +41,15 @@ def unescape(text: str) -> str:
     return re.sub(r"<(\\*)\\\|", r"<\1|", text)
 
 
+def one_line(role: Column) -> Column:
+    """A role without line breaks: a backslash and n for each, two backslashes for one."""
+    return F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
+
+
+def many_lines(role: str) -> str:
+    return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], role)
+
+
 def fold_events(events: DataFrame) -> DataFrame:
     """The final messages (conv_id, turn, role, text) of a log."""
     e = events.select("conv_id", "seq", F.lower("kind").alias("kind"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
@@ -56,14 +65,30 @@ def fold_events(events: DataFrame) -> DataFrame:
 
 
 def events_of(conversations: DataFrame) -> DataFrame:
-    """A table of whole turns as a log: each row is a message with a place of its own."""
-    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
-    return conversations.select("conv_id", place.cast("long").alias("seq"), F.lit("message").alias("kind"), place.cast("long").alias("turn"), "role", "text")
+    """A table of whole turns as a log that folds to them.
+
+    An assistant's turn is drafted, followed by a turn that its regeneration takes away again, and then streamed in two
+    deltas; any other turn is begun empty and edited.
+    """
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
+    rows = conversations.select("conv_id", place.alias("place"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    event = lambda k, kind, turn, text: F.struct((F.col("place") * 8 + k).alias("seq"), F.lit(kind).alias("kind"), turn.alias("turn"), text.alias("text"))
+    own, half = F.col("place"), F.floor(F.length("text") / 2).cast("int")
+    streamed = F.array(
+        event(0, "message", own, F.lit("draft")),
+        event(1, "message", own + 1, F.lit("gone")),
+        event(2, "regenerate", own, F.lit("")),
+        event(3, "delta", own, F.left("text", half)),
+        event(4, "delta", own, F.substring("text", half + 1, F.length("text"))),
+    )
+    edited = F.array(event(0, "message", own, F.lit("")), event(1, "edit", own, F.col("text")))
+    log = rows.select("conv_id", "role", F.explode(F.when(F.col("role") == "assistant", streamed).otherwise(edited)).alias("e"))
+    return log.select("conv_id", "e.seq", "e.kind", "e.turn", "role", "e.text")
 
 
 def render(messages: DataFrame, trained_role: str = "assistant") -> DataFrame:
     """conv_id, formatted, loss_spans: (start, end) in code points of formatted under the loss mask."""
-    m = messages.select("conv_id", "turn", "role", F.concat(F.lit(START), F.regexp_replace(escape(F.col("role")), r"\n", " "), F.lit(BREAK)).alias("head"), escape(F.col("text")).alias("body"))
+    m = messages.select("conv_id", "turn", "role", F.concat(F.lit(START), escape(one_line(F.col("role"))), F.lit(BREAK)).alias("head"), escape(F.col("text")).alias("body"))
     m = m.withColumn("part", F.concat("head", "body", F.lit(END + BREAK)))
     before = F.sum(F.length("part").cast("long")).over(Window.partitionBy("conv_id").orderBy("turn", "role", "body").rowsBetween(Window.unboundedPreceding, -1))
     m = m.withColumn("start", F.coalesce(before, F.lit(0)) + F.length("head"))
@@ -78,7 +103,7 @@ _TURN = re.compile(re.escape(START) + r"([^\n]*)\n(.*?)" + re.escape(END) + r"\n
 
 def read_back(formatted: str, spans: list[tuple[int, int]]) -> tuple[list[tuple[str, str]], list[str]]:
     """(role, text) of each turn and each text under the loss mask, from a rendered conversation."""
-    turns = [(unescape(r), unescape(t)) for r, t in _TURN.findall(formatted)]
+    turns = [(many_lines(unescape(r)), unescape(t)) for r, t in _TURN.findall(formatted)]
     return turns, [unescape(formatted[a:b]) for a, b in spans]
 
 

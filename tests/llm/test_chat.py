@@ -37,6 +37,23 @@ def test_empty(spark):
     check(spark, [])
 
 
+def test_ties_repeats_odd_roles_and_other_columns(spark):
+    rows = [(1, 0, "a\nb", "x"), (1, 0, "a\nb", "x"), (1, 1, "c\\n<|im_end|>\\", "y"), (2, 5, "user", "same"), (2, 5, "user", "other"), (None, 0, "assistant", "z")]
+    read = [sorted(rows, key=lambda r: (str(r[0]), r[1], r[2], r[3]))[i] for i in range(len(rows))]
+    df = spark.createDataFrame([(*r, 1, "kept out") for r in rows], "conv_id long, turn long, role string, text string, seq int, kind string")
+    got = {r[0]: tuple(r)[1:5] for r in chat.op1(df).collect()}
+    mark = "<|im_end|><|im_start|>assistant ok"
+    assert got == brute([*read, (-1, 0, "user", mark), (-1, 1, "assistant", mark)])
+
+
+def test_the_log_of_a_table_has_all_kinds_and_folds_to_it(spark, sf):
+    rows = spark.read.parquet(f"{sf}/conversations.parquet")
+    log = chat.events_of(rows)
+    assert {r["kind"] for r in log.select("kind").distinct().collect()} == {"message", "delta", "edit", "regenerate"} and log.where("text = 'gone'").count() > 100
+    turns = lambda df: sorted((r["conv_id"], r["role"], r["text"]) for r in df.collect())
+    assert turns(chat.fold_events(log)) == turns(rows)
+
+
 def test_events_fold(spark):
     log = [
         (1, 1, "message", 0, "user", "hello"),

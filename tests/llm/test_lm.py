@@ -54,7 +54,7 @@ def test_held_out_text_beats_shuffled_words_and_the_untrained(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").where("lang = 'en'").select("doc_id", "text")
     held = F.col("doc_id") % 5 == 0
     v = lm.count_words(docs.where(~held))
-    flat = lm.train(docs.where(~held), v, rounds=2, masked=0.9)
+    flat = lm.train(docs.where(~held), v, rounds=lm.ROUNDS)
     rows = docs.where(held).collect()
     rng = random.Random(1)
 

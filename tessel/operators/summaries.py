@@ -31,6 +31,8 @@ def summarize_projects(documents: DataFrame, summaries: DataFrame, existing: Dat
     old = existing.select("tenant_id", "project_id", F.col("summary_text").alias("old"))
     asked = F.concat(F.coalesce(F.concat(F.col("old"), F.lit("\n\n")), F.lit("")), F.col("summary_input"))
     made = inputs.join(old, ["tenant_id", "project_id"], "left").withColumn("summary_text", apply_model(model, asked))
-    rows = made.select("tenant_id", "project_id", "summary_text", "source_document_ids")
+    if "refreshed_at" in existing.columns:
+        made = made.withColumn("refreshed_at", F.current_timestamp())
+    rows = made.select("tenant_id", "project_id", "summary_text", "source_document_ids", *[c for c in ("refreshed_at",) if c in existing.columns])
     kept = existing.join(rows, ["tenant_id", "project_id"], "left_anti").select(*rows.columns)
     return kept.unionByName(rows)

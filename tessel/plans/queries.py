@@ -375,11 +375,10 @@ def document_summary_upsert(x: Tables) -> DataFrame:
     return mutate.upsert(state, delta.select("document_id", "summary_text"), ["document_id"])
 
 
-@query("select tenant_id, project_id, to_json(list(id order by id))::varchar as ids, string_agg(s, chr(10) || chr(10) order by id) filter (where s <> '') as summary_input from (select *, trim(substring(content, 1, 40), ' ' || chr(10)) as s from v_documents) group by tenant_id, project_id")
+@query(r"select tenant_id, project_id, to_json(list(id order by id))::varchar as ids, string_agg(s, chr(10) || chr(10) order by id) filter (where s <> '') as summary_input from (select *, case when regexp_extract(x, '(?s)^(.*?[.!?])\s', 1) <> '' then regexp_extract(x, '(?s)^(.*?[.!?])\s', 1) else x end as s from (select *, regexp_replace(content, '^\s+|\s+$', '', 'g') as x from v_documents)) group by tenant_id, project_id")
 def project_summary_rollup(x: Tables) -> DataFrame:
     d = x.documents()
-    short = d.select(F.col("id").alias("document_id"), "tenant_id", "project_id", F.substring("content", 1, 40).alias("summary_text"))
-    rolled = summaries.project_inputs(d, short)
+    rolled = summaries.project_inputs(d, summaries.summarize_documents(d, models.first_sentence))
     return rolled.select("tenant_id", "project_id", F.to_json("source_document_ids").alias("ids"), "summary_input")
 
 

@@ -26,7 +26,7 @@ class Store:
         jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
         if not jvm_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(jvm_path):
             return None
-        return self.spark.read.schema("version long, tables string").json(folder)
+        return self.spark.read.schema("version long, tables string").option("recursiveFileLookup", "true").json(folder)
 
     def manifest(self) -> tuple[int, dict[str, str]]:
         found = self._manifests()
@@ -52,9 +52,11 @@ class Store:
         missing = {n: self.spark.createDataFrame([], s) for n, s in schemas.items() if n not in have}
         return self.publish(missing) if missing else self.version
 
-    def publish(self, tables: dict[str, DataFrame], rebuild: bool = False) -> int:
-        """Write new states of tables; the others stay. Fails on keys that aren't unique, and on other columns unless rebuild is set."""
+    def publish(self, tables: dict[str, DataFrame], rebuild: bool = False, at: int | None = None) -> int:
+        """Write new states of tables; the others stay. Fails if at is given and another version has come since, on keys that aren't unique, and on other columns unless rebuild is set."""
         version, current = self.manifest()
+        if at is not None and version != at:
+            raise RuntimeError(f"version {version} is newer than {at}")
         new = dict(current)
         for name, df in tables.items():
             if name in current and not rebuild:
@@ -67,5 +69,7 @@ class Store:
                 raise ValueError(f"{name} isn't unique by {', '.join(self.unique[name])}")
             new[name] = path
         made = self.spark.createDataFrame([(version + 1, json.dumps(new))], "version long, tables string")
-        made.coalesce(1).write.mode("append").json(f"{self.path}/manifests")
+        made.coalesce(1).write.mode("error").json(f"{self.path}/manifests/v{version + 1}")  # another writer's version stays
+        if self._manifests().where(F.col("version") == version + 1).count() != 1:
+            raise RuntimeError(f"version {version + 1} was published twice at once")
         return version + 1

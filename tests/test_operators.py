@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tessel.functions import text as t
 from tessel.functions import udfs
 from tessel.functions import vector as v
-from tessel.operators import answers, chunking, knowledge, models, mutate, resolve, search
+from tessel.operators import answers, chunking, knowledge, models, mutate, resolve, search, summaries
 from tessel.operators import scope as sc
 from tessel.plans import ingest
 from tessel.plans.queries import _empty
@@ -393,3 +393,36 @@ def test_ingestion_keeps_all_documents(spark, sf):
     want = sorted(p for text in texts for p, _ in chunking.pieces(text))
     assert sorted(r["content"] for r in rows) == want and sorted(r["chunk_id"] for r in rows) == list(range(1, len(rows) + 1))
     assert len({r["doc_id"] for r in rows}) == sum(1 for text in texts if list(chunking.pieces(text)))
+
+
+def test_prompts_are_kept_until_reloaded(spark, tmp_path):
+    from tessel.sources.prompts import Prompts
+
+    for name in ("one", "two"):
+        (tmp_path / name).mkdir()
+        for part in ("system", "user"):
+            (tmp_path / name / f"{part}.md").write_text(f"{name} {part} {{x}}")
+    (tmp_path / "two" / "user.md").unlink()
+    p = Prompts(spark, f"file://{tmp_path}")
+    assert p.names() == ["one", "two"] and p.load("one") == {"system": "one system {x}", "user": "one user {x}"}
+    (tmp_path / "one" / "user.md").write_text("new")
+    assert p.load("one")["user"] != "new" and p.reload("one")["user"] == "new"
+    with pytest.raises(FileNotFoundError):
+        p.load("two")
+
+
+def test_a_newer_version_stops_a_writer(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s")
+    assert store.publish({"x": spark.range(1)}) == 1 and store.publish({"x": spark.range(2)}, at=1) == 2
+    with pytest.raises(RuntimeError, match="newer"):
+        store.publish({"x": spark.range(3)}, at=1)
+    assert store.publish({"x": spark.range(1).withColumn("y", F.lit(1))}, rebuild=True) == 3 and store.read("x").columns == ["id", "y"]
+
+
+def test_project_summaries_are_refreshed(spark):
+    docs = spark.createDataFrame([(2, 1, 1, "Two. More."), (1, 1, 1, "One."), (3, 1, 2, " ")], "id long, tenant_id int, project_id int, content string")
+    old = spark.createDataFrame([(1, 1, "Old", [9], None), (5, 5, "Kept", [7], None)], "tenant_id int, project_id int, summary_text string, source_document_ids array<long>, refreshed_at timestamp")
+    made = summaries.summarize_projects(docs, summaries.summarize_documents(docs, models.first_sentence), old, lambda s: s.str.upper())
+    rows = {(r["tenant_id"], r["project_id"]): r for r in made.collect()}
+    assert set(rows) == {(1, 1), (5, 5)} and rows[1, 1]["summary_text"] == "OLD\n\nONE.\n\nTWO." and rows[1, 1]["source_document_ids"] == [1, 2]
+    assert rows[1, 1]["refreshed_at"] is not None and rows[5, 5]["summary_text"] == "Kept" and rows[5, 5]["refreshed_at"] is None

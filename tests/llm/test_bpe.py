@@ -67,3 +67,25 @@ def test_long_merge_equals_rows():
     data, n = np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words])
     ids, counts = v.merge(data, np.cumsum(n) - n, n)
     assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [v.merge_long(w) for w in words]
+
+
+def test_words_of_one_hash_are_told_apart(spark, library, monkeypatch):
+    bits = ["ab"[bin(i).count("1") % 2] for i in range(1024)]
+    other = ["ab"["ba".index(b)] for b in bits]
+    docs = [(i, f"{''.join(x[:n])} {''.join(y[:n])}") for i, (x, y, n) in enumerate([(bits, other, 1024), (other, bits, 1024), (bits, other, 7), (bits, bits, 30)])]
+    check(spark, library, docs)
+    monkeypatch.setattr(bpe, "run_hashes", lambda data, starts, lengths: np.zeros(len(starts), np.uint64))
+    v = bpe.Vocabulary(PATH)
+    codec = bpe.Codec(v, bpe.Lexicon(bpe.Lexicon.compile({})))
+    for _, text in docs:
+        data = np.frombuffer(text.encode(), np.uint8)
+        ids, _ = codec.encode(data, np.array([0, len(data)]))
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_repeated_rows_and_clashing_columns(spark, library):
+    rows = [(1, "the same words", 5, "x")] * 2 + [(1, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int, token_ids string")
+    got = bpe.encode(df, PATH).collect()
+    want = library.encode("the same words", add_special_tokens=False).ids
+    assert sorted(r["token_ids"] for r in got) == [[], want, want] and {r["n_tokens"] for r in got} == {5, None} and {r["decoded"] for r in got} == {"", "the same words"}

@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessel.llm import language as lang
@@ -43,3 +44,24 @@ def test_empty_and_repeated(spark):
     assert kept.columns == df.columns and kept.schema == df.schema
     ids = sorted(r["doc_id"] for r in kept.collect())
     assert ids[:2] == [1, 1] and 4 in ids and 2 not in ids and 3 not in ids
+
+
+def test_the_sample_is_never_empty(spark):
+    for total in (1, 10**6, 2 * 10**10, 10**13):
+        bound = lang.hash_bound(total, 20_000)
+        share = (bound + 2**63) / 2**64
+        assert share == 1 or abs(share * total / 20_000 - 1) < 0.01
+    rows = [(i, "the cat sat on the mat" if i % 2 else "le chat est sur la table", "en" if i % 2 else "fr") for i in range(40)] + [(99, "der hund ist in dem haus", "de")]
+    model = lang.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_rows=0)
+    assert model.languages == ["de", "en", "fr"]
+
+
+def test_pages_with_nulls_ties_and_none(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    pages = spark.createDataFrame([(1, None, None), (2, "http://a.fr/x", "<html lang='fr'><p></p></html>"), (2, "http://a.fr/x", "<html lang='fr'><p></p></html>"), (None, "odd", "<p>zz</p>")], "page_id long, url string, html string")
+    got = lang.op5_pages(pages, docs).collect()
+    assert len(got) == 4 and [r["accepted"] for r in got if r["page_id"] is not None] == [False] * 3
+    assert lang.op5_pages(pages.where("false"), docs).count() == 0
+    tied = lang.TextModel(["a", "b"], np.zeros((2, lang.FEATURES + 1), np.float32))
+    row = lang.of_documents(spark.createDataFrame([(1, "word", None, None)], "doc_id long, text string, lang string, source string"), tied).first()
+    assert row["language"] == "a" and row["posterior"] == 0.5

@@ -75,3 +75,16 @@ def test_small_cases(spark):
     assert [g[:2] for g in got] == [(1, 0), (2, 0), (3, 0), (4, 1), (5, 5), (5, 5), (6, 200_000)]
     assert got[0][2:] == (0.0, None) and got[4] == got[5] and got[5][2] < 0
     assert lm.op10(df.where("false")).count() == 0
+
+
+def test_each_word_is_a_target_once_wherever_its_row_is(spark, monkeypatch):
+    rows = [(f"w{i} a b w{i % 7} c",) for i in range(60)]
+    df = spark.createDataFrame(rows, "text string")
+    v = lm.count_words(df)
+    flat = [lm.train(df.repartition(n), v) for n in (1, 3)]
+    assert all(np.isfinite(f).all() for f in flat)
+    monkeypatch.setattr(lm, "FAN_IN", 2)
+    other = lm.train(df.repartition(5), v)
+    assert np.isfinite(other).all() and abs(other - flat[0]).max() < 1
+    clash = spark.createDataFrame([("a b", 1, "x")], "text string, n_words int, log_probability string")
+    assert lm.score(clash, v, other).first()["n_words"] == 2

@@ -4,7 +4,10 @@ A small network predicts each word from the two words before and the two after i
 document's score is the sum of the conditional log-probabilities of all its words.
 
 * Words: all documents are counted; the most frequent words get an id of their own, all others one
-  of RARE ids by their hash. Ids fall into groups of GROUP by frequency.
+  of RARE ids by their hash.
+* Words of a shared id: P(word | window) = P(id | window) * P(word | id). The second factor is the word's count over
+  those of its id and one more, which unseen words share. All words of the corpus are counted; the counts of
+  the more frequent go to the tasks in a table of fixed size, the rest stay a table and are joined.
 * Network: the embeddings of the window's words, scaled by place, give a hidden vector; a softmax
   over each digit, given the digits before it, gives the probability.
 * Training: every word of every document is masked and predicted once; each of ROUNDS rounds takes those that
@@ -12,7 +15,7 @@ document's score is the sum of the conditional log-probabilities of all its word
   weighted by examples, for ROUNDS rounds. The same seed starts each task.
 
 Counts, training and scores cover whole texts of all documents. What goes through the driver are the
-vocabulary and the parameters, whose sizes are fixed.
+vocabulary and the parameters, whose sizes are fixed; the table of counts grows with the corpus.
 
 Cases: null and empty texts, and texts without words, have no words and a score of 0 (mean null);
 repeated rows count as often as they are there; words that are equally frequent are taken by hash; long texts are
@@ -29,16 +32,18 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType
+from pyspark.sql.types import ArrayType, DoubleType, LongType
 
 from tessel.sources.shared import keep
 
 from .arrow import add_columns, bound_batches, release
-from .words import Texts, blocks, mix
+from .words import Texts, blocks, mix, term_counts
 
 FREQUENT, RARE, SIDE = 3072, 1024, 16
 SIZE = FREQUENT + RARE  # SIDE**3: an id is three digits of SIDE
 EDGE = SIZE  # the id beyond the ends of a text
+#: Most words whose counts go to the tasks; those of all others are joined.
+KNOWN = 1 << 16
 WIDTH = 16
 PLACES = (-2, -1, 1, 2)
 ROUNDS, RATE = 2, 0.05
@@ -48,21 +53,43 @@ SLICES, FAN_IN = 16, 64
 
 
 class Vocabulary:
-    def __init__(self, hashes: np.ndarray):
-        """hashes: of the frequent words, most frequent first."""
+    def __init__(self, hashes: np.ndarray, known: np.ndarray | None = None, counts: np.ndarray | None = None, totals: np.ndarray | None = None):
+        """hashes: of the frequent words, most frequent first; known, counts: words and their counts; totals: of the shared ids."""
         self.order = np.argsort(hashes)
         self.sorted = hashes[self.order]
+        known = np.empty(0, np.uint64) if known is None else known
+        by_hash = np.argsort(known)
+        self.known = known[by_hash]
+        self.log_counts = np.log(np.empty(0) if counts is None else counts[by_hash])
+        self.log_totals = np.log(np.ones(RARE) if totals is None else totals + 1.0)
 
     def ids(self, texts: Texts) -> np.ndarray:
-        h = texts.hashes()
+        return self.ids_of(texts.hashes())
+
+    def ids_of(self, h: np.ndarray) -> np.ndarray:
         out = (FREQUENT + (h >> np.uint64(20)) % np.uint64(RARE)).astype(np.int32)
-        if len(self.sorted):
-            at = np.searchsorted(self.sorted, h)
-            at[at == len(self.sorted)] = 0
-            known = self.sorted[at] == h
-            out[known] = self.order[at[known]]
+        at, known = _find(self.sorted, h)
+        out[known] = self.order[at[known]]
         return out
 
+    def shares(self, h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log P(word | id) of each word, and which words were taken to have a count of one as theirs isn't known here."""
+        out, rest = np.zeros(len(h)), ids >= FREQUENT
+        out[rest] = -self.log_totals[ids[rest] - FREQUENT]
+        at, known = _find(self.known, h)
+        known &= rest
+        out[known] += self.log_counts[at[known]]
+        return out, rest & ~known
+
+
+def _find(ordered: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each h is in ordered, and whether it is there."""
+    if not len(ordered):
+        return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+    at = np.searchsorted(ordered, h)
+    at[at == len(ordered)] = 0
+    return at, ordered[at] == h
+
 
 def windows(ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """int32 of shape (words, places): the ids around each word, EDGE beyond its text."""
@@ -185,8 +212,8 @@ class Trainer:
         self.around, self.target, self.waiting = [], [], 0
 
 
-def count_words(docs: DataFrame, text_col: str = "text") -> Vocabulary:
-    """The most frequent words of all documents."""
+def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(word, n): the hash of every word of all documents and how often it is there, as a written table."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,9 +223,36 @@ def count_words(docs: DataFrame, text_col: str = "text") -> Vocabulary:
         release()
 
     bound_batches(docs.sparkSession)
-    counted = docs.select(text_col).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.col("n").desc(), "word").limit(FREQUENT).select("word").toPandas()["word"]
-    return Vocabulary(top.to_numpy(np.int64).view(np.uint64))
+    return keep(docs.select(text_col).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+
+
+def vocabulary_of(counts: DataFrame, frequent: int = FREQUENT, most_known: int = KNOWN) -> Vocabulary:
+    """The most frequent words, FREQUENT at most, with ids of their own, and the counts of at most most_known words."""
+
+    def hashes(table) -> np.ndarray:
+        return table["word"].to_numpy(np.int64).view(np.uint64)
+
+    top = counts.orderBy(F.col("n").desc(), "word").limit(frequent).toPandas()
+    size = F.floor(F.log2("n") * 8)
+    cut, words = None, 0
+    for r in sorted(counts.where("n > 1").groupBy(size.alias("size")).count().collect(), reverse=True):
+        words += r["count"]
+        if words > most_known:
+            break
+        cut = r["size"]
+    known = counts.where(F.lit(False) if cut is None else (F.col("n") > 1) & (size >= cut)).toPandas()
+    totals = np.zeros(RARE)
+    shared = (F.shiftrightunsigned("word", 20) % RARE).alias("shared")
+    for r in counts.groupBy(shared).agg(F.sum("n").alias("n")).collect():
+        totals[r["shared"]] = r["n"]
+    own = hashes(top)
+    np.subtract.at(totals, ((own >> np.uint64(20)) % np.uint64(RARE)).astype(np.int64), top["n"].to_numpy(np.float64))
+    return Vocabulary(own, hashes(known), known["n"].to_numpy(np.float64), totals)
+
+
+def count_words(docs: DataFrame, text_col: str = "text") -> Vocabulary:
+    """The vocabulary of all documents."""
+    return vocabulary_of(word_counts(docs, text_col))
 
 
 def train(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", rounds: int = ROUNDS) -> np.ndarray:
@@ -251,40 +305,61 @@ def train(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", round
     return flat
 
 
-def log_probabilities(flat: np.ndarray, vocabulary: Vocabulary, texts: Texts) -> np.ndarray:
-    """Of each word of a block of texts."""
-    ids = vocabulary.ids(texts)
-    around = windows(ids, texts.word_offsets)
+def log_probabilities(flat: np.ndarray, ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """log P(id | window) of each word of a block of texts."""
+    around = windows(ids, offsets)
     p, out = views(flat), np.empty(len(ids))
     for a in range(0, len(ids), 8192):
         out[a : a + 8192] = forward(p, around[a : a + 8192], ids[a : a + 8192])[0]
     return out
 
 
-def score(docs: DataFrame, vocabulary: Vocabulary, flat: np.ndarray, text_col: str = "text") -> DataFrame:
-    """docs with n_words, log_probability (of all words) and mean_log_probability."""
+def score(docs: DataFrame, vocabulary: Vocabulary, flat: np.ndarray, text_col: str = "text", counts: DataFrame | None = None, columns: list[str] | None = None) -> DataFrame:
+    """docs, or these columns of it, with n_words, log_probability (of all words) and mean_log_probability.
+
+    counts is the table that the vocabulary was made of; without it, words that the vocabulary doesn't know
+    have the probability of unseen ones.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, flat))
 
     def make():
         words, parameters = shared.value
 
         def work(column):
-            n, sums = [], []
+            n, sums, rest, times, ends = [], [], [], [], [np.zeros(1, np.int32)]
             for _, _, texts in blocks(column):
-                lp = np.concatenate([[0.0], np.cumsum(log_probabilities(parameters, words, texts))])
-                n.append(np.diff(texts.word_offsets))
-                sums.append(lp[texts.word_offsets[1:]] - lp[texts.word_offsets[:-1]])
-            n, sums = np.concatenate(n), np.concatenate(sums)
-            return [pa.array(n, pa.int64()), pa.array(sums, pa.float64())]
+                h, at = texts.hashes(), texts.word_offsets
+                ids = words.ids_of(h)
+                share, unknown = words.shares(h, ids)
+                lp = np.concatenate([[0.0], np.cumsum(log_probabilities(parameters, ids, at) + share)])
+                n.append(np.diff(at))
+                sums.append(lp[at[1:]] - lp[at[:-1]])
+                terms, often, offsets = term_counts(h[unknown], np.concatenate([[0], np.cumsum(unknown)])[at])
+                rest.append(terms.view(np.int64))
+                times.append(often)
+                ends.append((offsets[1:] + ends[-1][-1]).astype(np.int32))
+            n, sums, ends = np.concatenate(n), np.concatenate(sums), pa.array(np.concatenate(ends), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x), pa.int64())) for x in (rest, times)]
+            return [pa.array(n, pa.int64()), pa.array(sums, pa.float64()), *lists]
 
         return work
 
-    out = add_columns(docs, text_col, [("n_words", LongType()), ("log_probability", DoubleType())], make)
+    rows = docs if columns is None else docs.select(*columns, docs[text_col].alias("__word"))
+    fields = [("n_words", LongType()), ("log_probability", DoubleType()), ("__word", ArrayType(LongType())), ("__times", ArrayType(LongType()))]
+    out = add_columns(rows, text_col if columns is None else "__word", fields, make)
+    if counts is not None:
+        out = keep(out.withColumn("__row", F.monotonically_increasing_id()))
+        rest = out.select("__row", F.inline(F.arrays_zip("__word", "__times")))
+        rest = rest.join(counts.where("n > 1").withColumnRenamed("word", "__word"), "__word")
+        more = rest.groupBy("__row").agg(F.sum(F.col("__times") * F.log("n")).alias("__more"))
+        out = out.join(more, "__row", "left").withColumn("log_probability", F.col("log_probability") + F.coalesce("__more", F.lit(0.0))).drop("__row", "__more")
+    out = out.drop("__word", "__times")
     return out.withColumn("mean_log_probability", F.when(F.col("n_words") > 0, F.col("log_probability") / F.col("n_words")))
 
 
 def op10(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "text")
-    vocabulary = count_words(rows)
-    scored = score(rows, vocabulary, train(rows, vocabulary))
+    counts = word_counts(rows)
+    vocabulary = vocabulary_of(counts)
+    scored = score(rows, vocabulary, train(rows, vocabulary), counts=counts, columns=["doc_id"])
     return scored.select("doc_id", "n_words", F.round("log_probability", 3).alias("log_probability"), F.round("mean_log_probability", 5).alias("mean_log_probability"))

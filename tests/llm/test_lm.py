@@ -34,7 +34,7 @@ def test_score_is_the_sum_over_words():
     texts = ["a b c a", "", "b", None, "c " * 3000]
     v = lm.Vocabulary(np.empty(0, np.uint64))
     ((_, _, block),) = blocks(pa.array(texts))
-    ids, got = v.ids(block), lm.log_probabilities(lm.start(), v, block)
+    ids, got = v.ids(block), lm.log_probabilities(lm.start(), v.ids(block), block.word_offsets)
     for k, (a, b) in enumerate(zip(block.word_offsets[:-1], block.word_offsets[1:], strict=True)):
         for i in range(a, min(b, a + 6)):
             around = [ids[i + d] if a <= i + d < b else lm.EDGE for d in lm.PLACES]
@@ -88,3 +88,42 @@ def test_each_word_is_a_target_once_wherever_its_row_is(spark, monkeypatch):
     assert np.isfinite(other).all() and abs(other - flat[0]).max() < 1
     clash = spark.createDataFrame([("a b", 1, "x")], "text string, n_words int, log_probability string")
     assert lm.score(clash, v, other).first()["n_words"] == 2
+
+
+def test_scores_are_of_words_and_counts_are_joined(spark):
+    """P(word | window) is that of its id by its count among the words of that id, in plain Python."""
+    texts = ["x y x y x y a a a b", "a b b c d d q", None, "", "x zz", "x zz"] + [f"w{i} w{i} u{i}" for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen = {}
+    for t in texts:
+        for w in (t or "").split():
+            seen[w] = seen.get(w, 0) + 1
+    got = []
+    for known in (0, 4, 1 << 16):
+        counts = lm.word_counts(df)
+        v = lm.vocabulary_of(counts, 2, known)
+        assert len(v.known) <= known
+        rows = lm.score(df, v, lm.start(), counts=counts).orderBy("doc_id").collect()
+        got.append([r["log_probability"] for r in rows])
+        assert rows[0].asDict().keys() == {"doc_id", "text", "n_words", "log_probability", "mean_log_probability"}
+    assert np.allclose(got[0], got[1]) and np.allclose(got[0], got[2])
+    ((_, _, block),) = blocks(pa.array(texts))
+    ids = v.ids(block)
+    lp = lm.log_probabilities(lm.start(), ids, block.word_offsets)
+    words = [block.word(i).decode() for i in range(len(ids))]
+    of = dict(zip(words, ids.tolist(), strict=True))
+    total = lambda k: sum(n for w, n in seen.items() if of[w] == k)
+    share = [0 if k < lm.FREQUENT else np.log(seen[w] / (total(k) + 1)) for w, k in zip(words, ids.tolist(), strict=True)]
+    for d, (a, b) in enumerate(zip(block.word_offsets[:-1], block.word_offsets[1:], strict=True)):
+        assert abs(got[0][d] - sum(lp[a:b]) - sum(share[a:b])) < 1e-3, d
+    assert len(set(ids.tolist()) & set(range(lm.FREQUENT))) == 2 and share.count(0) < len(share)
+
+
+def test_unseen_words_share_one_count(spark):
+    df = spark.createDataFrame([("a b",)], "text string")
+    counts = lm.word_counts(df)
+    v = lm.vocabulary_of(counts)
+    new = spark.createDataFrame([("new",), ("other",)], "text string")
+    flat = lm.start()
+    with_counts = [r[0] for r in lm.score(new, v, flat, counts=counts).select("log_probability").collect()]
+    assert sorted(with_counts) == sorted(r[0] for r in lm.score(new, v, flat).select("log_probability").collect())

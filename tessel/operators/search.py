@@ -6,7 +6,7 @@ the hits are fetched afterwards, so a search reads no text but that of its hits.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessel.functions import vector as v
@@ -64,9 +64,11 @@ def search_text(embed, metric: str, chunks: DataFrame, vectors: DataFrame, docum
     return search(metric, chunks, vectors, documents, embed(text), scope, k)
 
 
-def batch_search(queries: DataFrame, vectors: DataFrame, k: int = DEFAULT_K, score: Column | None = None) -> DataFrame:
+def batch_search(queries: DataFrame, vectors: DataFrame, k: int = DEFAULT_K, on: tuple[str, ...] = ("tenant_id",)) -> DataFrame:
     """query_id, chunk_id, similarity, rank: for each of the queries (query_id, tenant_id, query) the k nearest vectors of its tenant.
 
+    on: columns of both that must be equal; a query may be there for several values of a column.
+
     The query set is stated, so it is small beside the vectors: it is broadcast in blocks of
     QUERY_BLOCK against all vectors, and each partition keeps its best k of a query before a shuffle.
     """
@@ -75,7 +77,7 @@ def batch_search(queries: DataFrame, vectors: DataFrame, k: int = DEFAULT_K, sco
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc_nulls_last("similarity"), "chunk_id"))
     out = None
     for b in range(n):
-        pairs = vectors.join(F.broadcast(queries.where(F.col("block") == b).drop("block")), "tenant_id")
+        pairs = vectors.join(F.broadcast(queries.where(F.col("block") == b).drop("block")), list(on))
         scored = pairs.select("query_id", "chunk_id", v.cosine(F.col("embedding"), F.col("query")).alias("similarity"))
         best = scored.withColumn("rank", rank).where(F.col("rank") <= k)
         out = best if out is None else out.unionByName(best)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessel.functions import text as t
 from tessel.functions.vector import hash_vector, norm
-from tessel.operators import answers, chunking, knowledge, models, mutate, resolve, search, summaries
+from tessel.operators import answers, chunking, index, knowledge, models, mutate, resolve, search, summaries
 from tessel.operators import scope as sc
 from tessel.plans import ingest
 from tessel.sources.shared import keep
@@ -133,6 +133,13 @@ def batch_search_topk(x: Tables) -> DataFrame:
     return _rounded(search.batch_search(queries, x.vectors(), 5))
 
 
+@query()
+def batch_search_index(x: Tables) -> DataFrame:
+    """batch_search_topk by the approximate index, over all vectors."""
+    queries = x.vectors().where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "tenant_id", F.col("embedding").alias("query"))
+    return _rounded(index.search_index(index.build(x.vectors()), queries, 5))
+
+
 @query("select c.id as chunk_id, c.doc_id, c.chunk_order, cast(len(v.embedding) as int) as dim, round(sqrt(list_dot_product(cast(v.embedding as double[]), cast(v.embedding as double[]))), 6) as length from v_chunks c join v_vectors v on v.chunk_id = c.id where c.tenant_id = 1 and c.project_id in (1, 6, 11, 16, 21)")
 def chunks_with_embeddings(x: Tables) -> DataFrame:
     rows = search.chunks_with_embeddings(x.chunks(), x.vectors(), SCOPE)

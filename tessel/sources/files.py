@@ -8,6 +8,9 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField, Str
 
 from tessel.functions.text import safe_path
 
+from .shared import keep
+from .snapshots import Store
+
 SUFFIXES = (".txt", ".md")
 FILE = StructType([StructField("path", StringType()), StructField("modificationTime", TimestampType()), StructField("length", LongType()), StructField("content", BinaryType())])
 
@@ -42,6 +45,19 @@ def changed(current: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFrame
     return current.join(new.join(old, ["path", "hash"], "left_anti").select("path"), "path", "left_semi"), old.join(new, "path", "left_anti").select("path")
 
 
+def commit(store: Store, documents: DataFrame, message: str, at: int | None = None) -> int | None:
+    """The files of documents as a new version, with a line in the log (version, message, n_changed, n_gone); None where no file has changed."""
+    version, tables = store.manifest()
+    tree = keep(with_paths(documents).select("path", "content"))
+    before = store.read("files") if "files" in tables else tree.limit(0)
+    n_changed, n_gone = (x.count() for x in changed(tree, before))
+    if not n_changed and not n_gone:
+        return None
+    line = store.spark.createDataFrame([(version + 1, message, n_changed, n_gone)], "version long, message string, n_changed long, n_gone long")
+    log = store.read("commits").unionByName(line) if "commits" in tables else line
+    return store.publish({"files": tree, "commits": log}, at=version if at is None else at)
+
+
 def write_documents(documents: DataFrame, folder: str) -> None:
     """One row a file, with its path, as a table partitioned by nothing: a reader can lay files out from it."""
     with_paths(documents).select("path", "content").write.mode("overwrite").parquet(folder)

@@ -2,7 +2,8 @@
 
 Each version writes its tables to folders of its own, then one small manifest names them all. A
 reader takes the newest manifest, so it sees all tables of a version or none. All files go
-through Spark, so any store that Spark reads will do.
+through Spark, so any store that Spark reads will do. Tables may be partitioned, by tenant for
+instance, so that a filter on those columns reads only their folders; appended rows are folders beside the old ones.
 """
 
 from __future__ import annotations
@@ -14,12 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tessel.operators.mutate import violations
+from tessel.operators.mutate import insert_missing, violations
 
 
 class Store:
-    def __init__(self, spark: SparkSession, path: str, unique: dict[str, list[str]] | None = None):
-        self.spark, self.path, self.unique = spark, path.rstrip("/"), unique or {}
+    def __init__(self, spark: SparkSession, path: str, unique: dict[str, list[str]] | None = None, partitions: dict[str, list[str]] | None = None):
+        self.spark, self.path, self.unique, self.partitions = spark, path.rstrip("/"), unique or {}, partitions or {}
 
     def _manifests(self) -> DataFrame | None:
         folder = f"{self.path}/manifests"
@@ -28,7 +29,8 @@ class Store:
             return None
         return self.spark.read.schema("version long, tables string").option("recursiveFileLookup", "true").json(folder)
 
-    def manifest(self) -> tuple[int, dict[str, str]]:
+    def manifest(self) -> tuple[int, dict[str, dict]]:
+        """The newest version, and of each of its tables the folders (paths) and the schema."""
         found = self._manifests()
         row = found.orderBy(F.desc("version")).first() if found is not None else None
         return (row["version"], json.loads(row["tables"])) if row else (0, {})
@@ -44,7 +46,51 @@ class Store:
             if row is None:
                 raise KeyError(f"no version {version}")
             tables = json.loads(row["tables"])
-        return self.spark.read.parquet(tables[name])
+        return self._table(name, tables[name])
+
+    def _table(self, name: str, entry: dict) -> DataFrame:
+        schema = StructType.fromJson(entry["schema"])
+        read = self.spark.read.schema(schema).option("basePath", f"{self.path}/data/{name}")
+        return read.parquet(*entry["paths"]).select(*[f"`{n}`" for n in schema.names])
+
+    def _write(self, name: str, df: DataFrame) -> str:
+        path = f"{self.path}/data/{name}/__batch={uuid.uuid4().hex}"
+        by = self.partitions.get(name, [])
+        # a tenant's rows go to few files, and those of a large one to several tasks, by AQE
+        (df.hint("rebalance", *by).write.partitionBy(*by) if by else df.write).parquet(path)
+        return path
+
+    def health(self) -> dict:
+        """Whether the newest manifest and the schema of each of its tables can be read."""
+        try:
+            version, tables = self.manifest()
+            for name, entry in tables.items():
+                self._table(name, entry).limit(1).count()
+        except Exception as e:  # whatever the store says
+            return {"ok": False, "error": str(e)}
+        return {"ok": True, "version": version, "tables": sorted(tables)}
+
+    def append(self, name: str, rows: DataFrame, at: int | None = None) -> int:
+        """Rows added to a table; what is there isn't written again."""
+        return self.publish({name: rows}, at=at, add=True)
+
+    def seed(self, rows: dict[str, tuple[DataFrame, list[str]]]) -> int:
+        """Rows with keys that a table doesn't have yet; no new version where all are there."""
+        fresh = {n: df.join(self.read(n).select(*keys), keys, "left_anti").select(*df.columns) for n, (df, keys) in rows.items()}
+        fresh = {n: df for n, df in fresh.items() if not df.isEmpty()}
+        return self.publish(fresh, add=True) if fresh else self.version
+
+    def drop(self, names: list[str]) -> int:
+        """A version without these tables; older versions still have them."""
+        version, current = self.manifest()
+        return self._commit(version, {n: t for n, t in current.items() if n not in names})
+
+    def reset(self, schemas: dict[str, StructType], seeds: dict[str, tuple[DataFrame, list[str]]] | None = None) -> int:
+        """Only these tables, empty but for the seeds."""
+        version, current = self.manifest()
+        empty = {n: self.spark.createDataFrame([], s) for n, s in schemas.items()}
+        made = {n: insert_missing(df, seeds[n][0], seeds[n][1]) if seeds and n in seeds else df for n, df in empty.items()}
+        return self.publish(made, rebuild=True, at=version, only=True)
 
     def bootstrap(self, schemas: dict[str, StructType]) -> int:
         """Empty tables for those that aren't there."""
@@ -52,22 +98,25 @@ class Store:
         missing = {n: self.spark.createDataFrame([], s) for n, s in schemas.items() if n not in have}
         return self.publish(missing) if missing else self.version
 
-    def publish(self, tables: dict[str, DataFrame], rebuild: bool = False, at: int | None = None) -> int:
-        """Write new states of tables; the others stay. Fails if at is given and another version has come since, on keys that aren't unique, and on other columns unless rebuild is set."""
+    def publish(self, tables: dict[str, DataFrame], rebuild: bool = False, at: int | None = None, add: bool = False, only: bool = False) -> int:
+        """Write new states of tables, or rows to add to them; the others stay, unless these are to be the only ones. Fails if at is given and another version has come since, on keys that aren't unique, and on other columns unless rebuild is set."""
         version, current = self.manifest()
         if at is not None and version != at:
             raise RuntimeError(f"version {version} is newer than {at}")
-        new = dict(current)
+        new = {} if only else dict(current)
         for name, df in tables.items():
             if name in current and not rebuild:
                 kinds = lambda s: [(f.name, f.dataType.simpleString()) for f in s.fields]
                 if kinds(self.read(name).schema) != kinds(df.schema):
                     raise ValueError(f"{name} has other columns than before")
-            path = f"{self.path}/data/{name}/{uuid.uuid4().hex}"
-            df.write.parquet(path)
-            if name in self.unique and not violations(self.spark.read.parquet(path), self.unique[name]).isEmpty():
+            before = current[name]["paths"] if add and name in current else []
+            entry = {"paths": [*before, self._write(name, df)], "schema": df.schema.jsonValue()}
+            if name in self.unique and not violations(self._table(name, entry), self.unique[name]).isEmpty():
                 raise ValueError(f"{name} isn't unique by {', '.join(self.unique[name])}")
-            new[name] = path
+            new[name] = entry
+        return self._commit(version, new)
+
+    def _commit(self, version: int, new: dict[str, dict]) -> int:
         made = self.spark.createDataFrame([(version + 1, json.dumps(new))], "version long, tables string")
         made.coalesce(1).write.mode("error").json(f"{self.path}/manifests/v{version + 1}")  # another writer's version stays
         if self._manifests().where(F.col("version") == version + 1).count() != 1:

@@ -1,6 +1,6 @@
 """Licence scans: normalised text compared with licence templates by Dice coefficient over word bigrams.
 
-The units of a text that are compared are its lines, its paragraphs (lines up to a blank one) and
+The units of a text that are compared are its lines, its paragraphs (lines up to one without ink) and
 the whole. A unit of n bigrams can only reach the threshold t with a template of m bigrams if
 t / (2 - t) <= n / m <= (2 - t) / t, which prunes most; of the rest, the number of bigrams that are
 in the template at all bounds the coefficient; what is left is compared exactly, with bigrams
@@ -8,8 +8,8 @@ counted as often as they are there. Beside the units, runs of words anywhere in
 (notices inside a line, headers in paragraphs, whole licences), with blank lines of no meaning.
 
 Cases: null and empty texts, and units of fewer than two words, match nothing; units with the same
-words (a line that is the whole text) are reported once; templates that tie are all reported; repeated
-rows give a row each; an empty table gives an empty result; columns named licences or passages are replaced.
+words (a line that is the whole text) are reported once; of the templates that a unit reaches (versions of a licence are
+alike) the best is reported, all of them if they tie; very long texts are searched whole; repeated rows give a row each; an empty table gives an empty result; columns named licences or passages are replaced.
 """
 
 from __future__ import annotations
@@ -41,6 +41,24 @@ TEMPLATES = {
     "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.""",
     "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.""",
     "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "GPL-2.0-header": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
+    "LGPL-2.1-header": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.""",
+    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "AGPL-3.0-header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.""",
+    "EPL-1.0-header": """All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html""",
+    "EPL-2.0-header": """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/ SPDX-License-Identifier: EPL-2.0""",
+    "BSD-style": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)",
+    "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-ND-4.0": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "CC-BY-NC-4.0-long": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC-BY-NC-SA-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "CC-BY-NC-ND-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    "GFDL-1.3-header": """Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3 or any later version published by the Free Software Foundation; with no Invariant Sections, no Front-Cover Texts, and no Back-Cover Texts. A copy of the license is included in the section entitled "GNU Free Documentation License".""",
+    "OFL-1.1": "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
 }
 
 #: Whole licence texts, in the folder beside this file.
@@ -91,15 +109,16 @@ class Templates:
                 continue
             inside = at[a:b][hit[a:b]]
             bound = 2 * np.minimum(self.member[:, inside].sum(axis=1), self.sizes) >= self.threshold * (self.sizes + size)
-            for t in np.flatnonzero(possible & bound):
-                own = Counter(grams[a:b].tolist())
-                dice = 2 * sum((own & self.counts[t]).values()) / (size + int(self.sizes[t]))
-                if dice >= self.threshold:
-                    out[key[0]].append((self.names[t], dice, int(a - texts.word_offsets[key[0]]), int(size + 1)))
+            own = Counter(grams[a:b].tolist()) if (possible & bound).any() else Counter()
+            dice = {t: 2 * sum((own & self.counts[t]).values()) / (size + int(self.sizes[t])) for t in np.flatnonzero(possible & bound)}
+            best = max(dice.values(), default=0.0)
+            if best >= self.threshold:
+                out[key[0]] += [(self.names[t], best, int(a - texts.word_offsets[key[0]]), int(size + 1)) for t, d in dice.items() if d == best]
         return [sorted(x, key=lambda m: (m[2], m[3], m[0])) for x in out]
 
     def passages(self, texts: Texts) -> list[list[tuple]]:
-        """For each text (template, dice, first word, words) of runs of words that reach the threshold, best first where runs overlap.
+        """For each text (template, dice, first word, words) of runs of words that reach the threshold, best first where runs of a template overlap;
+        a run that a better one of another template covers by half or more is that other licence.
 
         A run begins where template bigrams begin. A bigram counts in it if it is there no more often
         than in the template, so it must not be the (count + 1)th since the run's start.
@@ -127,7 +146,12 @@ class Templates:
                 own = self.times[t, ids] > 0
                 found = self._runs(places[own], ids[own], t, last - first)
                 out[d] += [(self.names[t], dice, int(a), int(b - a + 1)) for dice, a, b in found]
-        return [sorted(x, key=lambda m: (m[2], m[3], m[0])) for x in out]
+        return [sorted(self._best(x), key=lambda m: (m[2], m[3], m[0])) for x in out]
+
+    @staticmethod
+    def _best(runs: list[tuple]) -> list[tuple]:
+        common = lambda r, o: min(r[2] + r[3], o[2] + o[3]) - max(r[2], o[2])
+        return [r for r in runs if not any(o[1] > r[1] and 2 * common(r, o) >= r[3] for o in runs)]
 
     def _runs(self, places: np.ndarray, ids: np.ndarray, t: int, n: int) -> list[tuple]:
         """(dice, first bigram, bigram after the last) of the best runs that don't overlap."""
@@ -160,7 +184,8 @@ class Templates:
     def _units(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First word, word after the last, and text of each line, paragraph and whole text."""
         lines = np.flatnonzero(texts.data == 10)
-        blank = lines[1:][np.diff(lines) == 1] if len(lines) > 1 else lines[:0]
+        ink = np.cumsum(texts.data > 32)[lines]
+        blank = lines[1:][np.diff(ink) == 0]
         out = []
         for cuts in (lines, blank, lines[:0]):
             bounds = np.union1d(np.searchsorted(texts.starts, cuts), texts.word_offsets)
@@ -198,7 +223,9 @@ def scan(docs: DataFrame, text_col: str = "text", templates: dict[str, str] | No
 
 
 def op6(docs: DataFrame) -> DataFrame:
+    """The licences of each document; the best is that of the highest coefficient, the longest of these, the first by name."""
     found = scan(docs.select("doc_id", "text")).withColumn("licences", F.concat("licences", "passages"))
     names = F.array_sort(F.array_distinct(F.transform("licences", lambda x: x["licence"])))
-    best = F.array_max(F.transform("licences", lambda x: x["dice"]))
-    return found.select("doc_id", F.size("licences").cast("long").alias("n_matches"), F.array_join(names, ",").alias("licences"), F.round(best, 6).alias("best_dice"))
+    ranked = F.array_sort(F.transform("licences", lambda x: F.struct((-x["dice"]).alias("d"), (-x["n_words"]).alias("n"), x["licence"].alias("licence"))))
+    first = F.get(ranked, F.lit(0))
+    return found.select("doc_id", F.size("licences").cast("long").alias("n_matches"), F.array_join(names, ",").alias("licences"), F.round(-first["d"], 6).alias("best_dice"), first["licence"].alias("best_licence"))

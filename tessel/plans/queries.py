@@ -480,7 +480,12 @@ def _empty(x: Tables) -> dict[str, DataFrame]:
     }
 
 
-@query()
+@query(r"""
+with s as (select id as doc_id, unnest(string_split_regex(coalesce(content, ''), '[.!?\n]')) as x from v_documents),
+w as (select doc_id, [t for t in regexp_extract_all(x, '[\p{L}\p{N}_]+') if regexp_full_match(t, '[A-Z][a-z]{3,}')] as ws from s),
+p as (select doc_id, ws, unnest(range(1, len(ws))) as k from w where len(ws) > 1)
+select ws[k] as source, ws[k + 1] as target, 'NEAR' as relationship_type, cast(max(doc_id) as varchar) as doc_id from p where ws[k] <> ws[k + 1] group by 1, 2
+""")
 def knowledge_refresh(x: Tables) -> DataFrame:
     """Edges of the terms of all documents, with the document that wrote each last."""
     found = keep(x.documents().select(F.col("id").alias("doc_id"), models.apply_model(models.capitalised_words, F.col("content"), models.EXTRACTION).alias("x")))

@@ -524,7 +524,20 @@ def answer_with_model(x: Tables) -> DataFrame:
     return made["responses"]
 
 
-@query()
+@query(rf"""
+with s as (select id, conv_id, unnest(string_split(regexp_replace(query_text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) as x, generate_subscripts(string_split(regexp_replace(query_text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), 1) as i from v_queries),
+k as (select id, cast(conv_id % 5 as int) as tenant_id, i, regexp_replace(x, '^\s+|\s+$', '', 'g') as x from s),
+a as (select id, tenant_id, x, row_number() over (partition by id order by i) - 1 as position from k where x <> ''),
+t as (select distinct tenant_id, x from a),
+b as (select tenant_id, x, n, cast(('0x' || sha256(x || ':' || cast(n as varchar))[1:8]) as bigint) / 4294967295.0 * 2 - 1 as y from t, range({DIM}) r(n)),
+q as (select tenant_id, x, list(y order by n) as embedding from b group by tenant_id, x),
+c as (select q.tenant_id, q.x, v.chunk_id, row_number() over (partition by q.tenant_id, q.x order by {_COS} desc, v.chunk_id) as rank from q join v_vectors v on v.tenant_id = q.tenant_id),
+d as (select c.tenant_id, c.x, coalesce(nullif(d.doc_name, ''), 'Unknown Document') as doc_name, min(c.rank) as rank from c join v_chunks h on h.id = c.chunk_id left join v_documents d on d.id = h.doc_id where c.rank <= 3 group by all),
+e as (select tenant_id, x, 'See ' || string_agg(doc_name, ', ' order by rank) || '.' as y from d group by tenant_id, x),
+f as (select a.id, e.y, row_number() over (partition by a.id order by a.position) - 1 as j from a join e on e.tenant_id = a.tenant_id and e.x = a.x),
+g as (select id, string_agg(case when j = 0 then y else (['Additionally,', 'Furthermore,', 'In addition,', 'Finally,'])[least(j - 1, 3) + 1] || ' ' || y end, ' ' order by j) as response_text from f group by id)
+select v.id as query_id, g.response_text, case when g.id is null then 'pending' else 'success' end as status from v_queries v left join g on g.id = v.id
+""")
 def answer_pipeline(x: Tables) -> DataFrame:
     """Sourced answers to all questions, each in the tenant of its conversation."""
     queries = x.queries().withColumn("tenant_id", (F.col("conv_id") % 5).cast("int"))

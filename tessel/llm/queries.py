@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontamination, fingerprints, language, licences, lm, near_duplicates, oracle, secrets, sharding
+from . import bpe, chat, decontamination, fingerprints, language, lexical, licences, lm, near_duplicates, oracle, prefix_trie, secrets, sharding, suffix_dedup
 
 
 #: The tokenizer file of op4; any byte-level BPE file of the tokenizers library can be given to bpe.encode().
@@ -62,6 +62,18 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.op10(_table(spark, sf_dir, "documents"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.op11(_table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.op12(_table(spark, sf_dir, "conversations"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.op13(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -76,6 +88,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_benchmark_decontamination,
         op9_sharding,
         op10_lm_scoring,
+        op11_suffix_dedup,
+        op12_prefix_trie,
+        op13_lexical_search,
     )
 }
 
@@ -83,4 +98,7 @@ ORACLE_SQL: dict[str, str] = {
     "op1_chat_formatting": oracle.CHAT,
     "op7_secret_scan": oracle.SECRETS,
     "op8_benchmark_decontamination": oracle.DECONTAMINATION,
+    "op11_suffix_dedup": oracle.SUFFIXES,
+    "op12_prefix_trie": oracle.TRIE,
+    "op13_lexical_search": oracle.RANKED,
 }

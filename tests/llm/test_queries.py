@@ -10,6 +10,6 @@ def test_query_equals_sql(spark, sf, name):
     assert differences(spark, connect(sf), sf, name, QUERIES, ORACLE_SQL) == []
 
 
-@pytest.mark.parametrize("n", range(1, 11))
+@pytest.mark.parametrize("n", range(1, 14))
 def test_each_operator_has_a_query(n):
     assert sum(q.startswith(f"op{n}_") for q in QUERIES) == 1

@@ -14,8 +14,8 @@ suffixes of all documents are sorted in buckets, one after the other, as far as
 
 Equal texts are found first by digest, as all but the one of the smallest id lose everything. Documents are written once, in chunks, to a table
 bucketed by chunk, so what is found comes back to the texts without moving them. A piece that many documents of a chunk have travels
-once, with the least and the largest id; pieces of all chunks are grouped by their content before they are sorted; hashes with more than
-MOST_PIECES different pieces, as of a phrase that stands everywhere, are not sorted in one task but compared window by window, by grouping.
+once, with the least and the largest id; the pieces of a chunk for one bucket are one row. Hashes of which all chunks together may have more than
+MOST_PIECES pieces, as of a phrase that stands everywhere, are not brought to one task but compared window by window, by grouping.
 
 Cases: null texts are empty; a null id comes after all others, so null ids take nothing from each other; rows of one id take nothing from
 each other, whatever their texts; repeated rows are treated alike; texts of fewer than LENGTH bytes keep all; matches never cross documents; long texts are
@@ -46,7 +46,7 @@ LENGTH, SAMPLE = 50, 20
 PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
 #: Bytes of text of a chunk, of a range of hashes and of a bucket of pieces; windows that are hashed or sorted at once, and of a piece.
 CHUNK_BYTES, RANGE_BYTES, BUCKET_BYTES, SEGMENT, BLOCK, MOST_WINDOWS = 4 << 20, 64 << 20, 4 << 20, 1 << 20, 1 << 18, 4096
-#: Different pieces of one hash that one task sorts.
+#: Pieces of one hash that one task sorts.
 MOST_PIECES = 20_000
 #: Suffixes of one tie that are put in order side by side with those of other ties.
 SMALL = 64
@@ -186,15 +186,15 @@ class Chunk:
             start, size = np.repeat(first, cuts) + k * MOST_WINDOWS, np.minimum(np.repeat(run, cuts) - k * MOST_WINDOWS, MOST_WINDOWS)
             yield start + a, size, mix(np.repeat(h[first], cuts)), np.repeat(doc[first], cuts)
 
-    def keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct hashes in order, and which of them more than one text has."""
+    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct hashes in order, which of them more than one text has, and their pieces."""
         order = np.lexsort((self.docs, self.hashes))
         h, d = self.hashes[order], self.docs[order]
         if not len(h):
-            return h, np.empty(0, bool)
+            return h, np.empty(0, bool), np.empty(0, np.int64)
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         last = np.append(first[1:], len(h)) - 1
-        return h[first], d[first] != d[last]
+        return h[first], d[first] != d[last], last - first + 1
 
     def contents(self, hits: np.ndarray) -> tuple[list[bytes], list[int], np.ndarray, np.ndarray]:
         """Distinct contents of the pieces with these hashes and their hashes; of each such piece its index and its content's number."""
@@ -242,7 +242,7 @@ def _copies(chunks: DataFrame) -> DataFrame:
     return keys.join(shared, "digest").where("id > least").select("chunk", "place")
 
 
-INFO = "chunk long, kind int, at long, start long, size long, least long, packed binary"
+INFO = "chunk long, kind int, at long, packed binary"
 COPY, HIT, RUN = 0, 1, 2
 
 
@@ -260,86 +260,109 @@ def _with_info(chunks: DataFrame, info: DataFrame, work: Callable[[Chunk, np.nda
     return chunks.groupBy("chunk").cogroup(info.groupBy("chunk")).applyInArrow(run, schema)
 
 
-def _pack(h: np.ndarray, many: np.ndarray, ranges: int) -> list[tuple[int, bytes]]:
-    """(range, its hashes in five bytes each, the last bit telling whether more than one text has it)."""
-    low = (h & np.uint64((1 << 40) - 2)) | many.astype(np.uint64)
-    of = (h >> np.uint64(40)) % np.uint64(ranges)
-    order = np.argsort(of, kind="stable")
-    low, of = low[order], of[order]
-    first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.empty(0, np.int64)
-    raw = low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-    return [(int(of[a]), raw[a:b].tobytes()) for a, b in zip(first, np.append(first[1:], len(of)), strict=False)]
+def _table(columns: dict[str, tuple[list | np.ndarray, pa.DataType]]) -> pa.Table:
+    return pa.table({n: pa.array(v, t) for n, (v, t) in columns.items()})
 
 
-def _unpack(packed: bytes) -> np.ndarray:
-    raw = np.zeros((len(packed) // 5, 8), np.uint8)
-    raw[:, :5] = np.frombuffer(packed, np.uint8).reshape(-1, 5)
-    return raw.view("<u8").ravel()
+def _packed(values: np.ndarray, marks: np.ndarray) -> bytes:
+    """Five bytes of each value, then a byte for each mark."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes() + marks.astype(np.uint8).tobytes()
 
 
-def _table(columns: dict[str, tuple[list | np.ndarray, pa.DataType]]) -> pa.Table:
-    return pa.table({n: pa.array(v, t) for n, (v, t) in columns.items()})
+def _unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(packed) // 6
+    raw = np.zeros((n, 8), np.uint8)
+    raw[:, :5] = np.frombuffer(packed, np.uint8, 5 * n).reshape(-1, 5)
+    return raw.view("<u8").ravel(), np.frombuffer(packed, np.uint8, n, 5 * n)
+
+
+def _in_ranges(h: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each hash the range that it is met in and the 40 bits it is known by there."""
+    return (h >> np.uint64(40)) % np.uint64(ranges), h & np.uint64((1 << 40) - 1)
+
+
+def _cuts(of: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, from, to) of runs of equal values."""
+    first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.empty(0, np.int64)
+    return zip(of[first].tolist(), first.tolist(), np.append(first[1:], len(of)).tolist(), strict=True) if len(first) else iter(())
 
 
 def _hits(chunks: DataFrame, copies: DataFrame, ranges: int) -> DataFrame:
-    """Rows of INFO: of each chunk the hashes that another document has as well; a hash is met as (range, 39 bits), which may only add some."""
+    """Rows of INFO: of each chunk the hashes that another document has as well, marked where all chunks together may have more than MOST_PIECES of their pieces.
+
+    A hash is met as a range and 40 bits, which may only add some.
+    """
 
     def emit(chunk: Chunk, _usable, rows: pa.Table, _found) -> pa.Table:
-        packed = _pack(*chunk.keys(), ranges)
-        return _table({"chunk": ([rows["chunk"][0].as_py()] * len(packed) if packed else [], pa.int64()), "range": ([r for r, _ in packed], pa.int64()), "packed": ([p for _, p in packed], pa.binary())})
+        h, many, n = chunk.keys()
+        of, low = _in_ranges(h, ranges)
+        order = np.argsort(of, kind="stable")
+        marks = ((np.ceil(np.log2(n[order] + 1)).astype(np.int64) << 1) | many[order]).astype(np.uint8)
+        sent = [(r, _packed(low[order][a:b], marks[a:b])) for r, a, b in _cuts(of[order])]
+        return _table({"chunk": ([rows["chunk"][0].as_py() for _ in sent], pa.int64()), "range": ([r for r, _ in sent], pa.int64()), "packed": ([p for _, p in sent], pa.binary())})
 
     def meet(rows: pa.Table) -> pa.Table:
-        parts = [_unpack(p) for p in rows["packed"].to_pylist()]
-        low = np.concatenate(parts)
-        order = np.argsort(low >> np.uint64(1), kind="stable")
-        key = low[order] >> np.uint64(1)
+        parts = [_unpacked(p) for p in rows["packed"].to_pylist()]
+        low, marks = np.concatenate([v for v, _ in parts]), np.concatenate([m for _, m in parts])
+        order = np.argsort(low, kind="stable")
+        key, marks = low[order], marks[order]
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         n = np.diff(np.append(first, len(key)))
-        more = (n > 1) | np.bitwise_or.reduceat(low[order] & np.uint64(1), first).astype(bool)
-        hit = np.empty(len(low), bool)
-        hit[order] = np.repeat(more, n)
+        more = (n > 1) | np.bitwise_or.reduceat(marks & 1, first).astype(bool)
+        hot = np.add.reduceat(1 << (marks >> 1).astype(np.int64), first) > MOST_PIECES
+        hit, mark = np.empty(len(low), bool), np.empty(len(low), np.uint8)
+        hit[order], mark[order] = np.repeat(more, n), np.repeat(hot, n)
         out, at = [], 0
-        for chunk, p in zip(rows["chunk"].to_pylist(), parts, strict=True):
-            some = p[hit[at : at + len(p)]]
-            at += len(p)
-            if len(some):
-                out.append((chunk, some.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()))
+        for chunk, (v, _) in zip(rows["chunk"].to_pylist(), parts, strict=True):
+            some, m = hit[at : at + len(v)], mark[at : at + len(v)]
+            at += len(v)
+            if some.any():
+                out.append((chunk, _packed(v[some], m[some]), int(m[some].sum())))
         release()
-        return _table({"chunk": ([c for c, _ in out], pa.int64()), "at": ([rows["range"][0].as_py()] * len(out), pa.int64()), "packed": ([p for _, p in out], pa.binary())})
+        n_out = len(out)
+        return _table({"chunk": ([c for c, _, _ in out], pa.int64()), "kind": ([HIT] * n_out, pa.int32()), "at": ([rows["range"][0].as_py()] * n_out, pa.int64()), "packed": ([p for _, p, _ in out], pa.binary()), "hot": ([x for _, _, x in out], pa.int64())})
 
     sent = _with_info(chunks, copies, emit, "chunk long, range long, packed binary")
-    met = sent.groupBy("range").applyInArrow(meet, "chunk long, at long, packed binary")
-    nothing = F.lit(None).cast("long")
-    return met.select("chunk", F.lit(HIT).alias("kind"), "at", nothing.alias("start"), nothing.alias("size"), nothing.alias("least"), "packed")
+    return sent.groupBy("range").applyInArrow(meet, f"{INFO}, hot long")
 
 
-def _hit_hashes(chunk: Chunk, found: pa.Table, ranges: int) -> np.ndarray:
-    """The chunk's hashes that are among the found ones."""
+def _hit_hashes(chunk: Chunk, found: pa.Table, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """The chunk's hashes that are among the found ones, and whether they are marked."""
     own = np.unique(chunk.hashes)
     some = found.filter(pc.equal(found["kind"], HIT))
-    key = lambda of, low: (of.astype(np.uint64) << np.uint64(40)) | (low & np.uint64((1 << 40) - 2))
-    there = [key(np.full(len(p) // 5, r, np.uint64), _unpack(p)) for r, p in zip(some["at"].to_pylist(), some["packed"].to_pylist(), strict=True)]
-    return own[np.isin(key((own >> np.uint64(40)) % np.uint64(ranges), own), np.concatenate(there))] if there else own[:0]
-
-
-def _pieces(chunks: DataFrame, info: DataFrame, ranges: int) -> DataFrame:
-    """chunk, k, hash, content, least, most: the distinct pieces of each chunk that may meet others, with the ids of the documents that have them."""
-
-    def emit(chunk: Chunk, _usable, rows: pa.Table, found: pa.Table) -> pa.Table:
-        contents, hashes, some, number = chunk.contents(_hit_hashes(chunk, found, ranges))
-        ids = rows["id"].to_numpy()[chunk.docs[some]]
-        least, most = np.full(len(contents), LAST), np.full(len(contents), np.iinfo(np.int64).min)
-        np.minimum.at(least, number, ids)
-        np.maximum.at(most, number, ids)
-        n = len(contents)
-        signed = np.array(hashes, np.uint64).view(np.int64)
-        return _table({"chunk": ([rows["chunk"][0].as_py()] * n if n else [], pa.int64()), "k": (np.arange(n), pa.int64()), "hash": (signed, pa.int64()), "content": (contents, pa.binary()), "least": (least, pa.int64()), "most": (most, pa.int64())})
-
-    return _with_info(chunks, info, emit, "chunk long, k long, hash long, content binary, least long, most long")
-
-
-def _runs(contents: list[bytes], least: np.ndarray, most: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-    """(piece, first window, windows, least document) where that isn't the only one of the piece."""
+    key = lambda of, low: (of.astype(np.uint64) << np.uint64(40)) | low
+    there, marks = [], []
+    for r, p in zip(some["at"].to_pylist(), some["packed"].to_pylist(), strict=True):
+        v, m = _unpacked(p)
+        there.append(key(np.full(len(v), r, np.uint64), v))
+        marks.append(m)
+    if not there:
+        return own[:0], np.empty(0, bool)
+    there, marks = np.concatenate(there), np.concatenate(marks)
+    order = np.argsort(there)
+    there, marks = there[order], marks[order]
+    mine = key(*_in_ranges(own, ranges))
+    at = np.minimum(np.searchsorted(there, mine), len(there) - 1)
+    hit = there[at] == mine
+    return own[hit], marks[at[hit]].astype(bool)
+
+
+class Found:
+    """The distinct pieces of a chunk that may meet others: contents by number, with the least and the largest id of their documents."""
+
+    def __init__(self, chunk: Chunk, rows: pa.Table, found: pa.Table, ranges: int):
+        hits, hot = _hit_hashes(chunk, found, ranges)
+        self.contents, hashes, self.pieces, self.numbers = chunk.contents(hits)
+        self.hashes = np.array(hashes, np.uint64)
+        self.hot = hot[np.searchsorted(hits, self.hashes)] if len(hits) else np.empty(0, bool)
+        ids = rows["id"].to_numpy()[chunk.docs[self.pieces]]
+        self.least, self.most = np.full(len(self.contents), LAST), np.full(len(self.contents), np.iinfo(np.int64).min)
+        np.minimum.at(self.least, self.numbers, ids)
+        np.maximum.at(self.most, self.numbers, ids)
+
+
+def _least(contents: list[bytes], least: np.ndarray, most: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(piece, first window, windows, least document) where a window has a smaller document than the largest of its piece."""
     sizes = np.array([len(x) for x in contents], np.int64)
     starts = np.cumsum(sizes) - sizes
     found = np.full(int(sizes.sum()), LAST)
@@ -356,34 +379,83 @@ def _runs(contents: list[bytes], least: np.ndarray, most: np.ndarray) -> Iterato
         yield from zip(owner[first].tolist(), place[first].tolist(), n.tolist(), found[first].tolist(), strict=True)
 
 
-def _matched(pieces: DataFrame) -> DataFrame:
-    """Rows of INFO: of each chunk's pieces the runs of windows that a smaller id has than some document of the piece, and which."""
-    digest = F.sha2("content", 256)
-    distinct = pieces.groupBy("hash", "content").agg(F.min("least").alias("least"), F.max("most").alias("most"))
-    distinct = keep(distinct.withColumn("digest", digest))
-    total = distinct.agg(F.sum(F.octet_length("content"))).first()[0] or 0
-    buckets = max(1, -(-total // BUCKET_BYTES))
-    hot = distinct.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > MOST_PIECES).select("hash")
-    hot = keep(hot)
+def _cold(chunks: DataFrame, info: DataFrame, ranges: int, buckets: int) -> DataFrame:
+    """Rows of INFO: of each chunk the runs of windows (piece, first, windows, least document) that sorting the buckets' suffixes shows."""
+    fields = ("numbers", "sizes", "least", "most")
+
+    def emit(chunk: Chunk, _usable, rows: pa.Table, found: pa.Table) -> pa.Table:
+        own = Found(chunk, rows, found, ranges)
+        some = np.flatnonzero(~own.hot)
+        bucket = (own.hashes[some] % np.uint64(buckets)).astype(np.int64)
+        some = some[np.argsort(bucket, kind="stable")]
+        bucket.sort()
+        out = []
+        for of, a, b in _cuts(bucket):
+            texts = [own.contents[i] for i in some[a:b].tolist()]
+            numbers = np.stack([some[a:b], [len(x) for x in texts], own.least[some[a:b]], own.most[some[a:b]]])
+            out.append((of, numbers.astype("<i8").tobytes(), b"".join(texts)))
+        return _table({"chunk": ([rows["chunk"][0].as_py() for _ in out], pa.int64()), "bucket": ([o[0] for o in out], pa.int64()), "numbers": ([o[1] for o in out], pa.binary()), "contents": ([o[2] for o in out], pa.binary())})
 
     def sort(rows: pa.Table) -> pa.Table:
-        contents, least, most = rows["content"].to_pylist(), rows["least"].to_numpy(), rows["most"].to_numpy()
-        made = list(zip(*_runs(contents, least, most), strict=True)) or [(), (), (), ()]
-        digests = rows["digest"].take(pa.array(made[0], pa.int64()))
+        seen: dict[bytes, int] = {}
+        held = []  # the pieces of each chunk: number, distinct content, largest id
+        low, high = [], []
+        for numbers, contents in zip(rows["numbers"].to_pylist(), rows["contents"].to_pylist(), strict=True):
+            of = dict(zip(fields, np.frombuffer(numbers, "<i8").reshape(4, -1), strict=True))
+            ends = np.cumsum(of["sizes"]).tolist()
+            ks = []
+            for a, b, x, y in zip([0, *ends], ends, of["least"].tolist(), of["most"].tolist(), strict=False):
+                text = contents[a:b]
+                k = seen.setdefault(text, len(seen))
+                if k == len(low):
+                    low.append(x)
+                    high.append(y)
+                else:
+                    low[k], high[k] = min(low[k], x), max(high[k], y)
+                ks.append(k)
+            held.append((of["numbers"], np.array(ks, np.int64), of["most"]))
+        runs = np.array(list(_least(list(seen), np.array(low, np.int64), np.array(high, np.int64))), np.int64).reshape(-1, 4)
+        chunks_, packed = [], []
+        for chunk, (number, k, most) in zip(rows["chunk"].to_pylist(), held, strict=True):
+            a, b = np.searchsorted(runs[:, 0], k, "left"), np.searchsorted(runs[:, 0], k, "right")
+            n = b - a
+            piece = np.repeat(np.arange(len(k)), n)
+            mine = runs[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)].copy()
+            mine[:, 0] = number[piece]
+            mine = mine[mine[:, 3] < most[piece]]
+            if len(mine):
+                chunks_.append(chunk)
+                packed.append(mine.astype("<i8").tobytes())
         release()
-        return pa.table({"digest": digests, "start": pa.array(made[1], pa.int64()), "size": pa.array(made[2], pa.int64()), "least": pa.array(made[3], pa.int64())})
+        return _table({"chunk": (chunks_, pa.int64()), "kind": ([RUN] * len(packed), pa.int32()), "at": ([None] * len(packed), pa.int64()), "packed": (packed, pa.binary())})
+
+    sent = _with_info(chunks, info, emit, "chunk long, bucket long, numbers binary, contents binary")
+    return sent.groupBy("bucket").applyInArrow(sort, INFO)
+
 
-    schema = "digest string, start long, size long, least long"
-    cold = distinct.join(hot, "hash", "left_anti").withColumn("bucket", F.pmod(F.xxhash64("hash"), F.lit(buckets)))
-    runs = cold.groupBy("bucket").applyInArrow(lambda rows: sort(rows), schema)
-    if not hot.isEmpty():
-        windows = distinct.join(hot, "hash", "left_semi").withColumn("start", F.explode(F.sequence(F.lit(1), F.octet_length("content") - LENGTH + 1)))
-        windows = windows.select("digest", "start", "most", F.col("least").alias("own"), F.substring(F.col("content"), F.col("start"), F.lit(LENGTH)).alias("window"))
-        least = windows.groupBy("window").agg(F.min("own").alias("least"))
-        found = windows.join(least, "window").where("least < most")
-        runs = runs.unionByName(found.select("digest", (F.col("start") - 1).cast("long").alias("start"), F.lit(1).cast("long").alias("size"), "least"))
-    sent = pieces.select("chunk", "k", digest.alias("digest")).join(runs, "digest")
-    return sent.select("chunk", F.lit(RUN).alias("kind"), F.col("k").alias("at"), "start", "size", "least", F.lit(None).cast("binary").alias("packed"))
+def _hot(chunks: DataFrame, info: DataFrame, ranges: int) -> DataFrame:
+    """The same of pieces whose hash has too many for one task, as of a phrase that stands everywhere: window by window, by partial minima."""
+
+    def emit(chunk: Chunk, _usable, rows: pa.Table, found: pa.Table) -> pa.Table:
+        own = Found(chunk, rows, found, ranges)
+        some = np.flatnonzero(own.hot)
+        return _table({"chunk": ([rows["chunk"][0].as_py()] * len(some) if len(some) else [], pa.int64()), "number": (some, pa.int64()), "content": ([own.contents[i] for i in some.tolist()], pa.binary()), "least": (own.least[some], pa.int64()), "most": (own.most[some], pa.int64())})
+
+    pieces = keep(_with_info(chunks, info, emit, "chunk long, number long, content binary, least long, most long"))
+    place = F.explode(F.sequence(F.lit(1), F.octet_length("content") - LENGTH + 1))
+    windows = pieces.select("chunk", "number", "least", "most", "content", place.alias("place")).withColumn("window", F.substring(F.col("content"), F.col("place"), F.lit(LENGTH))).drop("content")
+    least = windows.groupBy("window").agg(F.min("least").alias("__least"))
+    met = windows.join(least, "window").where(F.col("__least") < F.col("most")).select("chunk", "number", (F.col("place") - 1).cast("long").alias("first"), F.lit(1).cast("long").alias("n"), "__least")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+            order = np.argsort(values[:, 0], kind="stable")
+            values = values[order]
+            out = [(c, values[a:b, 1:].astype("<i8").tobytes()) for c, a, b in _cuts(values[:, 0])]
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.int64()), pa.array([RUN] * len(out), pa.int32()), pa.array([None] * len(out), pa.int64()), pa.array([p for _, p in out], pa.binary())], names=["chunk", "kind", "at", "packed"])
+
+    return met.mapInArrow(pack, INFO)
 
 
 def _removed(chunk: Chunk, usable: np.ndarray, rows: pa.Table, found: pa.Table, ranges: int) -> np.ndarray:
@@ -392,51 +464,22 @@ def _removed(chunk: Chunk, usable: np.ndarray, rows: pa.Table, found: pa.Table,
     gone = np.flatnonzero(~usable & (np.diff(chunk.offsets) >= LENGTH))
     edges[chunk.offsets[gone]] += 1
     np.subtract.at(edges, chunk.offsets[gone + 1], 1)
-    contents, _, some, number = chunk.contents(_hit_hashes(chunk, found, ranges))
-    runs = found.filter(pc.equal(found["kind"], RUN))
-    at, start, size, least = (runs[c].to_numpy() for c in ("at", "start", "size", "least"))
-    order = np.argsort(at, kind="stable")
-    at, start, size, least = at[order], start[order], size[order], least[order]
-    low, high = np.searchsorted(at, number, "left"), np.searchsorted(at, number, "right")
+    own = Found(chunk, rows, found, ranges)
+    packed = found.filter(pc.equal(found["kind"], RUN))["packed"].to_pylist()
+    runs = np.frombuffer(b"".join(packed), "<i8").reshape(-1, 4)
+    runs = runs[np.argsort(runs[:, 0], kind="stable")]
+    low, high = np.searchsorted(runs[:, 0], own.numbers, "left"), np.searchsorted(runs[:, 0], own.numbers, "right")
     n = high - low
-    piece = np.repeat(some, n)
+    piece = np.repeat(own.pieces, n)
     run = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-    later = least[run] < rows["id"].to_numpy()[chunk.docs[piece]]
+    later = runs[run, 3] < rows["id"].to_numpy()[chunk.docs[piece]]
     piece, run = piece[later], run[later]
-    begin = chunk.starts[piece] + start[run]
+    begin = chunk.starts[piece] + runs[run, 1]
     np.add.at(edges, begin, 1)
-    np.subtract.at(edges, begin + size[run] - 1 + LENGTH, 1)
+    np.subtract.at(edges, begin + runs[run, 2] - 1 + LENGTH, 1)
     return np.cumsum(edges[:-1]) > 0
 
 
-def _results(ranges: int) -> Callable[..., pa.Table]:
-    def run(chunk: Chunk, usable: np.ndarray, rows: pa.Table, found: pa.Table) -> pa.Table:
-        gone = _removed(chunk, usable, rows, found, ranges)
-        starts = gone.copy()
-        starts[1:] &= ~gone[:-1]
-        inner = chunk.offsets[:-1][np.diff(chunk.offsets) > 0]
-        starts[inner] = gone[inner]  # runs don't cross documents
-        count = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[chunk.offsets])
-        n_removed = count(gone)
-        kept = []
-        for a, b, n in zip(chunk.offsets[:-1].tolist(), chunk.offsets[1:].tolist(), n_removed.tolist(), strict=True):
-            own = chunk.data[a:b]
-            kept.append((own[~gone[a:b]] if n else own).tobytes())
-        ids = rows["id"].to_pylist()
-        return _table({"doc_id": ([None if i == LAST else i for i in ids], pa.int64()), "n_bytes": (np.diff(chunk.offsets), pa.int64()), "n_removed": (n_removed, pa.int64()), "n_spans": (count(starts), pa.int64()), "kept": (kept, pa.binary())})
-
-    return run
-
-
-def _digests(run: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
-    def digested(*args) -> pa.Table:
-        made = run(*args)
-        hashes = pa.array([hashlib.sha256(x).hexdigest() for x in made["kept"].to_pylist()], pa.string())
-        return made.drop_columns(["kept"]).append_column("kept_sha256", hashes)
-
-    return digested
-
-
 def _over_chunks(docs: DataFrame, run: Callable[..., pa.Table], schema: str) -> DataFrame:
     """run(chunk, rows, the bytes of the chunk that go) on all chunks of (doc_id, text)."""
     spark = docs.sparkSession
@@ -445,10 +488,15 @@ def _over_chunks(docs: DataFrame, run: Callable[..., pa.Table], schema: str) ->
     most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))
     name = _write_chunks(docs, min(most, max(1, -(-size // (2 * CHUNK_BYTES)))))
     chunks = spark.table(name)
-    none = [F.lit(None).cast(t).alias(n) for n, t in (("start", "long"), ("size", "long"), ("least", "long"), ("packed", "binary"))]
-    copies = keep(_copies(chunks).select("chunk", F.lit(COPY).alias("kind"), F.col("place").alias("at"), *none))
-    info = copies.unionByName(keep(_hits(chunks, copies, ranges)))
-    info = info.unionByName(keep(_matched(keep(_pieces(chunks, info, ranges)))))
+    nothing = F.lit(None)
+    copies = keep(_copies(chunks).select("chunk", F.lit(COPY).alias("kind"), F.col("place").alias("at"), nothing.cast("binary").alias("packed")))
+    hits = keep(_hits(chunks, copies, ranges))
+    info = copies.unionByName(hits.drop("hot"))
+    n_hits, hot = hits.agg(F.sum(F.octet_length("packed") / 6), F.sum("hot")).first()
+    buckets = max(1, -(-int(n_hits or 0) * 2 * LENGTH // BUCKET_BYTES))
+    runs = keep(_cold(chunks, info, ranges, buckets))
+    runs = runs.unionByName(keep(_hot(chunks, info, ranges))) if hot else runs
+    info = info.unionByName(runs)
     out = keep(_with_info(chunks, info, lambda chunk, usable, rows, found: run(chunk, rows, _removed(chunk, usable, rows, found, ranges)), schema))
     spark.sql(f"drop table {name}")
     return out

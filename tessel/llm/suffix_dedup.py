@@ -45,7 +45,7 @@ LENGTH, SAMPLE = 50, 20
 #: A difference cover: every distance modulo PERIOD is one of two of its places. Fixed values.
 PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
 #: Bytes of text of a chunk, of a range of hashes and of a bucket of pieces; windows that are hashed or sorted at once, and of a piece.
-CHUNK_BYTES, RANGE_BYTES, BUCKET_BYTES, SEGMENT, BLOCK, MOST_WINDOWS = 4 << 20, 64 << 20, 4 << 20, 1 << 20, 1 << 18, 4096
+CHUNK_BYTES, RANGE_BYTES, BUCKET_BYTES, SEGMENT, BLOCK, MOST_WINDOWS = 4 << 20, 64 << 20, 4 << 20, 1 << 16, 1 << 18, 4096
 #: Pieces of one hash that one task sorts.
 MOST_PIECES = 20_000
 #: Suffixes of one tie that are put in order side by side with those of other ties.
@@ -159,42 +159,48 @@ class Chunk:
 
     def _pieces(self) -> Iterator[tuple[np.ndarray, ...]]:
         """starts, windows, hashes and documents of pieces, segment by segment."""
-        last = np.where(self.usable, self.offsets[1:] - LENGTH, -1)  # the last window of each text
         span = LENGTH - SAMPLE + 1
+        usable = np.flatnonzero(self.usable)
+        low, high = self.offsets[usable], self.offsets[usable + 1] - LENGTH + 1  # the windows of each text
+        # the rest of SAMPLE bytes after the first eight: two lanes that may overlap
+        second, third = 8, SAMPLE - 8
         for a in range(0, len(self.data) - LENGTH + 1, SEGMENT):
             b = min(a + SEGMENT, len(self.data) - LENGTH + 1)
-            every = lanes(self.data[a : b + LENGTH - 1])
+            valid = np.zeros(b - a, bool)
+            for i in range(np.searchsorted(high, a, "right"), np.searchsorted(low, b, "left")):
+                valid[max(low[i] - a, 0) : max(high[i] - a, 0)] = True
+            if not valid.any():
+                continue
             n = b - a + span - 1
-            h = mix(every[:n] * _ODD ^ (every[8 : n + 8] * _M1 + (every[8 : n + 8] >> np.uint64(29))) ^ (every[12 : n + 12] * _M2 + (every[12 : n + 12] >> np.uint64(31))))
+            every = lanes(self.data[a : b + LENGTH - 1])[: n + third].copy()
+            h = every[:n] * _ODD
+            h += every[second : n + second] * _M1
+            h += every[third : n + third] * _M2
+            h ^= h >> np.uint64(32)
+            h *= _ODD
             width = 1
             while width * 2 <= span:
                 h = np.minimum(h[:-width], h[width:])
                 width *= 2
             h = np.minimum(h[: b - a], h[span - width : span - width + b - a])
-            at = np.arange(a, b)
-            doc = np.searchsorted(self.offsets, at, "right") - 1 if len(self.offsets) < 64 else np.repeat(np.arange(len(last)), np.diff(np.clip(self.offsets, a, b)))
-            valid = at <= last[doc]
             new = valid.copy()
-            new[1:] &= ~valid[:-1] | (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+            new[1:] &= ~valid[:-1] | (h[1:] != h[:-1])  # between the windows of two texts there are others
             first = np.flatnonzero(new)
-            if not len(first):
-                continue
             run = np.add.reduceat(valid.astype(np.int64), first)
             # a piece ends where its windows do; long ones are cut
             cuts = -(-run // MOST_WINDOWS)
             k = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
             start, size = np.repeat(first, cuts) + k * MOST_WINDOWS, np.minimum(np.repeat(run, cuts) - k * MOST_WINDOWS, MOST_WINDOWS)
-            yield start + a, size, mix(np.repeat(h[first], cuts)), np.repeat(doc[first], cuts)
+            yield start + a, size, mix(np.repeat(h[first], cuts)), np.searchsorted(self.offsets, start + a, "right") - 1
 
     def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The distinct hashes in order, which of them more than one text has, and their pieces."""
-        order = np.lexsort((self.docs, self.hashes))
+        order = np.argsort(self.hashes)
         h, d = self.hashes[order], self.docs[order]
         if not len(h):
             return h, np.empty(0, bool), np.empty(0, np.int64)
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        last = np.append(first[1:], len(h)) - 1
-        return h[first], d[first] != d[last], last - first + 1
+        return h[first], np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first), np.diff(np.append(first, len(h)))
 
     def contents(self, hits: np.ndarray) -> tuple[list[bytes], list[int], np.ndarray, np.ndarray]:
         """Distinct contents of the pieces with these hashes and their hashes; of each such piece its index and its content's number."""
@@ -361,27 +367,36 @@ class Found:
         np.maximum.at(self.most, self.numbers, ids)
 
 
-def _least(contents: list[bytes], least: np.ndarray, most: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-    """(piece, first window, windows, least document) where a window has a smaller document than the largest of its piece."""
+def _runs(contents: list[bytes], hashes: np.ndarray, least: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Rows (piece, first window, windows, least document), by piece, where a window has a smaller document than the largest of its piece.
+
+    Equal windows have equal hashes, so a piece alone with its hash meets none but its own copies; the others are sorted.
+    """
+    _, of, n = np.unique(hashes, return_inverse=True, return_counts=True)
+    alone = n[of] == 1 if len(of) else np.empty(0, bool)
     sizes = np.array([len(x) for x in contents], np.int64)
-    starts = np.cumsum(sizes) - sizes
-    found = np.full(int(sizes.sum()), LAST)
-    for places, docs in least_of_windows(contents, least):
+    whole = np.flatnonzero(alone & (least < most))
+    rows = [np.stack([whole, np.zeros_like(whole), sizes[whole] - LENGTH + 1, least[whole]], axis=1)]
+    rest = np.flatnonzero(~alone)
+    some = sizes[rest]
+    found = np.full(int(some.sum()), LAST)
+    for places, docs in least_of_windows([contents[i] for i in rest.tolist()], least[rest]):
         found[places] = docs
-    owner = np.repeat(np.arange(len(contents)), sizes)
-    place = np.arange(len(found)) - starts[owner]
-    valid = (place + LENGTH <= sizes[owner]) & (found < most[owner])
+    owner = np.repeat(np.arange(len(rest)), some)
+    place = np.arange(len(found)) - np.repeat(np.cumsum(some) - some, some)
+    valid = (place + LENGTH <= some[owner]) & (found < most[rest][owner])
     new = valid.copy()
     new[1:] &= ~valid[:-1] | (owner[1:] != owner[:-1]) | (found[1:] != found[:-1])
     first = np.flatnonzero(new)
     if len(first):
-        n = np.add.reduceat(valid.astype(np.int64), first)
-        yield from zip(owner[first].tolist(), place[first].tolist(), n.tolist(), found[first].tolist(), strict=True)
+        rows.append(np.stack([rest[owner[first]], place[first], np.add.reduceat(valid.astype(np.int64), first), found[first]], axis=1))
+    out = np.concatenate(rows)
+    return out[np.argsort(out[:, 0], kind="stable")]
 
 
 def _cold(chunks: DataFrame, info: DataFrame, ranges: int, buckets: int) -> DataFrame:
     """Rows of INFO: of each chunk the runs of windows (piece, first, windows, least document) that sorting the buckets' suffixes shows."""
-    fields = ("numbers", "sizes", "least", "most")
+    fields = ("numbers", "sizes", "least", "most", "hashes")
 
     def emit(chunk: Chunk, _usable, rows: pa.Table, found: pa.Table) -> pa.Table:
         own = Found(chunk, rows, found, ranges)
@@ -392,29 +407,30 @@ def _cold(chunks: DataFrame, info: DataFrame, ranges: int, buckets: int) -> Data
         out = []
         for of, a, b in _cuts(bucket):
             texts = [own.contents[i] for i in some[a:b].tolist()]
-            numbers = np.stack([some[a:b], [len(x) for x in texts], own.least[some[a:b]], own.most[some[a:b]]])
+            numbers = np.stack([some[a:b], [len(x) for x in texts], own.least[some[a:b]], own.most[some[a:b]], own.hashes[some[a:b]].view(np.int64)])
             out.append((of, numbers.astype("<i8").tobytes(), b"".join(texts)))
         return _table({"chunk": ([rows["chunk"][0].as_py() for _ in out], pa.int64()), "bucket": ([o[0] for o in out], pa.int64()), "numbers": ([o[1] for o in out], pa.binary()), "contents": ([o[2] for o in out], pa.binary())})
 
     def sort(rows: pa.Table) -> pa.Table:
         seen: dict[bytes, int] = {}
         held = []  # the pieces of each chunk: number, distinct content, largest id
-        low, high = [], []
+        low, high, hashes = [], [], []
         for numbers, contents in zip(rows["numbers"].to_pylist(), rows["contents"].to_pylist(), strict=True):
-            of = dict(zip(fields, np.frombuffer(numbers, "<i8").reshape(4, -1), strict=True))
+            of = dict(zip(fields, np.frombuffer(numbers, "<i8").reshape(5, -1), strict=True))
             ends = np.cumsum(of["sizes"]).tolist()
             ks = []
-            for a, b, x, y in zip([0, *ends], ends, of["least"].tolist(), of["most"].tolist(), strict=False):
+            for a, b, x, y, h in zip([0, *ends], ends, of["least"].tolist(), of["most"].tolist(), of["hashes"].tolist(), strict=False):
                 text = contents[a:b]
                 k = seen.setdefault(text, len(seen))
                 if k == len(low):
                     low.append(x)
                     high.append(y)
+                    hashes.append(h)
                 else:
                     low[k], high[k] = min(low[k], x), max(high[k], y)
                 ks.append(k)
             held.append((of["numbers"], np.array(ks, np.int64), of["most"]))
-        runs = np.array(list(_least(list(seen), np.array(low, np.int64), np.array(high, np.int64))), np.int64).reshape(-1, 4)
+        runs = _runs(list(seen), np.array(hashes, np.int64), np.array(low, np.int64), np.array(high, np.int64))
         chunks_, packed = [], []
         for chunk, (number, k, most) in zip(rows["chunk"].to_pylist(), held, strict=True):
             a, b = np.searchsorted(runs[:, 0], k, "left"), np.searchsorted(runs[:, 0], k, "right")

@@ -83,6 +83,18 @@ def splice(text: Column | str, start: Column, part: Column | str, new: Column |
     return F.when(start.isNull(), text).otherwise(done)
 
 
+def splice_all(text: Column | str, spans: Column | str) -> Column:
+    """text with all spans, structs (start, end, new) by start, replaced, the last one first; a span ends at the latest where the next begins."""
+    text, spans = _c(text), _c(spans)
+    tail = lambda done, at: F.substring(done, at + 1, F.length(done))
+
+    def put(done: Column, span: Column) -> Column:
+        end = F.least(span["end"], done["limit"])
+        return F.struct(F.concat(F.substring(done["text"], F.lit(1), span["start"]), span["new"], tail(done["text"], end)).alias("text"), span["start"].alias("limit"))
+
+    return F.aggregate(F.reverse(spans), F.struct(text.alias("text"), F.length(text).alias("limit")), put, lambda done: done["text"])
+
+
 def commit_message(message: Column | str, action: str, noun: Column | str) -> Column:
     """First line of a message, 72 characters at most; `Action noun` if there is none."""
     first = F.element_at(F.split(strip(message), r"\R"), 1)

@@ -37,7 +37,7 @@ def hash_vector(text: Column, dim: int) -> Column:
 def check_dimension(column: Column, dim: int) -> Column:
     """The column itself; the query fails at a vector of another length."""
     said = F.concat(F.lit(f"expected {dim} values, got "), F.size(column).cast("string"))
-    return F.when(F.size(column) != dim, F.raise_error(said).cast("array<float>")).otherwise(column)
+    return F.when(F.size(column) != dim, F.raise_error(said).cast("array<float>")).otherwise(column.cast("array<float>"))
 
 
 def check_query(vector, dim: int) -> list[float]:

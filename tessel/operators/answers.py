@@ -119,11 +119,15 @@ def answer(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, documents:
     none. background (query_id, background), as a project's summary, comes before each prompt. A query is failed where the
     model fails on it, pending where it has no clause. embed_text maps a text column to a vector column.
     """
-    asked = decompose(queries.select(F.col("id").alias("query_id"), "tenant_id", "query_text"), decomposer)
+    # replies of a model are written before they are read more than once
+    asked = keep(decompose(queries.select(F.col("id").alias("query_id"), "tenant_id", "query_text"), decomposer))
     key = F.concat_ws(":", "query_id", "position")
-    probes = asked.select(key.alias("query_id"), "tenant_id", embed_text(F.col("subquestion")).alias("query"))
-    hits = batch_search(probes, vectors, k)
-    cited = hits.join(chunks.select(F.col("id").alias("chunk_id"), "doc_id"), "chunk_id")
+    probes = keep(asked.select(key.alias("query_id"), "tenant_id", embed_text(F.col("subquestion")).alias("query")))
+    hits = batch_search(probes, vectors, k).join(probes.select("query_id", "tenant_id"), "query_id")
+    # whatever tenant a vector says it is of, its chunk and document are read only in the tenant of the query
+    cited = hits.join(chunks.select(F.col("id").alias("chunk_id"), "doc_id", "tenant_id"), ["chunk_id", "tenant_id"])
+    of = documents.select(F.col("id").alias("doc_id"), F.col("tenant_id").alias("__of"))
+    cited = cited.join(of, "doc_id", "left").where(F.col("__of").isNull() | (F.col("__of") == F.col("tenant_id"))).drop("__of", "tenant_id")
     sources = resolve_citations(cited, chunks, documents)
     split = F.split("query_id", ":")
     sources = sources.select(split[0].cast("long").alias("query_id"), split[1].cast("int").alias("position"), "rank", "chunk_id", "doc_id", "doc_name", "content")

@@ -24,19 +24,22 @@ def insert_missing(state: DataFrame, delta: DataFrame, keys: list[str]) -> DataF
     return state.unionByName(delta.join(state.select(*keys), keys, "left_anti").select(*state.columns))
 
 
-def with_ids(state: DataFrame, rows: DataFrame, order: list[str], id_col: str = "id") -> DataFrame:
-    """Rows with ids that follow the largest of state, in the order of their natural key, so that a retry gives the same.
+def with_ids(state: DataFrame, rows: DataFrame, order: list[str], id_col: str = "id", start: int | None = None) -> DataFrame:
+    """Rows with ids that follow the largest of state, or start, in the order of their natural key, so that a retry gives the same.
 
-    Numbers are given within ranges of the key and shifted by the sizes of the ranges before. The ranges are written
-    with the rows: they are drawn from a sample, so two readings of them could differ.
+    The rows are written before they are dealt to ranges of the key, as a sample of them is drawn first: whatever made them is evaluated
+    once. Ranges are sorted and written with the place of each row in them; ids are these places shifted by the sizes of the ranges before.
     """
-    parts = keep(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
-    sizes = parts.groupBy("__part").agg(F.count("*").alias("__n"))
+    kept = keep(rows)
+    ranged = kept.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__place", F.monotonically_increasing_id())
+    parts = keep(ranged)
+    part = F.shiftright("__place", 33)
+    sizes = parts.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
     before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
-    place = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    top = state.agg(F.coalesce(F.max(id_col), F.lit(0))).first()[0]
-    made = parts.withColumn("__place", place).join(F.broadcast(before), "__part")
-    return made.withColumn(id_col, (F.col("__place") + F.col("__before") + F.lit(top)).cast("long")).drop("__part", "__place", "__before")
+    top = start if start is not None else state.agg(F.coalesce(F.max(id_col), F.lit(0))).first()[0]
+    numbered = parts.withColumn("__part", part).join(F.broadcast(before), "__part")
+    within = F.col("__place").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return numbered.withColumn(id_col, (within + F.col("__before") + F.lit(top)).cast("long")).drop("__part", "__place", "__before")
 
 
 def patch(state: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ the hits are fetched afterwards, so a search reads no text but that of its hits.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessel.functions import vector as v
@@ -25,28 +25,34 @@ def _limit(k: int) -> int:
     return k
 
 
-def _hydrate(hits: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
-    """At most MOST_K hits with their chunk and document; hits without either are dropped."""
+def _hydrate(hits: DataFrame, chunks: DataFrame, documents: DataFrame, scope: Scope) -> DataFrame:
+    """At most MOST_K hits with their chunk and document; hits without either are dropped, and so are those whose chunk or document the scope can't see."""
+    chunks, documents = scoped(chunks, scope, rls=True), scoped(documents, scope, rls=True)
     of_hit = chunks.select(F.col("id").alias("chunk_id"), "context", "content", "doc_id").join(F.broadcast(hits), "chunk_id")
     return of_hit.join(documents.select(F.col("id").alias("doc_id"), "doc_name"), "doc_id")
 
 
+def _of_width(query: list[float]) -> Column:
+    """The stored vectors; a search with a query of another width than theirs fails."""
+    return v.check_dimension(F.col("embedding"), len(query))
+
+
 def search_cosine(chunks: DataFrame, vectors: DataFrame, documents: DataFrame, query: list[float], scope: Scope, k: int = DEFAULT_K) -> DataFrame:
     """The k chunks in scope nearest by cosine; the scope is that of the chunk. Ties: the lesser chunk id."""
     own = scoped(chunks, scope).select(F.col("id").alias("chunk_id"), "doc_id")
     own = own.join(documents.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    scored = vectors.where(F.col("embedding").isNotNull()).select("chunk_id", v.cosine(F.col("embedding"), v.literal(query)).alias("similarity"))
+    scored = vectors.where(F.col("embedding").isNotNull()).select("chunk_id", v.cosine(_of_width(query), v.literal(query)).alias("similarity"))
     hits = own.join(scored, "chunk_id").select("chunk_id", "similarity").orderBy(F.desc_nulls_last("similarity"), "chunk_id").limit(_limit(k))
-    return _hydrate(hits, chunks, documents).select(*RESULT).orderBy(F.desc_nulls_last("similarity"), "chunk_id")
+    return _hydrate(hits, chunks, documents, scope).select(*RESULT).orderBy(F.desc_nulls_last("similarity"), "chunk_id")
 
 
 def search_inner_product(chunks: DataFrame, vectors: DataFrame, documents: DataFrame, query: list[float], scope: Scope, k: int = 10) -> DataFrame:
     """The k vectors in scope of the largest inner product, then their rows: fewer than k if some have none. The scope is that of the vector."""
     if not scope.project_ids:
         vectors = vectors.where(F.lit(False))
-    scored = scoped(vectors, scope).select("chunk_id", v.dot(F.col("embedding"), v.literal(query)).alias("similarity"))
+    scored = scoped(vectors, scope).select("chunk_id", v.dot(_of_width(query), v.literal(query)).alias("similarity"))
     hits = scored.orderBy(F.desc_nulls_last("similarity"), "chunk_id").limit(_limit(k))
-    return _hydrate(hits, chunks, documents).select(*RESULT).orderBy(F.desc_nulls_last("similarity"), "chunk_id")
+    return _hydrate(hits, chunks, documents, scope).select(*RESULT).orderBy(F.desc_nulls_last("similarity"), "chunk_id")
 
 
 def search(metric: str, *args, **kwargs) -> DataFrame:

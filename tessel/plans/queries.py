@@ -11,6 +11,7 @@ from tessel.functions import text as t
 from tessel.functions.vector import hash_vector, norm
 from tessel.operators import answers, chunking, index, knowledge, models, mutate, resolve, search, summaries
 from tessel.operators import scope as sc
+from tessel.operators.ledger import Ledger
 from tessel.plans import ingest
 from tessel.sources.shared import keep
 from tessel.sources.tables import Tables, sql
@@ -409,6 +410,71 @@ def uniqueness_violations(x: Tables) -> DataFrame:
     return mutate.violations(x.entities(), ["name", "entity_type"])
 
 
+# ---- model calls and edits ------------------------------------------------------------------------
+
+_FIRST = r"regexp_extract(regexp_replace({}, '^\s+|\s+$', '', 'g'), '^(.*?)(?:[.!?]\s|$)', 0, 's')"
+
+
+@query("with t as (select distinct role, text from conversations where text is not null) select role as round, (select count(*) from conversations c where c.role = t.role and c.text is not null) as n_asked, count(*) filter (where not exists (select 1 from conversations e where e.text = t.text and e.role < t.role)) as n_sent, cast(0 as bigint) as n_failed from t group by role")
+def model_calls(x: Tables) -> DataFrame:
+    """A ledger over the turns of each role in turn: what is asked, and what is sent as it has no reply yet."""
+    log, counts = Ledger(x.spark), None
+    turns = x["conversations"]
+    for role in ("assistant", "system", "user"):  # a role that the table doesn't have sends nothing and has no row
+        asked = turns.where((F.col("role") == role) & F.col("text").isNotNull())
+        if asked.isEmpty():
+            continue
+        log.call("first_sentence", models.first_sentence, asked, F.col("text"))
+        one = asked.agg(F.lit(role).alias("round"), F.count("*").alias("n_asked"))
+        counts = one if counts is None else counts.unionByName(one)
+    place = F.row_number().over(Window.orderBy("batch"))
+    rounds = counts.withColumn("place", F.row_number().over(Window.orderBy("round")))
+    return rounds.join(log.calls("first_sentence").withColumn("place", place), "place").select("round", "n_asked", "n_sent", "n_failed")
+
+
+@query(rf"select conv_id, turn, regexp_replace({_FIRST.format('text')}, '\s+$', '') as reply from conversations")
+def model_replies(x: Tables) -> DataFrame:
+    """The reply to each turn: each distinct text is sent once."""
+    return Ledger(x.spark).call("first_sentence", models.first_sentence, x["conversations"], F.col("text")).select("conv_id", "turn", "reply")
+
+
+def _edits(x: Tables) -> DataFrame:
+    """Two of three chunks are edited, neighbours that overlap among them."""
+    return x.chunks().where("id % 3 <> 0").select("id", F.concat(F.lit("Edited "), F.col("id").cast("string"), F.lit(". "), F.left("content", F.lit(40))).alias("new_content"))
+
+
+_SPLICED = """
+e as (select id, doc_id, chunk_order, content, 'Edited ' || id || '. ' || left(content, 40) as new from v_chunks where id % 3 <> 0),
+j as (select e.*, d.content as w, greatest(0, e.chunk_order * 492 - 512) as f from e join v_documents d on d.id = e.doc_id),
+l as (select *, case when content = '' then null when position(content in substring(w, f + 1)) > 0 then position(content in substring(w, f + 1)) - 1 + f when position(content in w) > 0 then position(content in w) - 1 end as s from j),
+p as (select doc_id, w, s, new, least(s + length(content), coalesce(lead(s) over (partition by doc_id order by s, s + length(content), new), length(w))) as t, row_number() over (partition by doc_id order by s, s + length(content), new) as n from l where s is not null),
+q as (select *, coalesce(lag(t) over (partition by doc_id order by n), 0) as b from p),
+d as (select doc_id, string_agg(substring(w, cast(b as int) + 1, cast(s - b as int)) || new, '' order by n) || substring(any_value(w), cast(max(t) as int) + 1) as content from q group by doc_id)
+"""
+
+
+@query(f"with {_SPLICED} select doc_id, length(content) as doc_size, sha256(content) as content_sha256 from d")
+def edited_documents(x: Tables) -> DataFrame:
+    """The texts of documents after edits of many of their chunks at once."""
+    texts = ingest.spliced(_edits(x), x.chunks(), x.documents())
+    return texts.select("doc_id", F.length("content").cast("long").alias("doc_size"), F.sha2("content", 256).alias("content_sha256"))
+
+
+@query(rf"""
+with {_SPLICED}, c as (select v.id as chunk_id, v.doc_id, v.chunk_order, case when v.new = d.content then '' else 'Edited ' || v.id || '.' end as context, v.new as content from e v left join d on d.doc_id = v.doc_id),
+t as (select chunk_id, regexp_replace(context || ' ' || content, '^\s+|\s+$', '', 'g') as x from c),
+b as (select chunk_id, n, cast(('0x' || sha256(x || ':' || cast(n as varchar))[1:8]) as bigint) / 4294967295.0 * 2 - 1 as y from t, range({DIM}) r(n)),
+v as (select chunk_id, round((max(y) filter (where n = 0)) / sqrt(sum(y * y)), 5) as first_value from b group by chunk_id)
+select c.*, v.first_value from c join v on v.chunk_id = c.chunk_id
+""")
+def edited_chunks(x: Tables) -> DataFrame:
+    """The edited chunks in the state after the edits, with contexts and vectors made anew."""
+    state = _empty(x) | {k: keep(v) for k, v in _state(x).items() if k in ("documents", "chunks", "vectors")}
+    out = ingest.edit_chunks(_edits(x), state, SCOPE)
+    chunk = out["chunks"].where("id % 3 <> 0").select(F.col("id").alias("chunk_id"), "doc_id", "chunk_order", "context", "content")
+    return chunk.join(out["vectors"].select("chunk_id", F.round(F.col("embedding")[0].cast("double"), 5).alias("first_value")), "chunk_id")
+
+
 # ---- answers ------------------------------------------------------------------------------------
 
 

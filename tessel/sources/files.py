@@ -45,17 +45,29 @@ def changed(current: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFrame
     return current.join(new.join(old, ["path", "hash"], "left_anti").select("path"), "path", "left_semi"), old.join(new, "path", "left_anti").select("path")
 
 
+def tree(store: Store, version: int | None = None) -> DataFrame:
+    """path, content of the files of a version: of each path what was written last, if that isn't its removal."""
+    log = store.read("files", version)
+    last = log.groupBy("path").agg(F.max_by(F.struct("content", "gone"), "version").alias("last"))
+    return last.where("not last.gone").select("path", "last.content")
+
+
 def commit(store: Store, documents: DataFrame, message: str, at: int | None = None) -> int | None:
-    """The files of documents as a new version, with a line in the log (version, message, n_changed, n_gone); None where no file has changed."""
+    """The files of documents as a new version, with a line in the log (version, message, n_changed, n_gone); None where no file has changed.
+
+    Only files with another content and marks of those that are gone are written, and one line: both tables grow by what has changed.
+    """
     version, tables = store.manifest()
-    tree = keep(with_paths(documents).select("path", "content"))
-    before = store.read("files") if "files" in tables else tree.limit(0)
-    n_changed, n_gone = (x.count() for x in changed(tree, before))
-    if not n_changed and not n_gone:
+    now = keep(with_paths(documents).select("path", "content"))
+    before = tree(store) if "files" in tables else now.limit(0)
+    new, gone = changed(now, before)
+    mark = F.lit(version + 1).cast("long").alias("version")
+    rows = keep(new.select("path", "content", F.lit(False).alias("gone"), mark).unionByName(gone.select("path", F.lit(None).cast("string").alias("content"), F.lit(True).alias("gone"), mark)))
+    counts = {r["gone"]: r["count"] for r in rows.groupBy("gone").count().collect()}
+    if not counts:
         return None
-    line = store.spark.createDataFrame([(version + 1, message, n_changed, n_gone)], "version long, message string, n_changed long, n_gone long")
-    log = store.read("commits").unionByName(line) if "commits" in tables else line
-    return store.publish({"files": tree, "commits": log}, at=version if at is None else at)
+    line = store.spark.createDataFrame([(version + 1, message, counts.get(False, 0), counts.get(True, 0))], "version long, message string, n_changed long, n_gone long")
+    return store.publish({"files": rows, "commits": line}, at=version if at is None else at, add=True)
 
 
 def write_documents(documents: DataFrame, folder: str) -> None:

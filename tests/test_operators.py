@@ -112,13 +112,19 @@ def test_vector_rules(spark):
 
 
 def test_search_sees_only_the_scope_and_keeps_order(spark):
-    docs = spark.createDataFrame([(1, "a"), (2, "b")], "id long, doc_name string")
+    docs = spark.createDataFrame([(1, "a", 1, 1), (2, "b", 1, 2)], "id long, doc_name string, tenant_id int, project_id int")
     chunks = spark.createDataFrame([(1, 1, "", "x", 1, 1), (2, 2, "", "y", 1, 2), (3, 2, "", "z", 2, 3)], "id long, doc_id long, context string, content string, tenant_id int, project_id int")
     vectors = spark.createDataFrame([(1, [1.0, 0.0], 1, 1), (2, [0.6, 0.8], 1, 2), (3, [1.0, 0.0], 2, 3), (9, [2.0, 0.0], 1, 1)], "chunk_id long, embedding array<float>, tenant_id int, project_id int")
     ids = lambda df: [r["chunk_id"] for r in df.collect()]
     assert ids(search.search_cosine(chunks, vectors, docs, [1.0, 0.1], sc.Scope(1, (1, 2)))) == [1, 2]
     assert ids(search.search_inner_product(chunks, vectors, docs, [1.0, 0.1], sc.Scope(1, (1, 2)), 2)) == [1]  # the best hit has no row
     assert ids(search.search_inner_product(chunks, vectors, docs, [1.0, 0.1], sc.Scope(1))) == []
+    foreign = vectors.unionByName(spark.createDataFrame([(3, [9.0, 0.0], 1, 1)], vectors.schema))  # of tenant 1, on a chunk of tenant 2
+    assert ids(search.search_inner_product(chunks, foreign, docs, [1.0, 0.1], sc.Scope(1, (1, 2)), 3)) == [1]
+    with pytest.raises(Exception, match="expected 3 values, got 2"):
+        search.search_inner_product(chunks, vectors, docs, [1.0, 0.1, 0.0], sc.Scope(1, (1, 2))).collect()
+    with pytest.raises(Exception, match="expected 1 values, got 2"):
+        search.search_cosine(chunks, vectors, docs, [1.0], sc.Scope(1, (1, 2))).collect()
     with pytest.raises(ValueError):
         search.search("other")
     with pytest.raises(ValueError):
@@ -272,7 +278,7 @@ def test_documents_come_edited_and_go(spark):
     short = s["chunks"].where(F.col("doc_id") == by_name["b.txt"]).first()
     assert short["context"] == "" and short["chunk_order"] == 0 and s["summaries"].count() == 3
     assert {r["name"] for r in s["entities"].collect()} >= {"Vector", "Beans", "Kenya", "Hills"}
-    edited = ingest.edit_chunks(spark.createDataFrame([(short["id"], "A new text.")], "id long, new_content string"), s)
+    edited = ingest.edit_chunks(spark.createDataFrame([(short["id"], "A new text.")], "id long, new_content string"), s, scope)
     row = edited["documents"].where(F.col("id") == by_name["b.txt"]).first()
     assert row["content"] == "A new text." and row["doc_size"] == 11
     vec = lambda x: x["vectors"].where(F.col("chunk_id") == short["id"]).first()["embedding"]
@@ -368,9 +374,9 @@ def test_clauses_know_what_was_said_and_may_fail(spark):
     rows = {(r["query_id"], r["position"]): (r["statement"], r["failed"]) for r in answers.form_clauses(asked, sources, model, seen).collect()}
     assert rows == {(1, 0): ("One. (d)", False), (1, 1): ("Three. (e)", False), (1, 2): (None, False), (2, 0): (None, True), (3, 0): ("Four. (f)", False)}
     queries = spark.createDataFrame([(1, 1, "good one."), (2, 1, "bad one."), (3, 9, "elsewhere.")], "id long, tenant_id int, query_text string")
-    chunks = spark.createDataFrame([(7, 4, "Some text. More.")], "id long, doc_id long, content string")
+    chunks = spark.createDataFrame([(7, 4, "Some text. More.", 1)], "id long, doc_id long, content string, tenant_id int")
     vectors = spark.createDataFrame([(7, [1.0, 0.0], 1)], "chunk_id long, embedding array<float>, tenant_id int")
-    docs = spark.createDataFrame([(4, "doc")], "id long, doc_name string")
+    docs = spark.createDataFrame([(4, "doc", 1)], "id long, doc_name string, tenant_id int")
     out = answers.answer(queries, chunks, vectors, docs, lambda t_: v.hash_vector(t_, 2), models.split_questions, clause_model=model)
     assert sorted(tuple(r) for r in out["responses"].collect()) == [(1, "Some text. (doc)", "success"), (2, None, "failed"), (3, None, "pending")]
     assert [r["query_id"] for r in out["sources"].collect()] == [1]
@@ -422,7 +428,8 @@ def test_a_newer_version_stops_a_writer(spark, tmp_path):
 def test_project_summaries_are_refreshed(spark):
     docs = spark.createDataFrame([(2, 1, 1, "Two. More."), (1, 1, 1, "One."), (3, 1, 2, " ")], "id long, tenant_id int, project_id int, content string")
     old = spark.createDataFrame([(1, 1, "Old", [9], None), (5, 5, "Kept", [7], None)], "tenant_id int, project_id int, summary_text string, source_document_ids array<long>, refreshed_at timestamp")
-    made = summaries.summarize_projects(docs, summaries.summarize_documents(docs, models.first_sentence), old, lambda s: s.str.upper())
+    written = keep(summaries.summarize_documents(docs, models.first_sentence))
+    made = summaries.summarize_projects(docs, written, old, lambda s: s.str.partition("Summary:\n")[2].str.upper())
     rows = {(r["tenant_id"], r["project_id"]): r for r in made.collect()}
-    assert set(rows) == {(1, 1), (5, 5)} and rows[1, 1]["summary_text"] == "OLD\n\nONE.\n\nTWO." and rows[1, 1]["source_document_ids"] == [1, 2]
+    assert set(rows) == {(1, 1), (5, 5)} and rows[1, 1]["summary_text"] == "OLD\n\nDOCUMENT SUMMARIES:\nONE.\n\nTWO." and rows[1, 1]["source_document_ids"] == [1, 2]
     assert rows[1, 1]["refreshed_at"] is not None and rows[5, 5]["summary_text"] == "Kept" and rows[5, 5]["refreshed_at"] is None

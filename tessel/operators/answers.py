@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,7 +12,8 @@ from tessel.functions.text import NAME_MISSING, blank_to_null, compose, strip
 from tessel.functions.udfs import parse_subquestions_udf
 from tessel.sources.shared import keep
 
-from .models import Model, apply_model
+from .ledger import Ledger
+from .models import Model
 from .search import batch_search
 
 PRIOR = 5
@@ -23,10 +26,12 @@ def pair_responses(queries: DataFrame, responses: DataFrame) -> DataFrame:
     return joined.withColumn("status", F.when(F.col("response_text").isNull(), "pending").otherwise("success"))
 
 
-def decompose(queries: DataFrame, model: Model) -> DataFrame:
-    """query_id, position, subquestion, and the other columns of queries."""
-    parsed = parse_subquestions_udf()(apply_model(model, F.col("query_text")), F.col("query_text"))
-    return queries.select("*", F.posexplode(parsed).alias("position", "subquestion"))
+def decompose(queries: DataFrame, model: Model, ledger: Ledger | None = None) -> DataFrame:
+    """query_id, position, subquestion, and the other columns of queries; each distinct query_text is sent once."""
+    ledger = ledger or Ledger(queries.sparkSession)
+    said = ledger.call("decompose", model, queries, F.col("query_text"), out="__said")
+    parsed = parse_subquestions_udf()(F.col("__said"), F.col("query_text"))
+    return said.select(*queries.columns, F.posexplode(parsed).alias("position", "subquestion"))
 
 
 def resolve_citations(citations: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
@@ -60,7 +65,7 @@ def compose_responses(clauses: DataFrame) -> DataFrame:
 
 
 def _say(model: Model):
-    """Statements of all subquestions of each query of a batch, and whether the model failed; the model is called once for each place."""
+    """A model of whole queries, as JSON: the statements of all subquestions of each, or why the model failed; it is called once for each place."""
 
     def call(prompts: pd.Series) -> list:
         try:
@@ -74,30 +79,33 @@ def _say(model: Model):
                     said.append(e)
             return said
 
-    def run(asked: pd.Series, background: pd.Series) -> pd.DataFrame:
+    def run(states: pd.Series) -> list:
+        read = [json.loads(s) for s in states]
+        asked, background = [r["asked"] for r in read], [r.get("background") for r in read]
         said: list[list[str | None]] = [[None] * len(a) for a in asked]
-        failed = [False] * len(said)
+        failed: list[Exception | None] = [None] * len(said)
         for place in range(max(map(len, asked), default=0)):
-            rows = [i for i, a in enumerate(asked) if place < len(a) and a[place]["context"] and not failed[i]]
+            rows = [i for i, a in enumerate(asked) if place < len(a) and a[place].get("context") and failed[i] is None]
             prompts = []
             for i in rows:
                 before = [s for s in said[i] if s][:PRIOR]
                 prior = "\n".join(f"- {s}" for s in before) or "none"
-                about = f"{background.iloc[i]}\n\n" if background.iloc[i] else ""
-                prompts.append(f"{about}Said already:\n{prior}\n\nSources:\n{asked.iloc[i][place]['context']}\n\nQuestion:\n{asked.iloc[i][place]['subquestion']}")
+                about = f"{background[i]}\n\n" if background[i] else ""
+                prompts.append(f"{about}Said already:\n{prior}\n\nSources:\n{asked[i][place]['context']}\n\nQuestion:\n{asked[i][place]['subquestion']}")
             for i, reply in zip(rows, call(pd.Series(prompts, dtype=object)) if rows else (), strict=True):
-                failed[i] = failed[i] or isinstance(reply, Exception)
+                failed[i] = reply if isinstance(reply, Exception) else None
                 said[i][place] = None if failed[i] else reply
-        return pd.DataFrame({"statements": said, "failed": failed})
+        return [e or s for s, e in zip(said, failed, strict=True)]
 
-    return F.pandas_udf(run, "statements array<string>, failed boolean")
+    return run
 
 
-def form_clauses(asked: DataFrame, sources: DataFrame, model: Model, background: DataFrame | None = None) -> DataFrame:
+def form_clauses(asked: DataFrame, sources: DataFrame, model: Model, background: DataFrame | None = None, ledger: Ledger | None = None) -> DataFrame:
     """query_id, position, statement, failed of subquestions (query_id, position, subquestion) with sources (query_id, position, rank, doc_name, content).
 
     A query's subquestions are put to the model in their order, each with its sources, the first PRIOR statements made before
     and the query's background (query_id, background). Subquestions without sources make no clause; a query whose model fails is failed.
+    Queries with the same subquestions, sources and background are put once, and again only if they failed.
     """
     line = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), "doc_name", F.lit(": "), "content")
     texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("x")))), lambda r: r["x"]), "\n")
@@ -106,12 +114,15 @@ def form_clauses(asked: DataFrame, sources: DataFrame, model: Model, background:
     each = F.array_sort(F.collect_list(F.struct("position", "subquestion", "context")))
     by_query = rows.groupBy("query_id").agg(each.alias("asked"))
     by_query = by_query.join(background, "query_id", "left") if background is not None else by_query.withColumn("background", F.lit(None).cast("string"))
-    made = by_query.withColumn("said", _say(model)("asked", "background"))
-    pairs = F.arrays_zip(F.transform("asked", lambda x: x["position"]).alias("position"), F.col("said.statements").alias("statement"))
-    return made.select("query_id", F.col("said.failed").alias("failed"), F.explode(pairs).alias("x")).select("query_id", "x.position", "x.statement", "failed")
+    rows = keep(by_query.select("query_id", F.to_json(F.struct("asked", "background")).alias("state"), F.transform("asked", lambda x: x["position"]).alias("at")))
+    ledger = ledger or Ledger(asked.sparkSession)
+    made = ledger.call("clauses", _say(model), rows, F.col("state"), "array<string>", "said", strict=False)
+    lost = F.col("said_error").isNotNull()
+    places = F.transform("at", lambda p, i: F.struct(p.alias("position"), F.when(lost, F.lit(None)).otherwise(F.get("said", i)).alias("statement")))
+    return made.select("query_id", lost.alias("failed"), F.explode(places).alias("x")).select("query_id", "x.position", "x.statement", "failed")
 
 
-def answer(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, documents: DataFrame, embed_text, decomposer: Model, k: int = 3, clause_model: Model | None = None, background: DataFrame | None = None) -> dict[str, DataFrame]:
+def answer(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, documents: DataFrame, embed_text, decomposer: Model, k: int = 3, clause_model: Model | None = None, background: DataFrame | None = None, ledger: Ledger | None = None) -> dict[str, DataFrame]:
     """Tables sources (query_id, position, rank, chunk_id, doc_id, doc_name, content), clauses and responses (query_id, response_text, status).
 
     queries: id, tenant_id, query_text. All subquestions of all queries are searched at once. A clause is what
@@ -120,7 +131,8 @@ def answer(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, documents:
     model fails on it, pending where it has no clause. embed_text maps a text column to a vector column.
     """
     # replies of a model are written before they are read more than once
-    asked = keep(decompose(queries.select(F.col("id").alias("query_id"), "tenant_id", "query_text"), decomposer))
+    ledger = ledger or Ledger(queries.sparkSession)
+    asked = keep(decompose(queries.select(F.col("id").alias("query_id"), "tenant_id", "query_text"), decomposer, ledger))
     key = F.concat_ws(":", "query_id", "position")
     probes = keep(asked.select(key.alias("query_id"), "tenant_id", embed_text(F.col("subquestion")).alias("query")))
     hits = batch_search(probes, vectors, k).join(probes.select("query_id", "tenant_id"), "query_id")
@@ -135,7 +147,7 @@ def answer(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, documents:
         names = F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_name"))), lambda x: x["doc_name"])), ", ")
         clauses = sources.groupBy("query_id", "position").agg(F.concat(F.lit("See "), names, F.lit(".")).alias("statement"))
         return {"sources": sources, "clauses": prior_statements(clauses), "responses": pair_responses(queries, compose_responses(clauses))}
-    made = keep(form_clauses(asked, sources, clause_model, background))
+    made = keep(form_clauses(asked, sources, clause_model, background, ledger))
     lost = made.where("failed").select("query_id").distinct()
     clauses = made.where("not failed and statement is not null").select("query_id", "position", "statement")
     paired = pair_responses(queries, compose_responses(clauses)).join(lost.withColumn("__lost", F.lit(True)), "query_id", "left")

@@ -31,7 +31,7 @@ class ModelFailure(RuntimeError):
 
 
 def _replies(model: Model, prompts: list[str], attempts: int) -> list[tuple[object, str | None]]:
-    """(reply, error) of each prompt: all at once, or one by one where that fails."""
+    """(reply, error) of each prompt: all at once, or one by one where that fails. A model may give an exception in place of a reply."""
 
     def ask(some: list[str]) -> list:
         said = model(pd.Series(some, dtype=object))
@@ -41,13 +41,13 @@ def _replies(model: Model, prompts: list[str], attempts: int) -> list[tuple[obje
         return said
 
     try:
-        return [(r, None) for r in ask(prompts)]
+        return [(None, str(r)) if isinstance(r, Exception) else (r, None) for r in ask(prompts)]
     except Exception as e:  # whatever the model says
         if len(prompts) == 1:
             error = e
             for _ in range(attempts - 1):
                 try:
-                    return [(ask(prompts)[0], None)]
+                    return [(None, str(r)) if isinstance(r, Exception) else (r, None) for r in ask(prompts)]
                 except Exception as again:
                     error = again
             return [(None, f"{type(error).__name__}: {error}")]

@@ -11,12 +11,11 @@ from pyspark.sql import functions as F
 
 from tessel.functions import vector as v
 
+from .blocks import nearest
 from .scope import Scope, scoped
 
 RESULT = ("chunk_id", "context", "content", "doc_id", "doc_name", "similarity")
 DEFAULT_K, MOST_K = 5, 50
-#: Queries of a batch that are broadcast together; more are taken in blocks.
-QUERY_BLOCK = 5000
 
 
 def _limit(k: int) -> int:
@@ -70,24 +69,18 @@ def search_text(embed, metric: str, chunks: DataFrame, vectors: DataFrame, docum
     return search(metric, chunks, vectors, documents, embed(text), scope, k)
 
 
+def ranked(scored: DataFrame, k: int) -> DataFrame:
+    """query_id, chunk_id, similarity, rank of the k best of each query; ties: the lesser chunk id."""
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc_nulls_last("similarity"), "chunk_id"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def batch_search(queries: DataFrame, vectors: DataFrame, k: int = DEFAULT_K, on: tuple[str, ...] = ("tenant_id",)) -> DataFrame:
     """query_id, chunk_id, similarity, rank: for each of the queries (query_id, tenant_id, query) the k nearest vectors of its tenant.
 
-    on: columns of both that must be equal; a query may be there for several values of a column.
-
-    The query set is stated, so it is small beside the vectors: it is broadcast in blocks of
-    QUERY_BLOCK against all vectors, and each partition keeps its best k of a query before a shuffle.
+    on: columns of both that must be equal. All vectors are read once, in blocks that are multiplied with blocks of queries.
     """
-    n = max(1, -(-queries.count() // QUERY_BLOCK))
-    queries = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n)))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc_nulls_last("similarity"), "chunk_id"))
-    out = None
-    for b in range(n):
-        pairs = vectors.join(F.broadcast(queries.where(F.col("block") == b).drop("block")), list(on))
-        scored = pairs.select("query_id", "chunk_id", v.cosine(F.col("embedding"), F.col("query")).alias("similarity"))
-        best = scored.withColumn("rank", rank).where(F.col("rank") <= k)
-        out = best if out is None else out.unionByName(best)
-    return out
+    return nearest(queries, vectors, k, on)
 
 
 def chunks_with_embeddings(chunks: DataFrame, vectors: DataFrame, scope: Scope) -> DataFrame:

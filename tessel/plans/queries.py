@@ -134,11 +134,25 @@ def batch_search_topk(x: Tables) -> DataFrame:
     return _rounded(search.batch_search(queries, x.vectors(), 5))
 
 
+def _asked(x: Tables) -> DataFrame:
+    return x.vectors().where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "tenant_id", F.col("embedding").alias("query"))
+
+
 @query()
 def batch_search_index(x: Tables) -> DataFrame:
     """batch_search_topk by the approximate index, over all vectors."""
-    queries = x.vectors().where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "tenant_id", F.col("embedding").alias("query"))
-    return _rounded(index.search_index(index.build(x.vectors()), queries, 5))
+    return _rounded(index.search_index(index.build(x.vectors()), _asked(x), 5))
+
+
+@query("select tenant_id, count(*) as n_queries, true as found_most, true as read_few from v_vectors where chunk_id % 20 = 0 group by tenant_id")
+def index_recall(x: Tables) -> DataFrame:
+    """For each tenant whether the index finds nine of ten of the exact hits of its queries, comparing 15 % of its vectors at most."""
+    queries, rerank = keep(_asked(x)), 3
+    exact = search.batch_search(queries, x.vectors(), 5).select("query_id", "chunk_id")
+    found = index.search_index(index.build(x.vectors()), queries, 5, rerank=rerank).select("query_id", "chunk_id", F.lit(1).alias("hit"))
+    sizes = x.vectors().groupBy("tenant_id").agg(F.count("*").alias("n_vectors"))
+    per = exact.join(found, ["query_id", "chunk_id"], "left").join(queries.select("query_id", "tenant_id"), "query_id").join(sizes, "tenant_id")
+    return per.groupBy("tenant_id").agg(F.count_distinct("query_id").alias("n_queries"), (F.count("hit") >= 0.9 * F.count("*")).alias("found_most"), (F.lit(5 * rerank) <= 0.15 * F.max("n_vectors")).alias("read_few"))
 
 
 @query("select c.id as chunk_id, c.doc_id, c.chunk_order, cast(len(v.embedding) as int) as dim, round(sqrt(list_dot_product(cast(v.embedding as double[]), cast(v.embedding as double[]))), 6) as length from v_chunks c join v_vectors v on v.chunk_id = c.id where c.tenant_id = 1 and c.project_id in (1, 6, 11, 16, 21)")

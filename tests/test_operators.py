@@ -1,3 +1,5 @@
+import random
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pytest
@@ -223,6 +225,46 @@ def test_resolution_equals_plain_python(spark):
         asked = spark.createDataFrame([("m", 1, mention), ("other", 2, mention)], "mention_id string, tenant_id int, mention string")
         got = [(r["id"], r["confidence"]) for r in resolve.resolve(df, asked).orderBy("rank").collect()]
         assert got == (plain_resolve(mention, entities) if mention.strip() else [])
+    with pytest.raises(ValueError):
+        resolve.resolve(df, asked, min_confidence=0)
+
+
+def test_common_pairs_bound_the_ratio():
+    """Texts that match well have at least the stated number of common pairs of letters, wherever they differ."""
+    pick, least, close = random.Random(8), resolve.MIN_CONFIDENCE / resolve.SPELLING, 0
+    for _ in range(20_000):
+        a = "".join(pick.choices("abc", k=pick.randint(1, 14)))
+        b = list(a)
+        for _ in range(pick.randint(0, 4)):
+            at = pick.randint(0, len(b))
+            b[at : at + pick.randint(0, 1)] = pick.choices("abcd", k=pick.randint(0, 1))
+        b = "".join(b)
+        if b and SequenceMatcher(None, a, b).ratio() >= least:
+            grams = lambda s: Counter(s[i : i + 2] for i in range(len(s) - 1))
+            common = sum((grams(a) & grams(b)).values())
+            assert common >= max(resolve.shared_grams(len(a), least), resolve.shared_grams(len(b), least))
+            close += 1
+    assert close > 5000 and resolve.shared_grams(2, least) == 0 < resolve.shared_grams(6, least)
+
+
+def test_resolution_of_a_whole_table(spark, sf):
+    """Mentions with slips against all entities of sf0.01, and no join of all with all."""
+    x = Tables(spark, sf)
+    pick = random.Random(9)
+    entities = [tuple(r) for r in x.entities().select("id", "tenant_id", "name", "entity_type").collect()]
+    words = sorted({w for e in entities for w in e[2].split()})
+    slip = lambda w: w[: (i := pick.randint(0, len(w)))] + pick.choice(["", "x", "s"]) + w[i + pick.randint(0, 2) :]
+    said = [slip(pick.choice(words)) for _ in range(40)] + [slip(" ".join(pick.choices(words, k=2))) for _ in range(20)] + [slip(pick.choice(entities)[2]) for _ in range(20)] + ["ab", "abc", "axb", "zz"]
+    asked = spark.createDataFrame([(i, i % 5, m) for i, m in enumerate(said)], "mention_id int, tenant_id int, mention string")
+    made = resolve.resolve(x.entities(), asked)
+    got = {}
+    for r in made.collect():
+        got.setdefault(r["mention_id"], []).append((r["rank"], r["id"], r["confidence"]))
+    for i, m in enumerate(said):
+        want = plain_resolve(m, [(e[0], e[2], e[3], None) for e in entities if e[1] == i % 5]) if m.strip() else []
+        assert [g[1:] for g in sorted(got.get(i, []))] == want, m
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cartesian" not in plan and "Join Inner\n" not in plan and "Join Cross" not in plan
 
 
 # ---- graph

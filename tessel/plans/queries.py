@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,8 +14,10 @@ from tessel.functions.vector import hash_vector, norm
 from tessel.operators import answers, chunking, index, knowledge, models, mutate, resolve, search, summaries
 from tessel.operators import scope as sc
 from tessel.operators.ledger import Ledger
-from tessel.plans import ingest
-from tessel.sources.shared import keep
+from tessel.plans import ingest, questions
+from tessel.sources.policies import ScopedTables
+from tessel.sources.shared import keep, shared_folder
+from tessel.sources.snapshots import Store
 from tessel.sources.tables import Tables, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -604,7 +608,7 @@ def answer_with_model(x: Tables) -> DataFrame:
     return made["responses"]
 
 
-@query(rf"""
+_ANSWERS = rf"""
 with s as (select id, conv_id, unnest(string_split(regexp_replace(query_text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) as x, generate_subscripts(string_split(regexp_replace(query_text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), 1) as i from v_queries),
 k as (select id, cast(conv_id % 5 as int) as tenant_id, i, regexp_replace(x, '^\s+|\s+$', '', 'g') as x from s),
 a as (select id, tenant_id, x, row_number() over (partition by id order by i) - 1 as position from k where x <> ''),
@@ -617,9 +621,54 @@ e as (select tenant_id, x, 'See ' || string_agg(doc_name, ', ' order by rank) ||
 f as (select a.id, e.y, row_number() over (partition by a.id order by a.position) - 1 as j from a join e on e.tenant_id = a.tenant_id and e.x = a.x),
 g as (select id, string_agg(case when j = 0 then y else (['Additionally,', 'Furthermore,', 'In addition,', 'Finally,'])[least(j - 1, 3) + 1] || ' ' || y end, ' ' order by j) as response_text from f group by id)
 select v.id as query_id, g.response_text, case when g.id is null then 'pending' else 'success' end as status from v_queries v left join g on g.id = v.id
-""")
+"""
+
+
+@query(_ANSWERS)
 def answer_pipeline(x: Tables) -> DataFrame:
     """Sourced answers to all questions, each in the tenant of its conversation."""
     queries = x.queries().withColumn("tenant_id", (F.col("conv_id") % 5).cast("int"))
     made = answers.answer(queries, x.chunks(), x.vectors(), x.documents(), lambda text: hash_vector(text, DIM), models.split_questions)
     return made["responses"]
+
+
+@query(_ANSWERS)
+def persisted_answers(x: Tables) -> DataFrame:
+    """The same from a store: the batch is logged, answered, and run once more, which writes nothing."""
+    store = Store(x.spark, f"{shared_folder(x.spark)}/answers-{uuid.uuid4().hex}")
+    queries = x.queries().withColumns({"tenant_id": (F.col("conv_id") % 5).cast("int"), "project_id": F.lit(0)})
+    made = None
+    for _ in range(2):
+        made = questions.ask(store, "all", queries, x.chunks(), x.vectors(), x.documents(), lambda text: hash_vector(text, DIM), models.split_questions)
+    return made
+
+
+_POLICY_TABLES = ("documents", "chunks", "vectors", "entities")
+
+
+@query(" union all ".join(f"select '{n}' as name, count(*) as n_rows from v_{n} where {IN_SCOPE}" for n in _POLICY_TABLES) + " union all select 'tags', count(*) from v_documents where tenant_id = 1 and project_id in (1, 6, 11, 16, 21)")
+def policy_reads(x: Tables) -> DataFrame:
+    """Rows of each table that the scope's catalogue shows; tags have no scope and are seen with their documents."""
+    tags = x.documents().select(F.col("id").alias("document_id"), "doc_type")
+    read = lambda n: tags if n == "tags" else getattr(x, n)()
+    seen = ScopedTables(read, SCOPE, {"tags": ("documents", "document_id")})
+    counts = [seen[n].agg(F.lit(n).alias("name"), F.count("*").alias("n_rows")) for n in (*_POLICY_TABLES, "tags")]
+    return reduce(lambda a, b: a.unionByName(b), counts)
+
+
+@query(f"""
+with e as (select id, tenant_id, name, {_NORM.format("name")} as t from v_entities),
+n as (select e.id, e.tenant_id, e.name, unnest(list_distinct(list_filter(list_concat([t, case when t like '%ies' and length(t) > 3 then left(t, length(t) - 3) || 'y' end, case when t like '%ses' and length(t) > 3 then left(t, length(t) - 2) end, case when t like '%s' and length(t) > 2 then left(t, length(t) - 1) end], string_split(t, ' ')), lambda x: x is not null and x <> ''))) as v from e),
+r as (select *, row_number() over (partition by tenant_id, v order by lower(name), id) as place from n),
+w as (select distinct unnest(string_split(p_name, ' ')) as t from part),
+m as (select t as mention, unnest(list_distinct(list_filter([t, case when t like '%ies' and length(t) > 3 then left(t, length(t) - 3) || 'y' end, case when t like '%ses' and length(t) > 3 then left(t, length(t) - 2) end, case when t like '%s' and length(t) > 2 then left(t, length(t) - 1) end], lambda x: x is not null and x <> ''))) as v from w)
+select distinct m.mention, r.tenant_id, r.id, r.name from m join r on r.v = m.v where r.place <= 5
+""")
+def entity_variant_matches(x: Tables) -> DataFrame:
+    """The first entities of each tenant that share a variant with each word of the part names: the certain part of entity_resolve."""
+    named = x.entities().select("tenant_id", "id", "name", "entity_type", F.struct("tenant_id", "name").alias("key"))
+    known = named.select("key", F.col("key.tenant_id").alias("tenant_id"), t.variants(t.normalize("key.name")).alias("nv")).distinct()
+    best = resolve.best_of_variant(known, named, 5)
+    words = x["part"].select(F.explode(F.split("p_name", " ")).alias("mention")).distinct()
+    asked = words.select("mention", F.explode(t.variants(t.normalize("mention"))).alias("variant"))
+    return asked.join(best, "variant").select("mention", "tenant_id", "id", "name").distinct()

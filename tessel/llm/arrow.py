@@ -17,11 +17,12 @@ BATCH_BYTES, SLICE_BYTES = 8 << 20, 4 << 20
 _UNBOUNDED = str(2**31 - 1)
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Limits Arrow batches by bytes, where the session leaves that open: rows may hold long texts."""
+def bound_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
+    """Limits Arrow batches by bytes, where the session leaves that open or has more: rows may hold long texts."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(name, _UNBOUNDED) == _UNBOUNDED:
-        spark.conf.set(name, str(BATCH_BYTES))
+    now = spark.conf.get(name, _UNBOUNDED)
+    if now == _UNBOUNDED or now == str(BATCH_BYTES) and size < BATCH_BYTES:
+        spark.conf.set(name, str(size))
 
 
 def release() -> None:

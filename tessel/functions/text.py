@@ -95,6 +95,14 @@ def splice_all(text: Column | str, spans: Column | str) -> Column:
     return F.aggregate(F.reverse(spans), F.struct(text.alias("text"), F.length(text).alias("limit")), put, lambda done: done["text"])
 
 
+def commit_prompt(action: Column | str, name: Column | str, details: Column | str) -> Column:
+    """What a model is asked for a commit message; a line of details only where there are some."""
+    details = _c(details)
+    line = F.when(F.coalesce(details, F.lit("")) == "", F.lit("")).otherwise(F.concat(F.lit("Details: "), details, F.lit("\n")))
+    noun = F.coalesce(blank_to_null(name), F.lit("document"))
+    return F.concat(F.lit("Action: "), _c(action), F.lit("\nDocument name: "), noun, F.lit("\n"), line, F.lit("Respond with a single commit message."))
+
+
 def commit_message(message: Column | str, action: str, noun: Column | str) -> Column:
     """First line of a message, 72 characters at most; `Action noun` if there is none."""
     first = F.element_at(F.split(strip(message), r"\R"), 1)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessel.functions.text import CHUNK_OVERLAP, CHUNK_SIZE
@@ -102,3 +102,9 @@ def chunk_documents(documents: DataFrame, id_col: str = "id", text_col: str = "c
             yield pd.DataFrame(rows, columns=["doc_id", "chunk_order", "content", "headers"])
 
     return documents.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInPandas(run, f"doc_id {kind}, chunk_order int, content string, headers map<string,string>")
+
+
+def chunk_records(chunks: DataFrame, source: Column | None = None) -> DataFrame:
+    """doc_id, chunk_order, content, source, metadata of chunks: the headers without a source of their own, which is the file's name, or empty."""
+    metadata = F.map_filter("headers", lambda k, _: k != "source")
+    return chunks.select("doc_id", "chunk_order", "content", F.coalesce(source if source is not None else F.lit(""), F.lit("")).alias("source"), metadata.alias("metadata"))

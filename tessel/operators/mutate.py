@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,6 +82,15 @@ def delete_documents(tables: dict[str, DataFrame], doomed: DataFrame) -> dict[st
     return out
 
 
+def deletion_counts(tables: dict[str, DataFrame], doomed: DataFrame) -> DataFrame:
+    """name, n: the rows of each table that go with these documents (id), and those of sources that lose their chunk."""
+    ids = doomed.select(F.col("id").alias("doc_id")).distinct()
+    chunks = tables["chunks"].join(ids, "doc_id", "left_semi").select(F.col("id").alias("chunk_id"))
+    own = {"documents": (ids.withColumnRenamed("doc_id", "id"), "id"), "chunks": (ids, "doc_id"), "vectors": (chunks, "chunk_id"), "summaries": (ids.withColumnRenamed("doc_id", "document_id"), "document_id"), "sources": (chunks, "chunk_id")}
+    counts = [tables[n].join(keys, on, "left_semi").agg(F.lit(n).alias("name"), F.count("*").alias("n")) for n, (keys, on) in own.items() if n in tables]
+    return reduce(lambda a, b: a.unionByName(b), counts)
+
+
 def violations(df: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that are there more than once."""
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")

@@ -17,6 +17,8 @@ from tessel.sources.shared import keep
 LIMIT, MIN_CONFIDENCE = 5, 0.55
 #: Parts of the score; and of the overlap with the description, on top. Fixed values.
 SPELLING, WORDS, DESCRIPTION = 0.7, 0.3, 0.1
+#: Below this ratio long texts need not have a pair of letters in common; then all names of a tenant are compared.
+LEAST_RATIO = 0.72
 
 
 def word_score(a: Column, b: Column) -> Column:
@@ -135,7 +137,10 @@ def candidates(asked: DataFrame, known: DataFrame, min_confidence: float) -> Dat
     by_word = mention_words.join(name_words, ["tenant_id", "word"]).where("not (whole_m and whole_n)").select("mention_id", "key")
     by_description = mention_words.join(n.select("tenant_id", "key", F.explode("dw").alias("word")), ["tenant_id", "word"]).select("mention_id", "key")
     texts = lambda rows, owner, v: rows.select("tenant_id", F.col(owner).alias("owner"), F.explode(v).alias("text"))
-    alike = spelled_alike(texts(asked, "mention_id", "mv"), texts(known, "key", "nv"), min_confidence / SPELLING)
+    if min_confidence / SPELLING >= LEAST_RATIO:
+        alike = spelled_alike(texts(asked, "mention_id", "mv"), texts(known, "key", "nv"), min_confidence / SPELLING)
+    else:  # texts that match so little may have nothing in common that a list could hold
+        alike = m.join(n, "tenant_id").select("mention_id", "key")
     return by_word.unionByName(by_description).unionByName(alike).distinct()
 
 
@@ -147,8 +152,8 @@ def resolve(entities: DataFrame, mentions: DataFrame, limit: int | None = LIMIT,
     compared if words and lengths leave them a chance. What is the same for each name and description is worked out once.
     Blank mentions have no result. The threshold holds before rounding.
     """
-    if not 0 < min_confidence <= 1:
-        raise ValueError("min_confidence must be above 0 and at most 1")
+    if not 0 <= min_confidence <= 1:
+        raise ValueError("min_confidence must be 0 to 1")
     if limit is not None and limit < 0:
         raise ValueError("limit must not be negative")
     limit = limit or LIMIT

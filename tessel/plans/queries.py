@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessel.functions import text as t
 from tessel.functions.vector import hash_vector, norm
-from tessel.operators import answers, chunking, index, knowledge, models, mutate, resolve, search, summaries
+from tessel.operators import answers, chunking, index, knowledge, models, mutate, requests, resolve, search, summaries
 from tessel.operators import scope as sc
 from tessel.operators.ledger import Ledger
 from tessel.plans import ingest, questions
@@ -672,3 +672,28 @@ def entity_variant_matches(x: Tables) -> DataFrame:
     words = x["part"].select(F.explode(F.split("p_name", " ")).alias("mention")).distinct()
     asked = words.select("mention", F.explode(t.variants(t.normalize("mention"))).alias("variant"))
     return asked.join(best, "variant").select("mention", "tenant_id", "id", "name").distinct()
+
+
+@query("select 'documents' as name, count(*) as n from v_documents where doc_type = 'es' union all select 'chunks', count(*) from v_chunks c join v_documents d on d.id = c.doc_id where d.doc_type = 'es' union all select 'vectors', count(*) from v_vectors v join v_chunks c on c.id = v.chunk_id join v_documents d on d.id = c.doc_id where d.doc_type = 'es' union all select 'sources', count(*) from v_chunks c join v_documents d on d.id = c.doc_id where d.doc_type = 'es'")
+def deletion_counts(x: Tables) -> DataFrame:
+    """How many rows of each table go with the Spanish documents."""
+    return mutate.deletion_counts(_state(x), x.documents().where("doc_type = 'es'"))
+
+
+@query("select conv_id, turn, 'Action: ' || role || chr(10) || 'Document name: ' || case when conv_id % 3 = 0 then 'document' else cast(conv_id as varchar) end || chr(10) || case when turn % 2 = 0 then '' else 'Details: ' || text || chr(10) end || 'Respond with a single commit message.' as prompt from conversations")
+def commit_prompts(x: Tables) -> DataFrame:
+    name = F.when(F.col("conv_id") % 3 != 0, F.col("conv_id").cast("string"))
+    details = F.when(F.col("turn") % 2 != 0, F.col("text")).otherwise("")
+    return x["conversations"].select("conv_id", "turn", t.commit_prompt("role", name, details).alias("prompt"))
+
+
+_EDIT = "case when id % 4 = 0 then null when id % 4 = 1 then '  ' else ' ' || content || chr(10) end"
+
+
+@query(rf"select id, case when id % 4 = 0 then 'no content' when regexp_full_match({_EDIT}, '\s*') then 'the content is blank' end as error, case when id % 4 > 1 and not regexp_full_match({_EDIT}, '\s*') then length(regexp_replace({_EDIT}, '^\s+|\s+$', '', 'g')) end as n_chars from v_chunks")
+def edit_requests(x: Tables) -> DataFrame:
+    """Edits of all chunks that may be made, and why the others may not."""
+    new = F.when(F.col("id") % 4 == 0, F.lit(None)).when(F.col("id") % 4 == 1, "  ").otherwise(F.concat(F.lit(" "), "content", F.lit("\n")))
+    good, bad = requests.edit_requests(x.chunks().select("id", new.alias("new_content")))
+    rows = good.select("id", F.lit(None).cast("string").alias("error"), F.length("new_content").cast("long").alias("n_chars"))
+    return rows.unionByName(bad.select("id", "error", F.lit(None).cast("long").alias("n_chars")))

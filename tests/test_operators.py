@@ -226,7 +226,8 @@ def test_resolution_equals_plain_python(spark):
         got = [(r["id"], r["confidence"]) for r in resolve.resolve(df, asked).orderBy("rank").collect()]
         assert got == (plain_resolve(mention, entities) if mention.strip() else [])
     with pytest.raises(ValueError):
-        resolve.resolve(df, asked, min_confidence=0)
+        resolve.resolve(df, asked, min_confidence=-0.1)
+    assert resolve.resolve(df, spark.createDataFrame([("m", 1, "qqq")], asked.schema), limit=99, min_confidence=0).count() == sum(1 for n in names if n.strip("! "))
 
 
 def test_common_pairs_bound_the_ratio():
@@ -475,3 +476,23 @@ def test_project_summaries_are_refreshed(spark):
     rows = {(r["tenant_id"], r["project_id"]): r for r in made.collect()}
     assert set(rows) == {(1, 1), (5, 5)} and rows[1, 1]["summary_text"] == "OLD\n\nDOCUMENT SUMMARIES:\nONE.\n\nTWO." and rows[1, 1]["source_document_ids"] == [1, 2]
     assert rows[1, 1]["refreshed_at"] is not None and rows[5, 5]["summary_text"] == "Kept" and rows[5, 5]["refreshed_at"] is None
+
+
+def test_requests(spark):
+    from tessel.operators import requests
+
+    assert requests.search_request("a", 50) == ("a", 50) and requests.resolve_request("x", 20, 0) == ("x", 20, 0) and requests.document_request(" ") == " "
+    for bad in (lambda: requests.search_request(" ", 5), lambda: requests.search_request("a", 0), lambda: requests.search_request("a", 51), lambda: requests.resolve_request("", 5, 0.5), lambda: requests.resolve_request("x", 21, 0.5), lambda: requests.resolve_request("x", 5, 1.1), lambda: requests.document_request(None)):
+        with pytest.raises(ValueError):
+            bad()
+    good, bad = requests.edit_requests(spark.createDataFrame([(1, " a\n"), (2, None), (3, " \t"), (None, "x")], "id long, new_content string"))
+    assert [tuple(r) for r in good.collect()] == [(1, "a")]
+    assert {(r["id"], r["error"]) for r in bad.collect()} == {(2, "no content"), (3, "the content is blank"), (None, "no id")}
+
+
+def test_records_prompts_and_counts(spark):
+    docs = spark.createDataFrame([(1, "# T\nWords.")], "id long, content string")
+    row = chunking.chunk_records(chunking.chunk_documents(docs)).first()
+    assert (row["source"], row["metadata"], row["content"]) == ("", {"header 1": "T"}, "# T  \nWords.")
+    assert one(spark, t.commit_prompt("a", F.lit(""), F.lit(None).cast("string")), a="Add") == "Action: Add\nDocument name: document\nRespond with a single commit message."
+    assert one(spark, t.commit_prompt("a", "n", "d"), a="Add", n="x.md", d="Type: md") == "Action: Add\nDocument name: x.md\nDetails: Type: md\nRespond with a single commit message."

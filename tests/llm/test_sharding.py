@@ -36,7 +36,7 @@ def test_sf(spark, sf):
 
 @pytest.mark.parametrize("big", [0, 40_000])
 def test_bytes_tokens_and_rows_are_balanced_in_parts(spark, monkeypatch, big):
-    monkeypatch.setattr(s, "PART_ROWS", 900)
+    monkeypatch.setattr(s, "PART_GROUPS", 900)
     docs = [(i, ("word " if i % 2 else "longerword") * (i % 97 + 1)) for i in range(5000)] + [(9000, "big " * big)]
     rows = s.shard(spark.createDataFrame(docs, "doc_id long, text string"), 10).collect()
     assert len(rows) == len(docs)
@@ -52,6 +52,24 @@ def test_hot_text_is_dealt_out(spark):
     check(spark, docs)
 
 
+@pytest.mark.parametrize("run", [100_000, 50])
+def test_one_text_alone_is_cut_evenly(spark, monkeypatch, run):
+    """5,000 equal texts, with ids or without: no shard is over the mean by more than a piece's rounding."""
+    monkeypatch.setattr(s, "RUN_ROWS", run)
+    for docs in ([(i, "one text") for i in range(5000)], [(None, "one text")] * 5000):
+        check(spark, docs, 1.017)
+
+
+def test_groups_are_one_row_and_stay_together(spark):
+    """Groups just below the size that comes first are placed whole, however many rows they have."""
+    docs = [(i, f"group {i % 3000}") for i in range(12_000)]
+    rows = check(spark, docs, 1.03)
+    shards = {}
+    for r in rows:
+        shards.setdefault(r["doc_id"] % 3000, set()).add(r["shard"])
+    assert all(len(x) == 1 for x in shards.values())
+
+
 def test_small_cases(spark):
     check(spark, [], None)
     check(spark, [(None, "a b"), (None, "a b"), (None, None), (7, "c")], None)

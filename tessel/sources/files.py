@@ -45,6 +45,21 @@ def changed(current: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFrame
     return current.join(new.join(old, ["path", "hash"], "left_anti").select("path"), "path", "left_semi"), old.join(new, "path", "left_anti").select("path")
 
 
+#: The log of files, what is written or gone in each version, and of the versions.
+TABLES = {"files": "path string, content string, gone boolean, version long", "commits": "version long, message string, n_changed long, n_gone long"}
+
+
+def rows_of(changed_documents: DataFrame, gone_documents: DataFrame | None, message: str, version: int) -> dict[str, DataFrame]:
+    """Rows to add to files and commits for documents (id, doc_name, content) that are new or have changed, and for those that are gone."""
+    mark = F.lit(version).cast("long").alias("version")
+    rows = with_paths(changed_documents).select("path", "content", F.lit(False).alias("gone"), mark)
+    if gone_documents is not None:
+        rows = rows.unionByName(with_paths(gone_documents).select("path", F.lit(None).cast("string").alias("content"), F.lit(True).alias("gone"), mark))
+    rows = keep(rows)
+    line = rows.agg(F.count(F.when(~F.col("gone"), 1)).alias("n_changed"), F.count(F.when(F.col("gone"), 1)).alias("n_gone"))
+    return {"files": rows, "commits": line.select(mark, F.lit(message).alias("message"), "n_changed", "n_gone")}
+
+
 def tree(store: Store, version: int | None = None) -> DataFrame:
     """path, content of the files of a version: of each path what was written last, if that isn't its removal."""
     log = store.read("files", version)

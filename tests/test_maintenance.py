@@ -173,3 +173,44 @@ def test_a_large_project_is_rolled_up_in_parts(spark, monkeypatch, tmp_path):
     assert made[1].startswith("text 000\n\ntext 0") and len(made[1]) < 100 and made[2] == "alone"
     whole = {r["project_id"]: len(r["text"]) for r in summaries.roll_up(texts, lambda s: s.map(lambda p: "long " * 30), Ledger(spark), 100).collect()}
     assert whole[1] > 100  # a model that doesn't shorten ends the tree
+
+
+def test_a_library_keeps_tables_and_files_together(spark, tmp_path, makers):
+    from tessel.plans.library import Library
+    from tessel.sources import files
+    from tessel.sources.snapshots import Conflict, Store
+
+    store = Store(spark, f"file://{tmp_path}/lib", unique={"documents": ["id"], "chunks": ["id"]})
+    lib = Library(store, SCOPE, **makers.models)
+    assert lib.upload(_docs(spark, DOCS[:2]), "First") == 2 and lib.upload(_docs(spark, DOCS[2:]), "Second") == 3
+    ids = {r["doc_name"]: r["id"] for r in store.read("documents").collect()}
+    path = lambda n: f"documents/{ids[n]}_{n}"
+    before = makers.seen()
+    new = spark.createDataFrame([(ids["b.txt"], "Rome is old."), (ids["d.txt"], DOCS[3][1]), (999, "x")], "id long, content string")
+    assert lib.update(new, "Update") == 4 and lib.update(new) is None
+    first = store.read("chunks").where(F.col("doc_id") == ids["d.txt"]).orderBy("chunk_order").first()
+    assert lib.edit(spark.createDataFrame([(first["id"], "Lisbon.")], "id long, new_content string"), "Edit") == 5
+    assert lib.delete(spark.createDataFrame([(ids["a.md"],)], "id long"), "Remove") == 6 and lib.delete(spark.createDataFrame([(999,)], "id long")) is None
+    tree = {r["path"]: r["content"] for r in files.tree(store).collect()}
+    assert tree == {path(r["doc_name"]): r["content"] for r in store.read("documents").collect()} and set(tree) == {path(n) for n in ("b.txt", "c.txt", "d.txt")}
+    assert files.tree(store, 3).count() == 4 and tree[path("d.txt")].startswith("Lisbon.")
+    log = [tuple(r) for r in store.read("commits").orderBy("version").collect()]
+    assert log == [(2, "First", 2, 0), (3, "Second", 2, 0), (4, "Update", 1, 0), (5, "Edit", 1, 0), (6, "Remove", 0, 1)]
+    assert len(store.manifest()[1]["documents"]["folders"]) == 1 and store.read("project_summaries").first()["source_document_ids"] == sorted(ids[n] for n in ("b.txt", "c.txt", "d.txt"))
+    after = makers.seen()
+    assert not any(DOCS[0][1][:20] in p for n in ("summarizer", "embedder") for p in set(after[n]) - set(before[n]))  # what has not changed was not asked again
+    other = Library(store, SCOPE, lib.ledger, **makers.models)
+    publish = Store.publish
+
+    def late(self, tables, **kwargs):
+        if self is store and "late" not in kwargs and "documents" in tables:
+            publish(store, {"sources": store.read("sources")})  # another version comes first
+        return publish(self, tables, **kwargs)
+
+    Store.publish = late
+    try:
+        with pytest.raises(Conflict):
+            other.upload(_docs(spark, [("z.txt", "Late.")]))
+    finally:
+        Store.publish = publish
+    assert store.read("documents").count() == 3

@@ -5,7 +5,7 @@ from __future__ import annotations
 from .decontamination import WINDOW
 from .lexical import TOP
 from .prefix_trie import GROUP, MOST_SHARED
-from .secrets import ADDED, BASE, COPIED_BY, VARIETY
+from .secrets import ADDED, BASE, COPIED_BY, COPIED_IN, PASSWORD_VARIETY, PASSWORDS, VARIETY
 from .suffix_dedup import LENGTH
 
 _CONTROL = "<|im_end|><|im_start|>assistant ok"
@@ -57,9 +57,9 @@ def _secrets() -> str:
 with d as (select row_number() over () as r, doc_id, coalesce(source, chr(1)) as owner, coalesce(text, '') as t from documents),
 f as ({parts}),
 a as (select *, coalesce(sum(length(p) + length(m)) over (partition by r, o order by i rows between unbounded preceding and 1 preceding), 0) + length(p) as s from f),
-k as (select a.r, a.o, a.kind, a.v, cast(a.s as varchar) as s, a.s as n, cast(a.s + length(a.m) as varchar) as e, d.owner from a join d on d.r = a.r where length(a.v) >= a.least),
-owners as (select v, count(distinct owner) as n_owners from k group by v),
-j as (select k.*, case when n_owners >= {COPIED_BY} then 'copied' when len(list_distinct(string_split(k.v, ''))) >= {VARIETY} then 'live' else 'dull' end as verdict from k join owners on owners.v = k.v),
+k as (select a.r, a.o, a.kind, a.v, cast(a.s as varchar) as s, a.s as n, cast(a.s + length(a.m) as varchar) as e, d.owner, coalesce(cast(d.doc_id as varchar), '') as repo from a join d on d.r = a.r where length(a.v) >= a.least),
+owners as (select v, count(*) as n_owners, sum(n) as n_repos from (select v, owner, count(distinct repo) as n from k group by v, owner) group by v),
+j as (select k.*, case when n_owners >= {COPIED_BY} or n_repos >= {COPIED_IN} * n_owners then 'copied' when len(list_distinct(string_split(k.v, ''))) >= case when k.kind in {PASSWORDS} then {PASSWORD_VARIETY} else {VARIETY} end then 'live' else 'dull' end as verdict from k join owners on owners.v = k.v),
 g as (select r, {counts}, string_agg(kind || ':' || s || ':' || e, ',' order by n, o) filter (where o < {len(BASE)}) as base, string_agg(kind || ':' || s || ':' || e, ',' order by n, o) as spans,
   count(*) filter (where verdict = 'live') as n_live, count(*) filter (where verdict = 'copied') as n_copied from j group by r)
 select d.doc_id, {", ".join(f"coalesce(n_{k}, 0) as n_{k}" for k, *_ in BASE)}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_live, 0) as n_live, coalesce(n_copied, 0) as n_copied

@@ -24,17 +24,24 @@ def test_run_equals_plain_python(spark, sf):
     found = []
     for r in rows:
         own = []
-        for _, pattern, group, least in [*secrets.BASE, *secrets.ADDED]:
+        for kind, pattern, group, least in [*secrets.BASE, *secrets.ADDED]:
             for m in re.finditer(pattern, r["text"], re.A):
                 if len(m[group]) >= least:
-                    own.append((m.start(), m.end(), m[group]))
-                    owners.setdefault(m[group], set()).add(r["source"])
+                    own.append((m.start(), m.end(), m[group], kind))
+                    owners.setdefault(m[group], set()).add((r["source"], r["doc_id"]))
         found.append(sorted(own))
+
+    def live(value, kind):
+        held = owners[value]
+        n = len({o for o, _ in held})
+        varied = len(set(value)) >= (secrets.PASSWORD_VARIETY if kind in secrets.PASSWORDS else secrets.VARIETY)
+        return n < secrets.COPIED_BY and len(held) < secrets.COPIED_IN * n and varied
+
     library, want = Tokenizer.from_file(VOCABULARY), {}
     for r, own in zip(rows, found, strict=True):
         text, out, at = r["text"], "", 0
-        for a, b, v in own:
-            if len(owners[v]) < secrets.COPIED_BY and len(set(v)) >= secrets.VARIETY:
+        for a, b, v, kind in own:
+            if live(v, kind):
                 out, at = (out + text[at:a] + "[secret]" if a >= at else out), max(at, b)
         out += text[at:]
         ids = library.encode(out, add_special_tokens=False).ids

@@ -493,6 +493,6 @@ def test_requests(spark):
 def test_records_prompts_and_counts(spark):
     docs = spark.createDataFrame([(1, "# T\nWords.")], "id long, content string")
     row = chunking.chunk_records(chunking.chunk_documents(docs)).first()
-    assert (row["source"], row["metadata"], row["content"]) == ("", {"header 1": "T"}, "# T  \nWords.")
+    assert (row["source"], row["metadata"], row["content"]) == ("", {"header 1": "T"}, "# T\nWords.")
     assert one(spark, t.commit_prompt("a", F.lit(""), F.lit(None).cast("string")), a="Add") == "Action: Add\nDocument name: document\nRespond with a single commit message."
     assert one(spark, t.commit_prompt("a", "n", "d"), a="Add", n="x.md", d="Type: md") == "Action: Add\nDocument name: x.md\nDetails: Type: md\nRespond with a single commit message."

@@ -164,8 +164,9 @@ def search_index(index: VectorIndex, queries: DataFrame, k: int = DEFAULT_K, pro
         rows = rows.where(F.col("list").isin([r[0] for r in asked.select("list").distinct().collect()]))  # at most MOST_LISTS
 
     def vectors_of(row: dict) -> np.ndarray:
-        lists = row["list"] if isinstance(row["list"], list) else [row["list"]] * len(row["code"])
-        return decode(np.array(lists), row["code"], np.array(row["scale"], np.float64), centroids)
+        codes, scales = row["code"].to_pylist(), row["scale"].to_numpy(zero_copy_only=False).astype(np.float64)
+        lists = np.full(len(codes), row["list"]) if isinstance(row["list"], int) else row["list"].to_numpy(zero_copy_only=False)
+        return decode(lists, codes, scales, centroids)
 
     values = ("code", "scale") if "list" in on else ("list", "code", "scale")
     found = keep(nearest(asked, rows, rerank * k, on, values, vectors_of, width=centroids.shape[1]).select("query_id", "chunk_id"))

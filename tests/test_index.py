@@ -122,3 +122,52 @@ def test_cases(spark):
     assert index.search_index(index.build(vectors.where("false")), queries).count() == 0
     with pytest.raises(ValueError):
         index.build(vectors, lists=0)
+
+
+@pytest.mark.parametrize("values", [3, 30, 1 << 20])
+def test_cells_equal_plain_python(spark, monkeypatch, values):
+    """Queries that are not broadcast meet the vectors in cells of a bounded number of values; keys of other sizes, copies, nulls."""
+    for name, size in (("BROADCAST_BYTES", 0), ("CELL_VECTORS", values), ("CELL_QUERIES", values)):
+        monkeypatch.setattr(blocks, name, size)
+    pick = np.random.default_rng(8)
+    value = lambda: [None, [0.0, 0.0, 0.0], [1.0, 1.0, 0.0], *pick.integers(-2, 3, (3, 3)).astype(float).tolist()][pick.integers(0, 6)]
+    rows = [(i, [1, 1, 1, 2, None][pick.integers(0, 5)], value()) for i in range(90)]
+    queries = [(f"q{i}", int(pick.integers(1, 4)), value()) for i in range(40)]
+    asked_ = spark.createDataFrame(queries, "query_id string, tenant_id int, query array<float>")
+    df = search.batch_search(asked_, spark.createDataFrame(rows, KIND).repartition(3), 4)
+    got = sorted((r["query_id"], r["rank"], r["chunk_id"], None if r["similarity"] is None else round(r["similarity"], 9) + 0.0) for r in df.collect())
+    assert got == brute(queries, rows, 4)
+
+
+def test_a_search_beyond_broadcasts_moves_vectors_and_queries_a_bounded_number_of_times(spark, monkeypatch):
+    """Each vector goes to a cell for each part of the queries and each query for each part of the vectors, not to a fixed number of salts."""
+    monkeypatch.setattr(blocks, "BROADCAST_BYTES", 0)
+    rows = spark.range(400).select(F.col("id").alias("chunk_id"), F.lit(1).alias("tenant_id"), F.array(*[(F.col("id") * n % 17).cast("float") for n in range(1, 5)]).alias("embedding"))
+    queries = rows.select(F.col("chunk_id").alias("query_id"), "tenant_id", F.col("embedding").alias("query"))
+    plan = lambda: search.batch_search(queries, rows, 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Salt" not in plan() and "salt" not in plan() and "FlatMapCoGroupsInArrow" in plan()
+
+
+def test_batches_of_blocks_are_bounded(spark, sf):
+    """A row is a block of half a megabyte or more, so rows of a batch must be limited by their bytes."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.unset(name)
+    try:
+        vectors = Tables(spark, sf).vectors()
+        search.batch_search(asked(vectors), vectors, 5)
+        assert int(spark.conf.get(name)) <= 8 << 20
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
+def test_many_queries_by_tiles():
+    """Products of single precision and tiles find the hits of a plain sort, also after hits of another block."""
+    pick = np.random.default_rng(9)
+    vectors, queries = pick.normal(size=(5000, 16)), pick.normal(size=(3000, 16))
+    vectors[100:200] = vectors[0]  # copies
+    unit = lambda x: x / np.sqrt(np.square(x).sum(axis=1))[:, None]
+    want = np.argsort(-np.round(unit(queries) @ unit(vectors).T, 12), axis=1, kind="stable")[:, :4]
+    first, rest = (blocks._Block(ids, vectors[ids], 4) for ids in (np.arange(3000), np.arange(3000, 5000)))
+    place, ids, _ = blocks._best_of(rest, queries, 4, blocks._best_of(first, queries, 4))
+    assert (place.reshape(-1, 4) == np.arange(3000)[:, None]).all() and (ids.reshape(-1, 4) == want).all()

@@ -62,7 +62,7 @@ def answer_batch(store: Store, batch_id: str, chunks: DataFrame, vectors: DataFr
     if not n:
         return 0
     made = answers.answer(asked, chunks, vectors, documents, embed_text, decomposer, k, clause_model, background, ledger)
-    said = made["responses"].where("status <> 'pending'").join(left, "query_id")
+    said = keep(made["responses"].where("status <> 'pending'").join(left, "query_id"))
     rows = {
         "responses": said.select("query_id", F.lit(batch_id).alias("batch_id"), (F.col("turn") + 1).alias("turn"), "response_text", "status"),
         "sources": made["sources"].join(said.where("status = 'success'").select("query_id"), "query_id", "left_semi").select("query_id", F.lit(batch_id).alias("batch_id"), "position", "rank", "chunk_id", "doc_id", "doc_name", F.col("content").alias("snippet")),

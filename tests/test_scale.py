@@ -1,8 +1,12 @@
 """What a query takes grows no faster than its input."""
 
+import hashlib
+import math
+
+import pytest
 from pyspark.sql import functions as F
 
-from tessel.functions.vector import hash_vector
+from tessel.functions.vector import check_dimension, hash_vector
 from tessel.operators import answers, models
 from tessel.operators.ledger import Ledger
 from tessel.sources.tables import Tables
@@ -40,3 +44,17 @@ def test_prompts_of_a_local_model_fill_more_tasks(spark, tmp_path):
 
 def test_local_clause_models_stay_local():
     assert models.is_local(answers._say(models.quote_sources)) and not models.is_local(answers._say(lambda s: s))
+
+
+def test_a_text_is_hashed_once_for_all_places_of_its_vector(spark):
+    """Not once for each place and each reading of the vector; the values are those of the digests."""
+    df = spark.createDataFrame([("a text",), ("",), ("é",), (None,)], "text string")
+    made = df.select("text", check_dimension(hash_vector(F.col("text"), 8), 8).alias("v"))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "sha2" not in plan and plan.count("ArrowEvalPython") == 1
+    for text, v in made.collect():
+        if text is None:
+            assert v == [None] * 8
+            continue
+        raw = [int(hashlib.sha256(f"{text}:{i}".encode()).hexdigest()[:8], 16) / 4294967295.0 * 2 - 1 for i in range(8)]
+        assert v == pytest.approx([x / math.sqrt(sum(y * y for y in raw)) for x in raw], abs=1e-7)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessel.functions.vector import check_dimension, hash_vector
-from tessel.operators import answers, models
+from tessel.operators import answers, models, summaries
 from tessel.operators.ledger import Ledger
 from tessel.sources.tables import Tables
 
@@ -58,3 +58,17 @@ def test_a_text_is_hashed_once_for_all_places_of_its_vector(spark):
             continue
         raw = [int(hashlib.sha256(f"{text}:{i}".encode()).hexdigest()[:8], 16) / 4294967295.0 * 2 - 1 for i in range(8)]
         assert v == pytest.approx([x / math.sqrt(sum(y * y for y in raw)) for x in raw], abs=1e-7)
+
+
+def test_document_summaries_are_not_bound_to_the_tasks_of_a_remote_model(spark, sf, tmp_path):
+    """project_summary_rollup: one of four tasks read a quarter of all texts."""
+    names = ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")
+    before = [spark.conf.get(n) for n in names]
+    for n, v in zip(names, ("false", "12"), strict=True):
+        spark.conf.set(n, v)
+    try:
+        summaries.summarize_documents(Tables(spark, sf).documents(), models.first_sentence, Ledger(spark, f"file://{tmp_path}/ledger"))
+    finally:
+        for n, v in zip(names, before, strict=True):
+            spark.conf.set(n, v)
+    assert len(list((tmp_path / "ledger").rglob("*.parquet"))) == 12

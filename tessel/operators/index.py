@@ -15,14 +15,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from tessel.functions import vector as v
-from tessel.sources.shared import keep, shared_folder
+from tessel.sources.shared import bound_batches, keep, shared_folder
 
 from .blocks import nearest
 from .search import DEFAULT_K, ranked
@@ -34,6 +35,8 @@ SAMPLE = 100_000
 #: Candidates that are compared exactly, for each of the k hits.
 RERANK = 8
 ITERATIONS, SEED, NO_LIST = 10, 7, -1
+#: Centroids that have all moved less are final. Products with centroids that are made at once.
+MOVED, TILE = 1e-4, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -60,7 +63,9 @@ def _unit(embedding: Column) -> Column:
 
 
 def _places(rows: np.ndarray, centroids: np.ndarray) -> np.ndarray:
-    return np.argmin((centroids**2).sum(axis=1) / 2 - rows @ centroids.T, axis=1)
+    half, step = (centroids**2).sum(axis=1) / 2, max(1, TILE // max(1, len(centroids)))
+    places = [np.argmin(half - rows[a : a + step] @ centroids.T, axis=1) for a in range(0, len(rows), step)]
+    return np.concatenate(places) if places else np.empty(0, np.int64)
 
 
 def encode(rows: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray]:
@@ -109,21 +114,44 @@ def _write(vectors: DataFrame, centroids: np.ndarray, path: str) -> StructType:
     return made.schema
 
 
+def _fitted(points: DataFrame, lists: int) -> np.ndarray:
+    """The centroids of points (place, unit) by k-means, from the points of the least places. The means are made by tasks; the driver gets no more than the centroids."""
+    last = points.select("place").orderBy("place").limit(lists).agg(F.max("place")).first()[0]
+    first = points.where(F.col("place") <= last).orderBy("place").limit(lists).collect() if last is not None else []
+    if not first:
+        return np.empty((0, 0))
+    centroids = np.unique(np.array([r["unit"] for r in first], np.float64), axis=0)
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch["unit"].flatten().to_numpy().reshape(batch.num_rows, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(_places(rows, centroids), pa.int32()), batch["unit"]], ["list", "unit"])
+
+    for _ in range(ITERATIONS):
+        means = points.select("unit").mapInArrow(listed, "list int, unit array<double>").groupBy("list").agg(Summarizer.mean(array_to_vector("unit")).alias("mean"))
+        moved = centroids.copy()
+        for r in means.collect():
+            moved[r["list"]] = r["mean"].toArray()
+        still = ((moved - centroids) ** 2).sum(axis=1).max() <= MOVED**2
+        centroids = moved
+        if still:
+            break
+    return centroids
+
+
 def build(vectors: DataFrame, lists: int | None = None, sample: int = SAMPLE, path: str | None = None) -> VectorIndex:
     """The index of vectors (chunk_id, tenant_id, embedding and others), written to path or a new folder in the shared one."""
     if lists is not None and not 1 <= lists <= MOST_LISTS:
         raise ValueError(f"lists must be 1 to {MOST_LISTS}")
     spark = vectors.sparkSession
+    bound_batches(spark)
     path = path or f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     valued = vectors.where(F.col("embedding").isNotNull())
     n = valued.count()
     lists = lists or min(MOST_LISTS, max(1, n // PER_LIST))
     chosen = valued.where(F.xxhash64("chunk_id") / F.lit(2.0**64) + 0.5 <= min(1.0, sample / max(1, n)))  # the same rows at each reading
-    points = chosen.select(array_to_vector(_unit(F.col("embedding"))).alias("features"))
-    if n:
-        centroids = np.array(KMeans(k=max(2, lists), initMode="random", maxIter=ITERATIONS, seed=SEED).fit(points).clusterCenters())
-    else:
-        centroids = np.empty((0, 0))
+    finite = chosen.where(v.norm(F.col("embedding")) < float("inf"))
+    centroids = _fitted(keep(finite.select(F.xxhash64("chunk_id", F.lit(SEED)).alias("place"), _unit(F.col("embedding")).alias("unit"))), lists)
     schema = _write(vectors, centroids, path)
     spark.createDataFrame([], "chunk_id long, __until long").write.parquet(f"{path}/gone")
     return VectorIndex(path, schema, centroids, spark)

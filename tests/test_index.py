@@ -171,3 +171,41 @@ def test_many_queries_by_tiles():
     first, rest = (blocks._Block(ids, vectors[ids], 4) for ids in (np.arange(3000), np.arange(3000, 5000)))
     place, ids, _ = blocks._best_of(rest, queries, 4, blocks._best_of(first, queries, 4))
     assert (place.reshape(-1, 4) == np.arange(3000)[:, None]).all() and (ids.reshape(-1, 4) == want).all()
+
+
+def test_centroids_are_fitted_without_a_table_of_their_distances(spark):
+    """Rows between all pairs of centroids went to the driver, from a task for each centroid."""
+    pick = np.random.default_rng(10)
+    rows = [(i, 1, pick.normal(size=16).tolist()) for i in range(400)]
+    vectors = spark.createDataFrame(rows, KIND)
+    context = spark.sparkContext
+    context.setJobGroup("fitting", "fitting")
+    try:
+        made = index.build(vectors, lists=300)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("fitting") for s in tracker.getJobInfo(j).stageIds]
+    assert stages and max(s.numTasks for s in stages if s) < 300
+    assert made.centroids.shape == (300, 16)
+
+
+def test_centroids_are_means_of_their_vectors(spark):
+    """Also where products are made a few rows at once, and with copies, zeros and vectors that aren't numbers."""
+    rows = [(i, 1, [1.0, 0.01 * (i % 5)] if i % 2 else [-1.0, 0.01 * (i % 3)]) for i in range(200)] + [(200, 1, [0.0, 0.0]), (201, 1, [float("nan"), 1.0])]
+    made = index.build(spark.createDataFrame(rows, KIND), lists=3)
+    assert np.isfinite(made.centroids).all()
+    units = np.array([np.array(r[2]) / (np.linalg.norm(r[2]) or 1) for r in rows[:201]])
+    places = index._places(units, made.centroids)
+    for place in set(places.tolist()):
+        assert np.allclose(units[places == place].mean(axis=0), made.centroids[place], atol=1e-3)
+
+
+def test_places_do_not_depend_on_tiles(monkeypatch):
+    pick = np.random.default_rng(11)
+    rows, centroids = pick.normal(size=(70, 5)), pick.normal(size=(9, 5))
+    whole = index._places(rows, centroids)
+    for tile in (1, 9, 40):
+        monkeypatch.setattr(index, "TILE", tile)
+        assert (index._places(rows, centroids) == whole).all()
+    assert index._places(rows[:0], centroids).tolist() == []

@@ -37,6 +37,8 @@ RERANK = 8
 ITERATIONS, SEED, NO_LIST = 10, 7, -1
 #: Centroids that have all moved less are final. Products with centroids that are made at once.
 MOVED, TILE = 1e-4, 1 << 20
+#: Bytes of candidates, with their queries, that go to all tasks; more are dealt with the vectors.
+BROADCAST_BYTES = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -198,6 +200,8 @@ def search_index(index: VectorIndex, queries: DataFrame, k: int = DEFAULT_K, pro
 
     values = ("code", "scale") if "list" in on else ("list", "code", "scale")
     found = keep(nearest(asked, rows, rerank * k, on, values, vectors_of, width=centroids.shape[1]).select("query_id", "chunk_id"))
-    of = found.join(queries.select("query_id", "tenant_id", "query"), "query_id")
+    # the size of a column of arrays is guessed far too low, so the side that is broadcast is named here
+    small = found.count() * (centroids.shape[1] * 8 + 24) <= BROADCAST_BYTES
+    of = found.join(queries.select("query_id", "tenant_id", "query"), "query_id").hint("broadcast" if small else "merge")
     scored = index.rows.select("chunk_id", "tenant_id", "embedding").join(of, ["chunk_id", "tenant_id"])
     return ranked(scored.select("query_id", "chunk_id", v.cosine(F.col("embedding"), F.col("query")).alias("similarity")), k)

@@ -209,3 +209,14 @@ def test_places_do_not_depend_on_tiles(monkeypatch):
         monkeypatch.setattr(index, "TILE", tile)
         assert (index._places(rows, centroids) == whole).all()
     assert index._places(rows[:0], centroids).tolist() == []
+
+
+@pytest.mark.parametrize("size", [0, 8 << 20])
+def test_all_vectors_are_not_broadcast_for_their_candidates(spark, sf, monkeypatch, size):
+    """The size of a column of arrays is guessed too low, so the vectors went through the driver to all tasks."""
+    monkeypatch.setattr(index, "BROADCAST_BYTES", size)
+    vectors = Tables(spark, sf).vectors()
+    found = index.search_index(index.build(vectors), asked(vectors), 5, rerank=100)
+    hints = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line and "chunk_id" in line]
+    assert len(hints) == 1 and ("rightHint=(strategy=broadcast)" if size else "rightHint=(strategy=merge)") in hints[0]
+    assert hits(found) == hits(search.batch_search(asked(vectors), vectors, 5))

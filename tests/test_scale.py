@@ -2,12 +2,14 @@
 
 import hashlib
 import math
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessel.functions.vector import check_dimension, hash_vector
 from tessel.operators import answers, models, summaries
+from tessel.operators.blocks import nearest, vectors_of
 from tessel.operators.ledger import Ledger
 from tessel.sources.tables import Tables
 
@@ -72,3 +74,24 @@ def test_document_summaries_are_not_bound_to_the_tasks_of_a_remote_model(spark,
         for n, v in zip(names, before, strict=True):
             spark.conf.set(n, v)
     assert len(list((tmp_path / "ledger").rglob("*.parquet"))) == 12
+
+
+def test_hits_do_not_keep_the_batches_of_their_queries(spark):
+    """batch_search_topk: ids of a block of queries kept the batch that they came in, 8 MB with its vectors, until the task ended."""
+    vector = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.sin(i * (F.col("id") + 1)))
+    rows = spark.range(4096, numPartitions=1).select(F.lit(1).alias("tenant_id"), F.col("id").alias("chunk_id"), vector.alias("embedding"))
+    queries = spark.range(0, 4096, 64, numPartitions=64).select(F.lit(1).alias("tenant_id"), F.col("id").alias("query_id"), vector.alias("query"))
+
+    def decode(row):
+        """Called once for each of the two blocks of vectors, by one task."""
+        if tracemalloc.is_tracing():
+            now = tracemalloc.get_traced_memory()[0]
+            tracemalloc.stop()
+            if now > 40 << 20:
+                raise MemoryError(f"{now >> 20} MB are held after a block of vectors")
+        else:
+            tracemalloc.start()
+        return vectors_of(row)
+
+    best = nearest(queries, rows, 1, decode=decode).collect()
+    assert len(best) == 64 and all(r["chunk_id"] == r["query_id"] for r in best)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessel.sources.shared import keep
+from tessel.sources.shared import drop, keep
 
 
 def latest(delta: DataFrame, keys: list[str], order: Column) -> DataFrame:
@@ -26,22 +26,26 @@ def insert_missing(state: DataFrame, delta: DataFrame, keys: list[str]) -> DataF
     return state.unionByName(delta.join(state.select(*keys), keys, "left_anti").select(*state.columns))
 
 
-def with_ids(state: DataFrame, rows: DataFrame, order: list[str], id_col: str = "id", start: int | None = None) -> DataFrame:
+def with_ids(state: DataFrame, rows: DataFrame, order: list[str], id_col: str = "id", start: int | None = None, codec: str | None = None) -> DataFrame:
     """Rows with ids that follow the largest of state, or start, in the order of their natural key, so that a retry gives the same.
 
     The rows are written before they are dealt to ranges of the key, as a sample of them is drawn first: whatever made them is evaluated
-    once. Ranges are sorted and written with the place of each row in them; ids are these places shifted by the sizes of the ranges before.
+    once. Ranges are sorted and written with the place of each row in them, and the first table goes; ids are these places shifted by the sizes of
+    the ranges before.
     """
-    kept = keep(rows)
+    kept = keep(rows, codec)
     ranged = kept.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__place", F.monotonically_increasing_id())
-    parts = keep(ranged)
+    parts = keep(ranged, codec)
+    drop(kept)
     part = F.shiftright("__place", 33)
     sizes = parts.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
     before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
     top = start if start is not None else state.agg(F.coalesce(F.max(id_col), F.lit(0))).first()[0]
     numbered = parts.withColumn("__part", part).join(F.broadcast(before), "__part")
     within = F.col("__place").bitwiseAND(F.lit((1 << 33) - 1)) + 1
-    return numbered.withColumn(id_col, (within + F.col("__before") + F.lit(top)).cast("long")).drop("__part", "__place", "__before")
+    out = numbered.withColumn(id_col, (within + F.col("__before") + F.lit(top)).cast("long")).drop("__part", "__place", "__before")
+    out._tessel_kept = parts._tessel_kept
+    return out
 
 
 def patch(state: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:

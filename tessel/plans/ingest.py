@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessel.functions.text import fill, join_nonempty, locate_span, splice_all, strip
@@ -19,9 +19,11 @@ from tessel.operators.chunking import chunk_documents
 from tessel.operators.ledger import Ledger
 from tessel.operators.mutate import delete_documents, upsert, with_ids
 from tessel.operators.scope import Scope
-from tessel.sources.shared import keep
+from tessel.sources.shared import TEXTS, drop, keep, keep_parts
 
 DIM = 64
+#: Chunks get their contexts in one part for each so many of them, up to the largest number of parts: what a part shuffles goes before the next one's.
+PART_ROWS, MOST_PARTS = 200_000, 4
 
 
 #: What a model is asked for a chunk, unless another template is given.
@@ -40,30 +42,46 @@ class Makers:
     project_model: models.Model | None = None
 
 
-def contextualize(chunks: DataFrame, documents: DataFrame, model: models.Model, prompt: str | None = None, ledger: Ledger | None = None) -> DataFrame:
+def with_digest(documents: DataFrame, *columns: Column | str) -> DataFrame:
+    """doc_id, columns and the digest of documents, by which marked() knows their texts."""
+    return documents.select(F.col("id").alias("doc_id"), *columns, F.sha2("content", 256).alias("__digest"))
+
+
+def marked(chunks: DataFrame) -> DataFrame:
+    """chunks with __all, whether a chunk is all of its document, in place of the document's __digest."""
+    return chunks.withColumn("__all", F.sha2("content", 256) == F.col("__digest")).drop("__digest")
+
+
+def contextualize(chunks: DataFrame, documents: DataFrame, model: models.Model, prompt: str | None = None, ledger: Ledger | None = None, part: tuple[int, int] = (0, 1)) -> DataFrame:
     """chunks with context: empty if the chunk is all of its document, else the model's text, stripped.
 
     With a prompt the model gets it filled with the chunk and its whole document, else the chunk alone; then no document moves, as
-    a digest tells whether a chunk is all of it.
+    a digest tells whether a chunk is all of it, and chunks that are marked() already do not move for that either. part (i, n): the i-th of n parts of the rows.
     """
     ledger = ledger or Ledger(chunks.sparkSession)
-    whole = documents.select(F.col("id").alias("doc_id"), F.sha2("content", 256).alias("__digest"), *([F.col("content").alias("__whole")] if prompt else []))
-    joined = chunks.join(whole, "doc_id")
-    all_of_it = F.sha2("content", 256) == F.col("__digest")
+    whole = [F.col("content").alias("__whole")] if prompt else []
+    if "__all" not in chunks.columns:
+        joined = marked(chunks.join(with_digest(documents, *whole), "doc_id"))
+    else:
+        joined = chunks.join(documents.select(F.col("id").alias("doc_id"), *whole), "doc_id") if prompt else chunks
     asked = fill(prompt, "content", "__whole") if prompt else F.col("content")
-    said = ledger.call("context", model, joined, F.when(all_of_it, F.lit(None)).otherwise(asked), out="__said", bring=chunks.columns)
+    columns = [c for c in chunks.columns if c != "__all"]
+    said = ledger.call("context", model, joined, F.when(F.col("__all"), F.lit(None)).otherwise(asked), out="__said", bring=columns, part=part)
     return said.withColumn("context", strip(models.as_text(F.col("__said")))).drop("__said")
 
 
 def embedded(chunks: DataFrame, embedder: models.Model | None, ledger: Ledger) -> DataFrame:
-    """chunk_id, embedding, tenant_id, project_id of chunks (id, context, content, …) that have a text, written once."""
+    """chunk_id, embedding, tenant_id, project_id of chunks (id, context, content, …; kept) that have a text.
+
+    A model's vectors are written once. Those of the hash follow from the texts, which are written, and are made where they are read, as random bits
+    that no codec shortens would take more room than the texts.
+    """
     text = join_nonempty("context", "content")
     rows = chunks.where(text != "").select(F.col("id").alias("chunk_id"), "tenant_id", "project_id", text.alias("text"))
+    checked = lambda made: made.select("chunk_id", check_dimension(F.col("embedding"), DIM).alias("embedding"), "tenant_id", "project_id")
     if embedder is None:
-        made = rows.withColumn("embedding", hash_vector(F.col("text"), DIM).cast("array<float>"))
-    else:
-        made = ledger.call("embed", embedder, rows, F.col("text"), "array<float>", "embedding")
-    return keep(made.select("chunk_id", check_dimension(F.col("embedding"), DIM).alias("embedding"), "tenant_id", "project_id"))
+        return checked(rows.withColumn("embedding", hash_vector(F.col("text"), DIM).cast("array<float>")))
+    return keep(checked(ledger.call("embed", embedder, rows, F.col("text"), "array<float>", "embedding")))
 
 
 def derive(documents: DataFrame, state: dict[str, DataFrame], scope: Scope, makers: Makers, ledger: Ledger) -> dict[str, DataFrame]:
@@ -76,6 +94,7 @@ def derive(documents: DataFrame, state: dict[str, DataFrame], scope: Scope, make
     graph = knowledge.Graph(state["entities"], state["edges"], state["metadata"])
     graph = knowledge.refresh(graph, documents.select(F.col("id").alias("doc_id")), entities, relations, scope)
     out |= {"entities": graph.entities, "edges": graph.edges, "metadata": graph.metadata}
+    drop(found)
     written = keep(summaries.summarize_documents(documents, makers.summarizer, ledger))
     out["summaries"] = upsert(state["summaries"], written.select(*state["summaries"].columns), ["document_id"])
     return _rolled_up(out, documents, makers, ledger)
@@ -91,21 +110,28 @@ def _rolled_up(state: dict[str, DataFrame], touched: DataFrame, makers: Makers,
 
 def process(documents: DataFrame, state: dict[str, DataFrame], scope: Scope, ledger: Ledger | None = None, **models_) -> dict[str, DataFrame]:
     """state, which has documents (id, doc_name, content, tenant_id, project_id) among its own, with these chunked, embedded, extracted and summarised."""
-    makers, ledger = Makers(**models_), ledger or Ledger(documents.sparkSession)
-    scoped = documents.select(F.col("id").alias("doc_id"), "tenant_id", "project_id")
-    made = with_ids(state["chunks"], chunk_documents(documents).drop("headers").join(scoped, "doc_id"), ["doc_id", "chunk_order"])
-    made = keep(contextualize(made, documents, makers.context_model, makers.context_prompt, ledger))
+    makers, own = Makers(**models_), ledger is None
+    ledger = ledger or Ledger(documents.sparkSession)
+    scoped = with_digest(documents, "tenant_id", "project_id")
+    cut = with_ids(state["chunks"], marked(chunk_documents(documents).drop("headers").join(scoped, "doc_id")), ["doc_id", "chunk_order"], codec=TEXTS)
+    n = min(MOST_PARTS, 1 + cut.count() // PART_ROWS)
+    made = keep_parts(lambda i: contextualize(cut, documents, makers.context_model, makers.context_prompt, ledger, (i, n)), n, TEXTS)
+    drop(cut)
     out = dict(state)
     out["chunks"] = state["chunks"].unionByName(made.select(*state["chunks"].columns))
     out["vectors"] = upsert(state["vectors"], embedded(made, makers.embedder, ledger).select(*state["vectors"].columns), ["chunk_id"])
-    return derive(documents, out, scope, makers, ledger)
+    out = derive(documents, out, scope, makers, ledger)
+    if own:
+        ledger.drop()  # all that was made of its replies is written
+    return out
 
 
 def upload(documents: DataFrame, state: dict[str, DataFrame], scope: Scope, **models_) -> dict[str, DataFrame]:
     """documents (doc_name, content) as new rows of the scope's primary project, processed."""
-    here = documents.withColumns({"tenant_id": F.lit(scope.tenant_id), "project_id": F.lit(scope.primary), "context": F.col("content"), "doc_size": F.length("content").cast("long")})
+    here = documents.drop("context").withColumns({"tenant_id": F.lit(scope.tenant_id), "project_id": F.lit(scope.primary), "doc_size": F.length("content").cast("long")})
     here = here.withColumn("__hash", F.xxhash64("content"))  # ids follow the names; whole texts are no sort key
-    rows = with_ids(state["documents"], here, ["doc_name", "__hash"]).select(*state["documents"].columns)
+    # the context is the content, which is written once
+    rows = with_ids(state["documents"], here, ["doc_name", "__hash"], codec=TEXTS).withColumn("context", F.col("content")).select(*state["documents"].columns)
     return process(rows, state | {"documents": state["documents"].unionByName(rows)}, scope, **models_)
 
 

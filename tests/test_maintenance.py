@@ -75,6 +75,19 @@ def test_each_prompt_is_sent_once_in_an_ingestion(spark, tmp_path, makers):
     assert {n: after[n] for n in seen if n != "project_model"} == {n: s for n, s in seen.items() if n != "project_model"}
 
 
+@pytest.mark.parametrize("prompt", [None, ingest.CONTEXT_PROMPT])
+def test_chunks_in_parts_are_those_at_once(spark, tmp_path, makers, monkeypatch, prompt):
+    """Also each prompt is sent once, whichever part its chunks are in."""
+    docs, given = _docs(spark, [*DOCS, ("e.txt", DOCS[3][1])]), makers.models | {"context_prompt": prompt}
+    once = _kept(ingest.upload(docs, _start(spark), SCOPE, ledger=Ledger(spark, f"file://{tmp_path}/one"), **given))
+    seen = makers.seen()["context_model"]
+    monkeypatch.setattr(ingest, "PART_ROWS", 1)
+    ledger = Ledger(spark, f"file://{tmp_path}/parts")
+    parts = _kept(ingest.upload(docs, _start(spark), SCOPE, ledger=ledger, **given))
+    assert _contents(parts) == _contents(once) and parts["chunks"].count() > 4
+    assert sorted(makers.seen()["context_model"]) == sorted(2 * seen) and ledger.calls("context").count() > 1
+
+
 def test_a_run_after_a_failure_sends_what_is_missing(spark, tmp_path, makers):
     ledger = Ledger(spark, f"file://{tmp_path}/ledger", attempts=1, batch=1)
     whole = makers.counting["summarizer"].reply

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import time
 import tracemalloc
 
 import pytest
@@ -11,6 +12,10 @@ from tessel.functions.vector import check_dimension, hash_vector
 from tessel.operators import answers, models, summaries
 from tessel.operators.blocks import nearest, vectors_of
 from tessel.operators.ledger import Ledger
+from tessel.operators.scope import Scope
+from tessel.plans import ingest
+from tessel.plans.queries import _empty
+from tessel.sources.shared import keep
 from tessel.sources.tables import Tables
 
 
@@ -95,3 +100,41 @@ def test_hits_do_not_keep_the_batches_of_their_queries(spark):
 
     best = nearest(queries, rows, 1, decode=decode).collect()
     assert len(best) == 64 and all(r["chunk_id"] == r["query_id"] for r in best)
+
+
+def test_shuffle_files_go_when_a_table_is_written(spark):
+    """ingest_document: they stayed until the driver happened to collect its garbage, some times the size of the texts."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    files = lambda: {f for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    rows, old = spark.range(100_000).groupBy(F.sha2(F.col("id").cast("string"), 256).alias("key")).count(), files()
+    assert keep(rows).count() == 100_000
+    until = time.time() + 10
+    while time.time() < until and any("shuffle_" in f for f in files() - old if _bytes(f) > 1_000_000):
+        time.sleep(0.2)
+    assert not [f for f in files() - old if _bytes(f) > 1_000_000]
+    assert spark.conf.get(name) == before
+
+
+def _bytes(file):
+    from pathlib import Path
+
+    return Path(file).stat().st_size if Path(file).exists() else 0
+
+
+def test_an_ingestion_leaves_its_texts_once_in_each_table(spark, sf, tmp_path, monkeypatch):
+    """Documents and chunks are written, no tables on the way to them, no replies of a ledger that nobody else knows and no vectors that are hashes."""
+    monkeypatch.setattr(spark, "_tessel_shared", f"file://{tmp_path}", raising=False)
+    docs = Tables(spark, sf).documents().select("doc_name", "content")
+    size = docs.agg(F.sum(F.octet_length("content"))).first()[0]
+    state = ingest.upload(docs, _empty(Tables(spark, "")), Scope(1, (4,)))
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < 2 * size
+    assert not list(tmp_path.glob("ledger-*"))
+    assert state["documents"].where("content = context").count() == docs.count()
+    assert state["vectors"].where("size(embedding) = 64").count() == state["chunks"].where("content <> ''").count() > 0
+
+
+def test_a_ledger_that_is_given_keeps_its_replies(spark, tmp_path):
+    ledger = Ledger(spark, f"file://{tmp_path}/ledger")
+    ingest.upload(spark.createDataFrame([("a.txt", "Word. " * 200)], "doc_name string, content string"), _empty(Tables(spark, "")), Scope(1, (4,)), ledger=ledger)
+    assert ledger.calls("context").count() == 1

@@ -119,7 +119,9 @@ def process(documents: DataFrame, state: dict[str, DataFrame], scope: Scope, led
     drop(cut)
     out = dict(state)
     out["chunks"] = state["chunks"].unionByName(made.select(*state["chunks"].columns))
-    out["vectors"] = upsert(state["vectors"], embedded(made, makers.embedder, ledger).select(*state["vectors"].columns), ["chunk_id"])
+    vectors = embedded(made, makers.embedder, ledger).select(*state["vectors"].columns)
+    left = state["vectors"].join(made.select(F.col("id").alias("chunk_id")), "chunk_id", "left_anti").select(*state["vectors"].columns)
+    out["vectors"] = left.unionByName(vectors)
     out = derive(documents, out, scope, makers, ledger)
     if own:
         ledger.drop()  # all that was made of its replies is written
